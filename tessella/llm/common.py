@@ -70,19 +70,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"], _POWERS["q"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the texts data[offsets[i]:offsets[i+1]]: hashes, byte starts, byte ends, and the first word's number of each text.
-
-    The hash is of the word's lower-cased bytes; the last array has one entry more than there are texts.
-    """
-    base = int(offsets[0])
-    data = data[base : int(offsets[-1])]
-    cuts = (offsets - base).astype(np.int64)
+def _words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
+    """Prefix sums of the lower-cased bytes' polynomial, inverse powers, starts and ends of words, and each text's first word."""
+    cuts = (offsets - offsets[0]).astype(np.int64)
     n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none.astype(_U), none, none, np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~separators[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -93,8 +85,27 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     p, q = _powers(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(_LOWER[data] * p[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(_U))
-    return hashes, starts + base, ends + base, np.searchsorted(starts, cuts)
+    return total, q, starts, ends, np.searchsorted(starts, cuts)
+
+
+def _hashed(total: np.ndarray, q: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(_U))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts data[offsets[i]:offsets[i+1]]: hashes, byte starts, byte ends, and the first word's number of each text.
+
+    The hash is of the word's lower-cased bytes; the last array has one entry more than there are texts.
+    """
+    base = int(offsets[0])
+    total, q, starts, ends, first = _words(data[base : int(offsets[-1])], offsets, _SPACE)
+    return _hashed(total, q, starts, ends), starts + base, ends + base, first
+
+
+def word_start_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Word hashes, each text's first word, and for each of lengths the hashes of the words' first so many bytes."""
+    total, q, starts, ends, first = _words(data[int(offsets[0]) : int(offsets[-1])], offsets, separators)
+    return _hashed(total, q, starts, ends), first, [_hashed(total, q, starts, np.minimum(ends, starts + n)) for n in lengths]
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

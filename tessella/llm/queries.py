@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, shards
+from . import extract, fingerprints, media, mixing, ngram_join, packing, passages, shards, toxicity, warc
+from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,17 @@ def op1_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path, payloads=False)
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,7 +38,35 @@ def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.default_vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_shards, op4_mix_sources, op5_pack_windows)}
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "links")
+
+
+def op8_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, models).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op10_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.text_media(table(spark, sf_dir, "documents"))
+    rows = media.media_rows(stored, ("doc_id", "n_bytes"))
+    clips = F.transform("clips", lambda c: F.concat_ws("+", c["first_frame"].cast("string"), c["n_frames"].cast("string")))
+    shares = F.transform("histogram", lambda x: F.format_string("%.4f", x))
+    feature = F.concat(F.lit("frames="), F.col("frames").cast("string"), F.lit(";clips="), F.concat_ws(",", clips), F.lit(";histogram="), F.concat_ws(",", shares))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+_ALL = (op1_jump_shards, op2_warc_archives, op3_repeated_passages, op4_mix_sources, op5_pack_windows, op6_main_text, op7_ngram_jaccard, op8_lookup_sketches, op9_toxicity, op10_motion_jpeg)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 SQL_SHARDS = r"""
 WITH RECURSIVE
