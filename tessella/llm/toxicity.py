@@ -35,26 +35,31 @@ def distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int = 30, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def _lift(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+    """Of each feature, the log of its rate among the positives over its rate among the negatives, as the unlabelled give it, less three deviations (of their logs)."""
+    size = 1 << BITS
+    p, u = (np.bincount(np.concatenate(g), minlength=size) for g in (positive, unlabelled))
+    rate_p, rate_u = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
+    rate_n = np.maximum((rate_u - prior * rate_p) / (1 - prior), 0.5 / (len(unlabelled) + 1))
+    return np.log(rate_p / rate_n) - 3.0 * np.sqrt(1 / (p + 0.5) + 1 / (u + 0.5))
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int = 60, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model of feature presence, by the non-negative risk estimator.
 
     The risk is prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) with the sigmoid loss; where the
-    second part is below 0, the step goes the other way.  Features of fewer than 3 fitted documents get no weight.
+    second part is below 0, the step goes the other way.  Features have a weight if their rate among positives is
+    surely several times that among negatives.
     """
     rng = np.random.default_rng(seed)
-    size = 1 << BITS
-    w, bias = np.zeros(size, np.float64), -1.0
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return w, bias
-    seen = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=size) >= 3
+    w, b = np.zeros(1 << BITS, np.float64), float(np.log(prior / (1 - prior))) - 1.0
+    if not positive or not unlabelled:
+        return w, b
+    seen = _lift(positive, unlabelled, prior) > 2.0
     number = np.cumsum(seen) - 1
     positive, unlabelled = ([number[f[seen[f]]] for f in group] for group in (positive, unlabelled))
     n = int(seen.sum())
-    # start from smoothed log odds of presence, damped
-    rates = [(np.bincount(np.concatenate(g) if g else np.zeros(0, np.int64), minlength=n) + 0.5) / (len(g) + 1) for g in (positive, unlabelled)]
-    v = np.clip(np.log(rates[0] / rates[1]), -3, 3)
-    v[np.abs(v) < 1.0] = 0
-    m1, m2, b, mb1, mb2, step = np.zeros(n), np.zeros(n), bias - 1.0, 0.0, 0.0, 0
+    v, m1, m2, mb1, mb2, step = np.zeros(n), np.zeros(n), np.zeros(n), 0.0, 0.0, 0
     batches = max(1, -(-max(len(positive), len(unlabelled)) // 1024))
     for _ in range(epochs):
         p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
@@ -63,20 +68,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             u = [unlabelled[i] for i in u_order[k::batches]] or [unlabelled[0]]
             flat = np.concatenate([*p, *u])
             doc = np.repeat(np.arange(len(p) + len(u)), [len(f) for f in [*p, *u]])
-            f = np.bincount(doc, v[flat], minlength=len(p) + len(u)) + b
-            s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+            f = np.clip(np.bincount(doc, v[flat], minlength=len(p) + len(u)) + b, -30, 30)
+            s = 1 / (1 + np.exp(-f))  # l(-f); l(f) is 1 - s
             slope = s * (1 - s)
-            fp, up = slope[: len(p)] / len(p), slope[len(p) :] / len(u)
-            negative = s[len(p) :].mean() - prior * s[: len(p)].mean()
-            g = np.concatenate([-prior * fp - prior * fp, up]) if negative >= 0 else np.concatenate([prior * fp, -up])
+            sp, su = slope[: len(p)] / len(p), slope[len(p) :] / len(u)
+            if s[len(p) :].mean() - prior * s[: len(p)].mean() >= 0:
+                g = np.concatenate([-2 * prior * sp, su])
+            else:
+                g = np.concatenate([prior * sp, -su])
             grad = np.bincount(flat, g[doc], minlength=n) + 1e-5 * v
             step += 1
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
             mb1, mb2 = 0.9 * mb1 + 0.1 * g.sum(), 0.999 * mb2 + 0.001 * g.sum() ** 2
             c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-            v -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-6)
-            b -= rate * (mb1 / c1) / (np.sqrt(mb2 / c2) + 1e-6)
-    v[np.abs(v) < 0.05] = 0
+            v -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-8)
+            b -= rate * (mb1 / c1) / (np.sqrt(mb2 / c2) + 1e-8)
     w[seen] = v
     return w, float(b)
 
