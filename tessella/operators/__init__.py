@@ -1 +1 @@
-
+"""Operations on lists of entries."""

@@ -7,19 +7,170 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import cells
+from tessella.operators import lists
+from tessella.sources import pipe_tables
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+
 def regional_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers per region: pre-aggregated by nation before the small dimension tables are joined."""
-    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return counts.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("r_name").alias("region")).agg(F.sum("n").alias("customers"))
+    """Customers per region against a target."""
+    customers = table(spark, sf_dir, "customer").join(nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("region"))
+    target = table(spark, sf_dir, "region").select(F.col("r_name").alias("region"), (F.lit(100) * (F.col("r_regionkey") + 1)).cast("long").alias("target"))
+    return lists.against_target(customers, "region", target)
+
+
+def qualified_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A revenue band or a recent small order; unknown balances (below 0) make the rule null."""
+    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("total"), F.max("o_orderdate").alias("closed"))
+    customers = table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
+    revenue = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
+    since, until = (F.lit(d).cast("timestamp_ntz") for d in ("1995-01-01", "1998-12-31"))
+    rule = lists.qualifies(revenue, 1000.0, 5000.0, F.col("total"), 100000.0, F.col("closed"), since, until)
+    return customers.select("c_custkey", rule.alias("qualifies"), (revenue < 2500.0).alias("preferred"))
+
+
+def confidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders per confidence level, and which levels to verify first."""
+    urgency = F.substring("o_orderpriority", 1, 1)
+    level = F.when(urgency == "1", "High").when(urgency == "2", "Med").when(urgency.isin("3", "4"), "Low")
+    rows = table(spark, sf_dir, "orders").select(level.alias("level"))
+    return rows.groupBy("level").agg(F.count("*").alias("orders")).select("level", lists.confidence_rank(F.col("level")).alias("rank"), (F.col("level") == "Low").alias("verify"), "orders")
+
+
+def column_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells of each column say something, after missing marks."""
+    part = table(spark, sf_dir, "part")
+    marked = part.select("p_partkey", F.when(F.col("p_size") % 3 == 0, "Not disclosed").when(F.col("p_size") % 5 == 0, " — ").otherwise(F.col("p_brand")).alias("brand"), "p_type")
+    return lists.coverage(marked.select("p_partkey", cells.known(F.col("brand")).alias("brand"), "p_type"), ["p_partkey", "brand", "p_type"])
+
+
+def one_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers, whose columns differ, as one list of two sections."""
+    return lists.conform([
+        (table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), {"c_custkey": "entry", "c_name": "name", "c_acctbal": "balance", "c_mktsegment": "segment"}, {"section": F.lit(1)}),
+        (table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), {"s_suppkey": "entry", "s_name": "name", "s_acctbal": "balance"}, {"section": F.lit(2)}),
+    ])
+
+
+def screened_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' totals at screening rates that only some currencies have."""
+    rates = spark.createDataFrame([("AUD", 0.65), ("NZD", 0.60), ("USD", 1.0)], "currency string, rate double")
+    code = F.element_at(F.array(*map(F.lit, ("AUD", "NZD", "USD", "GBP", "EUR"))), (F.col("o_custkey") % 5 + 1).cast("int"))
+    orders = lists.convert(table(spark, sf_dir, "orders").select("o_totalprice", code.alias("currency")), "o_totalprice", "currency", rates, "usd")
+    return orders.groupBy("currency").agg(F.count("*").alias("orders"), F.count("usd").alias("converted"), F.round(F.sum(F.col("usd").cast("decimal(18,4)")), 2).cast("double").alias("usd"))
+
+
+def strict_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers without a caveat: a negative balance, or a nation above the last five."""
+    supplier = table(spark, sf_dir, "supplier")
+    caveats = supplier.where("s_acctbal < 0").select("s_suppkey", F.lit("below").alias("class")).union(supplier.where("s_nationkey >= 20").select("s_suppkey", F.lit("outside").alias("class")))
+    return lists.strict(supplier, caveats, "s_suppkey").select("s_suppkey", "s_name")
+
+
+def type_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts per word of a cell of several values."""
+    joined = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_type", " ", " ; ").alias("types"))
+    return joined.select(F.explode(cells.many(F.col("types"))).alias("word")).groupBy("word").agg(F.count("*").alias("parts"))
+
+
+def money_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts read from prose, by role and currency."""
+    whole = F.floor("o_totalprice").cast("string")
+    prose = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("A$"), whole, F.lit(" raised; seeking US$"), (F.col("o_custkey") % 90 + 1).cast("string"), F.lit("k")))
+    prose = prose.when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("£"), whole, F.lit(" valuation"))).when(F.col("o_orderkey") % 4 == 2, "Not disclosed").otherwise(F.concat(F.lit("€"), F.col("o_custkey").cast("string"), F.lit("m grant")))
+    facts = table(spark, sf_dir, "orders").select(F.inline(cells.money_facts(prose)))
+    return facts.groupBy("role", "currency").agg(F.count("*").alias("facts"), F.sum("amount").cast("double").alias("amount"))
+
+
+def staff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges read from text such as "~10–20 (est.)"."""
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("~"), size, F.lit("–"), (F.col("p_size") + 10).cast("string"), F.lit(" (est.)"))).when(F.col("p_size") % 3 == 1, size).otherwise("—")
+    rows = table(spark, sf_dir, "part").select(cells.number_range(text).alias("r"))
+    return rows.groupBy(F.col("r.is_estimate").alias("is_estimate")).agg(F.count("*").alias("parts"), F.sum("r.lo").alias("lo"), F.sum("r.hi").alias("hi"))
+
+
+def other_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Former names in a name cell."""
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit(" (formerly Old "), F.col("s_suppkey").cast("string"), F.lit(", Older)"))).otherwise(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(cells.aliases(name)).alias("alias"))
+
+
+def open_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of an open status, those within a range of entries flagged as weak."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    return orders.select("o_orderkey", F.col("o_orderkey").between(56, 60).alias("weak"))
+
+
+def enriched_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with what a local file knows of them; those that it lacks stay."""
+    contacts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("contact"))
+    return table(spark, sf_dir, "customer").join(contacts, "c_custkey", "left").select("c_custkey", "c_name", "contact")
+
+
+def refreshed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders after a refresh that changes some and adds some."""
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    changes = base.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("R").alias("o_orderstatus"), F.col("o_totalprice") + 1)
+    more = base.where("o_orderkey % 11 = 0").select(-F.col("o_orderkey") - 1, "o_orderstatus", "o_totalprice")
+    return lists.refresh(base, changes.union(more).toDF(*base.columns), "o_orderkey")
+
+
+def nations_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as a pipe table under a heading per region, and read back."""
+    line = F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), F.col("n_name"), F.lit(" |"))
+    pages = nations(spark, sf_dir).groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("rows"))
+    pages = pages.select(F.col("r_name").alias("path"), F.concat(F.lit("# "), F.col("r_name"), F.lit("\n\n| Key | Name |\n|---|:--|\n"), F.col("rows"), F.lit("\n\ntext")).alias("text"))
+    rows = pipe_tables.parse_pipe_tables(pages)
+    return rows.select("section", F.col("cells.Key").cast("int").alias("n_nationkey"), F.col("cells.Name").alias("n_name"))
+
 
+_ALL = (regional_mix, qualified_customers, confidence_levels, column_coverage, one_list, screened_totals, strict_suppliers, type_words, money_by_role, staff_ranges, other_names, open_entries, enriched_customers, refreshed_orders, nations_by_table)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"regional_mix": regional_mix}
 SQL: dict[str, str] = {
-    "regional_mix": "SELECT r_name AS region, count(*)::BIGINT AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+    "regional_mix": "SELECT r_name AS region, 100 * (r_regionkey + 1)::BIGINT AS target, count(c_custkey)::BIGINT AS delivered, (count(c_custkey) - 100 * (r_regionkey + 1))::BIGINT AS gap FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, r_regionkey",
+    "qualified_customers": """
+        WITH last AS (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS total, max(o_orderdate) AS closed FROM orders GROUP BY 1),
+        c AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS revenue, total, closed FROM customer LEFT JOIN last ON c_custkey = o_custkey)
+        SELECT c_custkey, (revenue BETWEEN 1000 AND 5000) OR (total < 100000 AND closed BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-12-31') AS qualifies, revenue < 2500 AS preferred FROM c""",
+    "confidence_levels": """
+        WITH l AS (SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'High' WHEN '2' THEN 'Med' WHEN '3' THEN 'Low' WHEN '4' THEN 'Low' END AS level FROM orders)
+        SELECT level, CASE level WHEN 'High' THEN 3 WHEN 'Med' THEN 2 WHEN 'Low' THEN 1 END AS rank, level = 'Low' AS verify, count(*)::BIGINT AS orders FROM l GROUP BY level""",
+    "column_coverage": """
+        WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_size % 5 = 0 THEN NULL ELSE p_brand END AS brand, p_type FROM part)
+        SELECT 'p_partkey' AS "column", count(*)::BIGINT AS "rows", count(p_partkey)::BIGINT AS present, count(DISTINCT p_partkey)::BIGINT AS distinct_values FROM p
+        UNION ALL SELECT 'brand', count(*), count(brand), count(DISTINCT brand) FROM p UNION ALL SELECT 'p_type', count(*), count(p_type), count(DISTINCT p_type) FROM p""",
+    "one_list": "SELECT c_custkey AS entry, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, 1 AS section FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL, 2 FROM supplier",
+    "screened_totals": """
+        WITH o AS (SELECT o_totalprice, ['AUD', 'NZD', 'USD', 'GBP', 'EUR'][(o_custkey % 5 + 1)::INT] AS currency FROM orders),
+        r AS (SELECT * FROM (VALUES ('AUD', 0.65::DOUBLE), ('NZD', 0.60::DOUBLE), ('USD', 1.0::DOUBLE)) AS v(currency, rate))
+        SELECT currency, count(*)::BIGINT AS orders, count(rate)::BIGINT AS converted, round(sum((o_totalprice * rate)::DECIMAL(18, 4)), 2)::DOUBLE AS usd FROM o LEFT JOIN r USING (currency) GROUP BY currency""",
+    "strict_suppliers": "SELECT s_suppkey, s_name FROM supplier WHERE NOT (s_acctbal < 0 OR s_nationkey >= 20)",
+    "type_words": "SELECT word, count(*)::BIGINT AS parts FROM (SELECT unnest(string_split(p_type, ' ')) AS word FROM part) GROUP BY word",
+    "money_by_role": """
+        WITH f AS (
+          SELECT 'raised' AS role, 'AUD' AS currency, floor(o_totalprice) AS amount FROM orders WHERE o_orderkey % 4 = 0
+          UNION ALL SELECT 'sought', 'USD', (o_custkey % 90 + 1) * 1000 FROM orders WHERE o_orderkey % 4 = 0
+          UNION ALL SELECT 'valuation', 'GBP', floor(o_totalprice) FROM orders WHERE o_orderkey % 4 = 1
+          UNION ALL SELECT 'grant', 'EUR', o_custkey * 1000000 FROM orders WHERE o_orderkey % 4 = 3)
+        SELECT role, currency, count(*)::BIGINT AS facts, sum(amount)::DOUBLE AS amount FROM f GROUP BY role, currency""",
+    "staff_ranges": """
+        SELECT CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS is_estimate, count(*)::BIGINT AS parts,
+          sum(CASE WHEN p_size % 3 < 2 THEN p_size END)::BIGINT AS lo, sum(CASE WHEN p_size % 3 = 0 THEN p_size + 10 WHEN p_size % 3 = 1 THEN p_size END)::BIGINT AS hi FROM part GROUP BY 1""",
+    "other_names": "SELECT s_suppkey, unnest(['Old ' || s_suppkey, 'Older']) AS alias FROM supplier WHERE s_suppkey % 2 = 0",
+    "open_entries": "SELECT o_orderkey, o_orderkey BETWEEN 56 AND 60 AS weak FROM orders WHERE o_orderstatus = 'O'",
+    "enriched_customers": "SELECT c_custkey, c_name, s_name AS contact FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
+    "refreshed_orders": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'R' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders
+        UNION ALL SELECT -o_orderkey - 1, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 = 0""",
+    "nations_by_table": "SELECT r_name AS section, n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey",
 }

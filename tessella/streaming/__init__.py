@@ -1 +1 @@
-
+"""No stream is among the operations to rebuild; a refresh is a batch merge (operators.lists.refresh)."""
