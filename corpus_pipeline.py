@@ -29,9 +29,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    whole = docs.select("doc_id", "text", "source", F.struct("*").alias("_whole"))
-    mixed = mixing.mix_sources(whole, keep=("_whole",)).where("copies > 0")
-    return mixed.select("_whole", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select("_whole.*")
+    whole = docs.select("doc_id", "text", "source", F.struct("*").alias("_record"))
+    mixed = mixing.mix_sources(whole, keep=("_record",)).where("copies > 0")
+    return mixed.select("_record", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select("_record.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
