@@ -82,8 +82,11 @@ def peel(table: DataFrame, by: list[str], cells: int) -> DataFrame:
 
 
 def _units(rows: DataFrame, left: str, right: str) -> DataFrame:
-    signed = [F.transform(c, lambda d, s=s: F.struct(d.alias("digest"), F.lit(s).cast("long").alias("sign"))) for c, s in ((left, 1), (right, -1))]
-    return rows.select("_row", "_kind", F.explode(F.concat(*signed)).alias("u")).select("_row", "_kind", "u.*")
+    def signed(column: str, sign: int) -> Column:
+        return F.transform(column, lambda d: F.struct(d.alias("digest"), F.lit(sign).cast("long").alias("sign")))
+
+    both = F.concat(signed(left, 1), signed(right, -1))
+    return rows.select("_row", "_kind", F.explode(both).alias("u")).select("_row", "_kind", "u.*")
 
 
 def differences(pairs: DataFrame) -> DataFrame:
