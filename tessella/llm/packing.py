@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,33 +23,56 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*\Z")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^ \t\n\r{_LETTER}{_DIGIT}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """Bytes of a pre-token's ids, by pre-token.
 
     A byte-level tokeniser encodes pre-tokens one by one, so a text's ids are those of its pre-tokens in a row;
-    each distinct one is encoded once by the library.
+    each distinct one is encoded once by the library's model, and kept as long as it is met again.  Other
+    tokenisers, and texts with rare characters, are left to the library whole.
     """
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model, self.letters, self.older = tokenizer, tokenizer.model, _byte_letters(), {}
+        self.by_word = tokenizer.normalizer is None and type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not tokenizer.pre_tokenizer.add_prefix_space
 
     def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = self.encoded(word)
+        self[word] = out
         return out
 
     def encoded(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def text(self, text: str) -> bytes:
-        if _PLAIN.match(text):
+        if self.by_word and _PLAIN.match(text):
             return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
         return self.encoded(text)
 
 
+@lru_cache(2)
+def word_ids(vocabulary: str) -> WordIds:
+    """One per worker process and vocabulary: a process runs many tasks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True
+    return WordIds(tokenizer)
+
+
 class OpenWindows:
     """Open windows by remaining capacity, with a segment tree that finds the tightest that fits."""
 
@@ -108,11 +133,7 @@ def token_pieces(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        words, end = WordIds(tokenizer), int(end_id).to_bytes(4, "little")
+        words, end = word_ids(vocabulary), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -142,9 +163,10 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, ke
     names = ["start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if batches else None
-        if table is None or not table.num_rows:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return
+        table = pa.Table.from_batches(found)
         table = table.sort_by([("length", "descending"), (key, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         ids, offsets, fill = best_fit(table["length"].to_pylist(), window)
         base = TaskContext.get().partitionId() << 32
@@ -153,12 +175,8 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, ke
         table = table.append_column("sequence_tokens", pa.array(used, pa.int64())).append_column("padded_length", pa.array([n if n & (n - 1) == 0 else window for n in used], pa.int64()))
         yield from table.to_batches()
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        return run(found) if found else iter(())
-
     pieces = token_pieces(df, vocabulary, window, end_id, key, text).repartition(bins)
-    return pieces.mapInArrow(some, f"`{key}` {kind}, {', '.join(f'{c} long' for c in [*names, 'sequence_id', 'offset', 'sequence_tokens', 'padded_length'])}")
+    return pieces.mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in [*names, 'sequence_id', 'offset', 'sequence_tokens', 'padded_length'])}")
 
 
 def default_vocabulary() -> str:
