@@ -113,4 +113,30 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target,
 FROM slim JOIN plan USING (src) LEFT JOIN cut USING (src)
 """
 
-SQL: dict[str, str] = {"op1_jump_shards": SQL_SHARDS, "op4_mix_sources": SQL_MIX}
+SQL_WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) || '00' AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, ((5 * i) // 4 + 1)::INT, 3))::INT >> (7 - (5 * i) % 4)::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p
+"""
+
+SQL_JOIN = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END)) AS grams FROM w),
+docs AS (SELECT doc_id, grams, len(grams)::BIGINT AS n, CASE WHEN len(grams) > 0 THEN md5(array_to_string(grams, '|')) END AS node FROM g),
+nodes AS (SELECT node, any_value(grams) AS grams, any_value(n) AS n, min(doc_id) AS first FROM docs WHERE node IS NOT NULL GROUP BY node),
+posts AS (SELECT node, n, unnest(grams) AS gram FROM nodes),
+links AS (
+  SELECT a.node AS x, b.node AS y FROM posts a JOIN posts b ON a.gram = b.gram AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+roots AS (SELECT x AS node, min(first) AS component_id FROM reach JOIN nodes ON node = y GROUP BY x),
+degrees AS (SELECT x AS node, count(*) AS links FROM links GROUP BY x)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(links, 0)::BIGINT AS links
+FROM docs LEFT JOIN roots USING (node) LEFT JOIN degrees USING (node)
+"""
+
+SQL: dict[str, str] = {"op1_jump_shards": SQL_SHARDS, "op2_warc_archives": SQL_WARC, "op4_mix_sources": SQL_MIX, "op7_ngram_jaccard": SQL_JOIN}
