@@ -14,7 +14,7 @@ from .common import blocks, column_bytes, word_start_hashes
 #: Features are hashed to 2**BITS weights: each word, and its first 4, 5 and 6 bytes.
 BITS, STARTS = 18, (4, 5, 6)
 #: Documents that the models are fitted on, about: confirmed toxic ones, and ones without a label.
-POSITIVES, UNLABELLED = 6000, 12000
+POSITIVES, UNLABELLED = 4000, 8000
 #: Models, each fitted in a task of its own with another order of steps; their scores are averaged.
 MODELS = 3
 _SEPARATORS = np.ones(256, bool)
@@ -35,40 +35,46 @@ def distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def _lift(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
-    """Of each feature, the log of its rate among the positives over its rate among the negatives, as the unlabelled give it, less three deviations (of their logs)."""
-    size = 1 << BITS
-    p, u = (np.bincount(np.concatenate(g), minlength=size) for g in (positive, unlabelled))
-    rate_p, rate_u = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
-    rate_n = np.maximum((rate_u - prior * rate_p) / (1 - prior), 0.5 / (len(unlabelled) + 1))
+def _lift(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """From the counts of features in n_p positives and n_u unlabelled texts, the log of each one's rate among positives over its rate among negatives, as the unlabelled give it, less three deviations (of their logs)."""
+    rate_p, rate_u = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
+    rate_n = np.maximum((rate_u - prior * rate_p) / (1 - prior), 0.5 / (n_u + 1))
     return np.log(rate_p / rate_n) - 3.0 * np.sqrt(1 / (p + 0.5) + 1 / (u + 0.5))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int = 60, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit(features: np.ndarray, sizes: np.ndarray, positive: np.ndarray, prior: float, seed: int, epochs: int = 60, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model of feature presence, by the non-negative risk estimator.
 
-    The risk is prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) with the sigmoid loss; where the
-    second part is below 0, the step goes the other way.  Features have a weight if their rate among positives is
-    surely several times that among negatives.
+    features has the distinct features of text after text, sizes their numbers, and positive tells the confirmed
+    texts from the unlabelled.  The risk is prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) with the
+    sigmoid loss; where the second part is below 0, the step goes the other way.  Features have a weight if their
+    rate among positives is surely several times that among negatives.
     """
     rng = np.random.default_rng(seed)
     w, b = np.zeros(1 << BITS, np.float64), float(np.log(prior / (1 - prior))) - 1.0
-    if not positive or not unlabelled:
+    n_p, n_u = int(positive.sum()), int((~positive).sum())
+    if not n_p or not n_u:
         return w, b
-    seen = _lift(positive, unlabelled, prior) > 2.0
+    of_p = np.repeat(positive, sizes)
+    p, u = (np.bincount(features[at], minlength=1 << BITS) for at in (of_p, ~of_p))
+    seen = _lift(p, u, n_p, n_u, prior) > 2.0
+    at = seen[features]
     number = np.cumsum(seen) - 1
-    positive, unlabelled = ([number[f[seen[f]]] for f in group] for group in (positive, unlabelled))
+    flat, text = number[features[at]], np.repeat(np.arange(len(sizes)), sizes)[at]  # few are left
+    begins = np.searchsorted(text, np.arange(len(sizes) + 1))
     n = int(seen.sum())
     v, m1, m2, mb1, mb2, step = np.zeros(n), np.zeros(n), np.zeros(n), 0.0, 0.0, 0
-    batches = max(1, -(-max(len(positive), len(unlabelled)) // 1024))
+    batches = max(1, -(-max(n_p, n_u) // 1024))
+    places = [np.flatnonzero(positive), np.flatnonzero(~positive)]
     for _ in range(epochs):
-        p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
+        orders = [rng.permutation(x) for x in places]
         for k in range(batches):
-            p = [positive[i] for i in p_order[k::batches]] or [positive[0]]
-            u = [unlabelled[i] for i in u_order[k::batches]] or [unlabelled[0]]
-            flat = np.concatenate([*p, *u])
-            doc = np.repeat(np.arange(len(p) + len(u)), [len(f) for f in [*p, *u]])
-            f = np.clip(np.bincount(doc, v[flat], minlength=len(p) + len(u)) + b, -30, 30)
+            p, u = (o[k::batches] if len(o) > k else o[:1] for o in orders)
+            both = np.concatenate([p, u])
+            count = begins[both + 1] - begins[both]
+            doc = np.repeat(np.arange(len(both)), count)
+            x = flat[np.repeat(begins[both] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+            f = np.clip(np.bincount(doc, v[x], minlength=len(both)) + b, -30, 30)
             s = 1 / (1 + np.exp(-f))  # l(-f); l(f) is 1 - s
             slope = s * (1 - s)
             sp, su = slope[: len(p)] / len(p), slope[len(p) :] / len(u)
@@ -76,7 +82,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
                 g = np.concatenate([-2 * prior * sp, su])
             else:
                 g = np.concatenate([prior * sp, -su])
-            grad = np.bincount(flat, g[doc], minlength=n) + 1e-5 * v
+            grad = np.bincount(x, g[doc], minlength=n) + 1e-5 * v
             step += 1
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
             mb1, mb2 = 0.9 * mb1 + 0.1 * g.sum(), 0.999 * mb2 + 0.001 * g.sum() ** 2
@@ -127,10 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     prior = float(min(0.9, max(0.001, rate)))
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        vectors = [np.asarray(x, np.int64) for x in table["features"].to_pylist()]
-        flags = table["p"].to_pylist()
-        w, b = fit([v for v, f in zip(vectors, flags, strict=True) if f], [v for v, f in zip(vectors, flags, strict=True) if not f], prior, int(table["model"][0].as_py()))
+        table = table.sort_by("key").combine_chunks()
+        lists = table["features"].chunk(0)
+        sizes = np.diff(lists.offsets.to_numpy())
+        w, b = fit(lists.flatten().to_numpy(), sizes, table["p"].to_numpy() == 1, prior, int(table["model"][0].as_py()))
         return pa.table({"model": table["model"][:1], "weights": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([b], pa.float64())})
 
     found = rows.groupBy("model").applyInArrow(one, "model int, weights binary, bias double").collect()
