@@ -151,6 +151,25 @@ def test_a_hot_passage_and_a_near_one(spark):
     assert found == set(range(100))
 
 
+def test_a_passage_that_the_first_text_of_its_group_has_otherwise(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(12):
+        passage = words(rng, 60)
+        other = list(passage)
+        other[20], other[40] = "edited", "changed"
+        texts += [" ".join(words(rng, 30) + p + words(rng, 30)) for p in [other] + 20 * [passage]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = defaultdict(set)
+    for r in passages.repeated_passages(df).collect():
+        found[r.doc_id].update(range(r.first_word, r.end_word))
+    want = exact_repeats(rows, 50)
+    assert len(want) == 240 and all(want[d] <= found[d] for d in want)
+    left = passages.cut_repeats(df).select("doc_id", "text").collect()
+    assert not any(exact_repeats([tuple(r) for r in left], 50).values())
+
+
 def test_cut(docs, texts):
     rows = passages.cut_repeats(docs).collect()
     assert set(rows[0].asDict()) == set(docs.columns)
