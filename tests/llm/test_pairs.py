@@ -170,6 +170,30 @@ def test_a_passage_that_the_first_text_of_its_group_has_otherwise(spark):
     assert not any(exact_repeats([tuple(r) for r in left], 50).values())
 
 
+def test_a_passage_more_often_in_one_text_than_in_the_other():
+    rng = np.random.default_rng(4)
+    passage, *rest = np.split(rng.integers(0, 2**32, 460, dtype=np.uint32), range(60, 460, 80))
+    once = np.concatenate([rest[0], passage, rest[1]])
+    twice = np.concatenate([rest[2], passage, rest[3], passage, rest[4]])
+    pieces = np.concatenate([*np.split(passage, 6)[::-1], rest[2], passage, rest[3]])  # its tokens are elsewhere before
+    for a, b in ((once, twice), (twice, once), (twice, twice), (once, pieces), (pieces, once), (pieces, pieces)):
+        sides = set(), set()
+        for s, e, lo, hi in passages.shared_passages(a, b, 46):
+            sides[0].update(range(s, e))
+            sides[1].update(range(lo, hi))
+        for text, found in zip((a, b), sides, strict=True):
+            runs = [i for i in range(len(text) - 59) if (text[i : i + 60] == passage).all()]
+            assert runs and all(set(range(i, i + 60)) <= found for i in runs)
+
+
+def test_cut_of_a_passage_that_a_later_text_has_twice(spark):
+    rng = random.Random(23)
+    p, a, b, c = words(rng, 60), words(rng, 30), words(rng, 30), words(rng, 30)
+    df = spark.createDataFrame([(1, " ".join(words(rng, 20) + p)), (2, " ".join(a + p + b + p + c))], "doc_id long, text string")
+    by = {r.doc_id: r.text for r in passages.cut_repeats(df).collect()}
+    assert by[2].split() == a + b + c
+
+
 def test_cut(docs, texts):
     rows = passages.cut_repeats(docs).collect()
     assert set(rows[0].asDict()) == set(docs.columns)
