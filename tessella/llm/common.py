@@ -7,6 +7,7 @@ no Python loop over words.  A word is a run of bytes other than space and
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a new local one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); a new local one only where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,11 +38,31 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and lost executors cost nothing."""
-    path = new_path(df.sparkSession, tag)
+    return _written(df, new_path(df.sparkSession, tag))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that only the making of other written tables needs; drop() removes them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def materialize(self, df: DataFrame, tag: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, tag))
+        return _written(df, self.paths[-1])
+
+    def drop(self) -> None:
+        for name in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> _U(33))
@@ -140,3 +163,45 @@ def blocks(offsets: np.ndarray, most: int = 0):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def binary_column(column) -> tuple[np.ndarray, np.ndarray]:
+    """Data and offsets of an Arrow binary column without nulls."""
+    import pyarrow as pa
+
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
+
+
+def sorted_groups(batches, n_keys: int):
+    """Arrow tables, one for each run of rows that agree in the first n_keys columns (integers or binaries), of rows that come sorted by them.
+
+    Only one group is held at a time.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for i in range(n_keys):
+            column = batch.column(i)
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        key = tuple(batch.column(i)[0] for i in range(n_keys))
+        if held and key != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if held and a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(batch.column(i)[batch.num_rows - 1] for i in range(n_keys))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -1,12 +1,13 @@
-"""N-gram Jaccard join by T-occurrence search over inverted lists, long lists set aside (DivideSkip).
+"""N-gram Jaccard join by T-occurrence search over inverted lists, short lists merged and long ones probed (DivideSkip).
 
 Two documents with sets of n and m shingles link if 100 * overlap >= percent * union, so the overlap is at
 least T = percent / 100 of the larger set.  Under any one order of all shingles, such documents have a shingle in
 common among the first n - T + 1 of each: only those go into the inverted lists.  The order puts the shingles of
 long lists last, by a table of bounded size: a common line then doesn't bring its documents together, as long as
-they have enough shingles beside it.  Short lists are merged into candidate pairs; of long ones (large groups of
-near copies) the members are compared by parity sketches, in blocks; candidates are then settled by probing one
-sorted set with the other.
+they have enough shingles beside it.  Lists with the same members are one.  Members of a list whose parity sketches
+don't rule a link out come into one group, through a forest only, never as all pairs.  Within a group, dealt into
+blocks of bounded size, whole sets are searched: short lists are merged into counts, long ones are probed for all
+documents at once, and what reaches T is a link.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column_bytes, materialize, mix, shingles, word_hashes
+from .common import Scratch, binary_column, blocks, column_bytes, materialize, mix, shingles, sorted_groups, word_hashes
 from .graph import components
 
 _U = np.uint64
-#: Lists of at most SHORT documents are merged pair by pair; longer ones in blocks of at most BLOCK.
+#: Lists of at most SHORT documents are merged pair by pair; longer ones are dealt into blocks of about BLOCK documents.
 SHORT, BLOCK = 12, 4096
+#: Shingles of the whole sets in a block of a group, about (a larger set is a block alone).
+BLOCK_TOKENS = 1 << 20
+#: Columns that one product of long lists takes at once.
+COLUMNS = 1024
 #: A shingle counts as frequent if one task meets it in COMMON documents; at most FREQUENT shingles do (8 bytes each are broadcast).
 COMMON, FREQUENT = 4, 1 << 20
 #: Ids up to this number are broadcast (8 bytes each) to pick documents; beyond it, they are joined by a shuffle.
@@ -48,6 +53,11 @@ def document_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.
             yield np.zeros(0, _U)
 
 
+def set_id(tokens: np.ndarray) -> bytes | None:
+    """128 bits that name a set; none for the empty one."""
+    return np.array([mix(tokens + _ORDER).sum(dtype=_U), mix(tokens ^ _ORDER).sum(dtype=_U)]).tobytes() if len(tokens) else None
+
+
 def needed(n, percent: int):
     """Least overlap of a set of n with any set that links to it."""
     return -(-percent * n // 100)
@@ -128,23 +138,25 @@ def _indexed(df: DataFrame, key: str, text: str, k: int, percent: int, table: np
                 n, node, rare, common, sketch = [], [], [], [], []
                 for tokens in document_sets(data, offsets[i : j + 1], k):
                     n.append(len(tokens))
-                    node.append(int(mix(tokens + _ORDER).sum(dtype=_U).view(np.int64)) if len(tokens) else None)
+                    node.append(set_id(tokens))
                     a, b = _prefix(tokens, len(tokens) - needed(len(tokens), percent) + 1 if len(tokens) else 0, table)
                     rare.append(a.view(np.int64))
                     common.append(b.view(np.int64))
                     sketch.append(_sketch(tokens) if len(tokens) else None)
-                arrays = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+                arrays = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(rare, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "_row", "n", "node", "rare", "common", "sketch"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("_row"), F.col(text)).mapInArrow(run, f"key {kind}, _row long, n long, node long, rare array<long>, common array<long>, sketch binary")
+    return df.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("_row"), F.col(text)).mapInArrow(run, f"key {kind}, _row long, n long, node binary, rare array<long>, common array<long>, sketch binary")
 
 
-def _lists(nodes: DataFrame, column: str) -> DataFrame:
-    """Postings (token, node, n, length) of the lists with two documents at least."""
+def _lists(nodes: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    """Postings (token, node, n, length) of the lists with two documents at least; of lists with the same members, one."""
     postings = nodes.select(F.explode(column).alias("token"), "node", "n")
-    lengths = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    return postings.join(materialize(lengths, "lengths"), "token")  # written: Spark then splits long lists in the join
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    lengths = postings.groupBy("token").agg(F.count("*").alias("length"), *members).where("length > 1")
+    lengths = lengths.groupBy("length", "m0", "m1").agg(F.min("token").alias("token")).select("token", "length")
+    return postings.join(scratch.materialize(lengths, "lengths"), "token")  # written: Spark then splits long lists in the join
 
 
 def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -160,14 +172,38 @@ def _fold(words: np.ndarray, to: int) -> np.ndarray:
     return words
 
 
-def _near(sizes: np.ndarray, sketches: list[bytes], percent: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bits that differ) of the pairs of left and right whose sizes and sketches don't rule a link out."""
-    width = np.array([len(s) // 8 for s in sketches])
-    words = {w: np.frombuffer(b"".join(sketches[i] for i in np.flatnonzero(width == w)), _U).reshape(-1, w) for w in np.unique(width)}
-    row = np.zeros(len(sizes), np.int64)
-    for w in words:
-        row[width == w] = np.arange(int((width == w).sum()))
-    out = []
+def _sketch_words(column) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+    """Width of each sketch in 64-bit words, the sketches of each width as rows, and each one's row there."""
+    data, offsets = binary_column(column)
+    width = np.diff(offsets) // 8
+    words, row = {}, np.zeros(len(width), np.int64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        words[w] = data[offsets[at][:, None] + np.arange(8 * w)].view(_U).reshape(-1, w)
+        row[at] = np.arange(len(at))
+    return width, words, row
+
+
+def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """labels after the pairs (i, j) are joined: each part has its least number as label."""
+    while len(i):
+        a, b = labels[i], labels[j]
+        at = a != b
+        if not at.any():
+            break
+        i, j, a, b = i[at], j[at], a[at], b[at]
+        low = np.minimum(a, b)
+        np.minimum.at(labels, a, low)
+        np.minimum.at(labels, b, low)
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+    return labels
+
+
+def _near_labels(sizes: np.ndarray, sketches, percent: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels of the parts into which pairs of left and right join all rows, of pairs that sizes and sketches don't rule out."""
+    width, words, row = _sketch_words(sketches)
+    labels = np.arange(len(sizes))
     for wl in words:
         for wr in words:
             if not wl // 2 <= wr <= 2 * wl:
@@ -177,73 +213,49 @@ def _near(sizes: np.ndarray, sketches: list[bytes], percent: int, left: np.ndarr
                 continue
             w = min(wl, wr)
             x, y = _fold(words[wl][row[a]], w), _fold(words[wr][row[b]], w)
-            step = max(1, (1 << 22) // (len(b) * w))
+            step = max(1, (1 << 21) // (len(b) * w))
             for s in range(0, len(a), step):
+                if not labels.any():
+                    return labels
                 d = np.bitwise_count(x[s : s + step, None] ^ y[None]).sum(2, dtype=np.int64)
                 n, m = sizes[a[s : s + step]][:, None], sizes[b][None]
                 i, j = np.nonzero((d <= differing(n, m, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-                out.append((a[s + i], b[j], d[i, j]))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Which pairs, taken by order, join two parts."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    keep, left = [], n - 1
-    for k in np.argsort(order, kind="stable").tolist():
-        a, b = find(int(i[k])), find(int(j[k]))
-        if a != b:
-            parent[a] = b
-            keep.append(k)
-            left -= 1
-            if not left:
-                break
-    return np.array(keep, np.int64)
-
-
-def _block_pairs(postings: DataFrame, nodes: DataFrame, percent: int, all_: bool) -> DataFrame:
-    """Candidate pairs (a, b, cut) of long lists.
-
-    A list is dealt into blocks of BLOCK documents, and each pair of blocks is a group; so a group is bounded and
-    a document is sent once per block, not once per pair.  A group with very many candidates gives a forest of
-    the nearest ones (cut is then true); with all_, it gives every candidate whose ends have different labels.
+                labels = join_labels(labels, a[s + i], b[j])
+    return labels
+
+
+def _dealt(rows: DataFrame, by: str, g, rest: list[str]) -> DataFrame:
+    """Rows of each group by, dealt into g blocks, once for each pair (i, j) of blocks that their block b is in; sorted by group and pair."""
+    rows = rows.select(by, g.alias("g"), F.pmod(F.xxhash64("node"), g).cast("int").alias("b"), *rest)
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select(by, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "g", "b", *rest)
+    return rows.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    mine, first, second = table["b"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+    left = np.flatnonzero(mine == first)
+    return left, left if first == second else np.flatnonzero(mine == second)
+
+
+def _block_forests(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that join what the sketches of long lists' members don't rule out, a row for a member at most.
+
+    A list is dealt into blocks, and each pair of blocks is a group; so a group is bounded and a document is sent
+    once for a block of its list, not once for a pair.
     """
-    g = F.ceil(F.col("length") / BLOCK).cast("int")
-    b = F.pmod(F.xxhash64("node"), g).cast("int")
-    label = ["label"] if all_ else []
-    dealt = postings.select("token", "node", g.alias("g"), b.alias("b")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("token", "node", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b").join(nodes.select("node", "n", "sketch", *label), "node")
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, sizes = table["node"].to_numpy(), table["n"].to_numpy()
-        sketches, mine = table["sketch"].to_pylist(), table["b"].to_numpy()
-        first, second = table["i"][0].as_py(), table["j"][0].as_py()
-        left = np.flatnonzero(mine == first)
-        right = left if first == second else np.flatnonzero(mine == second)
-        i, j, d = _near(sizes, sketches, percent, left, right)
-        at = ids[i] != ids[j] if first != second else i < j
-        if all_:
-            labels = table["label"].to_numpy()
-            at &= labels[i] != labels[j]
-        i, j, d = i[at], j[at], d[at]
-        cut = not all_ and len(i) > 4 * len(ids)
-        if cut:
-            keep = _forest(len(ids), i, j, d)
-            i, j = i[keep], j[keep]
-        a, b = ids[i], ids[j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cut": np.full(len(a), cut)})
-
-    return dealt.groupBy("token", "i", "j").applyInArrow(run, "a long, b long, cut boolean").where("a <> b")
+    rows = postings.join(nodes.select("node", "sketch"), "node")
+    dealt = _dealt(rows, "token", F.ceil(F.col("length") / BLOCK).cast("int"), ["node", "n", "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, 3):
+            labels = _near_labels(table["n"].to_numpy(), table["sketch"], percent, *_sides(table))
+            at = np.flatnonzero(labels != np.arange(len(labels)))
+            if len(at):
+                ids = table["node"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(labels[at])), ids.take(pa.array(at))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -254,52 +266,133 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in (2, 4))
-            most = differing(n, m, percent)
-            keep = []
-            for x, y, top in zip(batch.column(3), batch.column(5), most.tolist(), strict=True):
-                p, q = (np.frombuffer(v.as_py(), _U)[None] for v in (x, y))
-                w = min(p.shape[1], q.shape[1])
-                keep.append(int(np.bitwise_count(_fold(p, w) ^ _fold(q, w)).sum()) <= top)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            (wx, x, rx), (wy, y, ry) = (_sketch_words(batch.column(c)) for c in (3, 5))
+            keep = np.zeros(len(n), bool)
+            for u in x:
+                for v in y:
+                    at = np.flatnonzero((wx == u) & (wy == v))
+                    w = min(u, v)
+                    keep[at] = np.bitwise_count(_fold(x[u][rx[at]], w) ^ _fold(y[v][ry[at]], w)).sum(1) <= differing(n[at], m[at], percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes, each from one row that has it."""
-    rows = materialize(nodes.join(wanted, "node", "left_semi").select("node", "_row"), "wanted")
-    rows = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(node, tokens) of the wanted nodes (node, _row), each from one row that has it."""
+    rows = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     picked = df.select(F.xxhash64(key, text).alias("_row"), F.col(text)).join(rows, "_row").select("node", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             for i, j in blocks(offsets):
-                sets = [t.tobytes() for t in document_sets(data, offsets[i : j + 1], k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["node", "tokens"])
+                sets = list(document_sets(data, offsets[i : j + 1], k))
+                ids = batch.column(0).slice(i, j - i)
+                same = [set_id(t) == x for t, x in zip(sets, ids.to_pylist(), strict=True)]  # not another row of that hash
+                yield pa.RecordBatch.from_arrays([ids, pa.array([t.tobytes() for t in sets], pa.binary())], ["node", "tokens"]).filter(pa.array(same, pa.bool_()))
 
-    return picked.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    return picked.mapInArrow(run, "node binary, tokens binary").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(df, nodes, wanted, key, text, k), "sets")
-    both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+def overlaps(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shingles in common of each of left with each other one of right, of the sets data[offsets[i]:offsets[i+1]].
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_py(), _U) for v in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                overlap = int(_is_in(p, q).sum())
-                keep.append(100 * overlap >= percent * (len(p) + len(q) - overlap))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    The lists of at most SHORT sets are merged into the counts; longer ones are probed by products of incidence matrices.
+    """
+    out = np.zeros((len(left), len(right)), np.int32)
+    if len(left) == len(right) == 1:
+        a, b = (data[offsets[i] : offsets[i + 1]] for i in (left[0], right[0]))
+        out[0, 0] = _is_in(a, b).sum()
+        return out
+    rows = np.unique(np.concatenate([left, right]))
+    sizes = offsets[rows + 1] - offsets[rows]
+    tokens = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in rows.tolist()])
+    owner = np.repeat(rows, sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    length = np.diff(np.append(begin, len(tokens)))
+    in_left, in_right = (np.full(int(rows[-1]) + 1, -1) for _ in range(2))
+    in_left[left], in_right[right] = np.arange(len(left)), np.arange(len(right))
+    for n in range(2, SHORT + 1):
+        members = owner[begin[length == n][:, None] + np.arange(n)]
+        for u in range(n):
+            x = in_left[members[:, u]]
+            for v in range(n):
+                y = in_right[members[:, v]]
+                at = (x >= 0) & (y >= 0)
+                if u != v and at.any():
+                    np.add.at(out, (x[at], y[at]), 1)
+    long_ = np.flatnonzero(length > SHORT)
+    for c in range(0, len(long_), COLUMNS):
+        some = long_[c : c + COLUMNS]
+        column = np.repeat(np.arange(len(some)), length[some])
+        member = owner[np.concatenate([np.arange(b, b + n) for b, n in zip(begin[some].tolist(), length[some].tolist(), strict=True)])]
+        sides = []
+        for where, n in ((in_left, len(left)), (in_right, len(right))):
+            m = np.zeros((n, len(some)), np.float32)
+            at = where[member] >= 0
+            m[where[member[at]], column[at]] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int32)
+    return out
+
+
+def _linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, links, label, whole): for each block pair of a group (root) that a node is in, the links it has there and a
+    node of its part there; whole says that the group is one block."""
+    g = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") / BLOCK_TOKENS)).cast("int")
+    dealt = _dealt(groups.join(sets, "node"), "root", g, ["node", "n", "tokens"])
 
-    return materialize(both.mapInArrow(run, "a long, b long"), "links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, 3):
+            data, offsets = binary_column(table["tokens"])
+            sizes, (left, right) = table["n"].to_numpy(), _sides(table)
+            data, offsets = data[offsets[0] :], offsets - offsets[0]
+            data = np.frombuffer(data[: offsets[-1]].tobytes(), _U)
+            offsets = offsets // 8
+            links, labels = np.zeros(len(sizes), np.int64), np.arange(len(sizes))
+            alone, step = left is right, max(1, (1 << 23) // max(1, len(right)))
+            for s in range(0, len(left), step):
+                some = left[s : s + step]
+                both = overlaps(data, offsets, some, right)
+                ok = 100 * both.astype(np.int64) >= percent * (sizes[some][:, None] + sizes[right][None] - both)
+                ok &= some[:, None] != right[None]
+                i, j = np.nonzero(ok)
+                np.add.at(links, some[i], 1)
+                if not alone:
+                    np.add.at(links, right[j], 1)
+                labels = join_labels(labels, some[i], right[j])
+            at = np.flatnonzero((links > 0) | (labels != np.arange(len(labels))))
+            if len(at):
+                ids = table["node"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(links[at]), ids.take(pa.array(labels[at])), pa.array(np.full(len(at), table["g"][0].as_py() == 1))], ["node", "links", "label", "whole"])
+
+    return dealt.mapInArrow(run, "node binary, links long, label binary, whole boolean")
+
+
+def _joined(df: DataFrame, key: str, text: str, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, _row, n, node, root, links) of each row: its set's part of the graph of links, and the links of its set."""
+    table = _frequent(df, text, words, percent)
+    indexed = scratch.materialize(_indexed(df, key, text, words, percent, table), "sets-index")
+    nodes = indexed.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row"), F.first(F.struct("n", "rare", "common", "sketch")).alias("_s"))
+    nodes = scratch.materialize(nodes.select("node", "_row", "_s.*"), "nodes")
+    rare = scratch.materialize(_lists(nodes, "rare", scratch), "lists")
+    long_ = rare.where(F.col("length") > SHORT).unionByName(_lists(nodes, "common", scratch))
+    near = _pruned(_short_pairs(rare, percent), nodes, percent).unionByName(_block_forests(long_, nodes, percent))
+    groups = components(scratch.materialize(near, "near"), scratch)
+    groups = scratch.materialize(groups.join(nodes.select("node", "_row", "n"), "node"), "groups")
+    sizes = scratch.materialize(groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("size")), "group-sizes")
+    sets = _sets(df, groups.select("node", "_row"), key, text, words)
+    linked = scratch.materialize(_linked(groups.join(sizes, "root"), sets, percent), "links")
+    links = linked.groupBy("node").agg(F.sum("links").alias("links"), F.max(F.when(F.col("whole"), F.col("label"))).alias("root"))
+    parts = linked.where("not whole and node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    if parts.limit(1).count():
+        wide = components(parts, scratch).withColumnRenamed("root", "_wide")
+        links = links.join(wide, "node", "left").select("node", "links", F.coalesce("root", "_wide").alias("root"))
+    out = indexed.select("key", "_row", "n", "node").join(links, "node", "left")
+    return out.select("key", "_row", "n", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -307,44 +400,34 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     Words are lower-cased (A-Z) runs without white space; a document with fewer than words of them has its whole
     sequence as one shingle; one without any is empty and links with nothing.  node is the id of the document's
-    set, the same for equal sets, which are compared once; links is the number of other sets known to link with
-    it (in a group of very many near copies, only those that were needed to join it).  component_id is the
-    smallest key reachable by links.
+    set (128 bits), the same for equal sets, which are compared once; links is the number of other sets that link
+    with it.  component_id is the smallest key reachable by links.
 
     A null text is empty.  A null key gets the component of its set; its own is null if it has no other.  Repeated
     rows are equal documents; an empty table gives none; other columns are left out.
     """
-    table = _frequent(df, text, words, percent)
-    indexed = materialize(_indexed(df, key, text, words, percent, table), "sets-index")
-    first = indexed.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row"))
-    nodes = materialize(indexed.join(first, ["node", "_row"], "left_semi").drop("key"), "nodes")
-    rare = materialize(_lists(nodes, "rare"), "lists")
-    long_ = rare.where(F.col("length") > SHORT).unionByName(_lists(nodes, "common"))
-    short = _pruned(_short_pairs(rare, percent), nodes, percent)
-    long_pairs = materialize(_block_pairs(long_, nodes, percent, False), "long-pairs")
-    pairs = short.union(long_pairs.select("a", "b")).distinct()
-    links = _verified(pairs, df, nodes, key, text, words, percent)
-    roots = components(links)
-    if long_pairs.where("cut").limit(1).count():
-        # what the forests left out: candidates between parts that are still apart
-        labelled = nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        rest = _block_pairs(long_, labelled, percent, True).select("a", "b").distinct()
-        more = _verified(rest.join(links, ["a", "b"], "left_anti"), df, nodes, key, text, words, percent)
-        if more.limit(1).count():
-            links = links.union(more)
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    own = indexed.where("node is not null").groupBy("node").agg(F.min("key").alias("_least"))
-    placed = own.join(roots, "node", "left").join(degree, "node", "left").withColumn("_root", F.coalesce("root", "node"))
-    least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    placed = placed.join(least, "_root").select("node", F.coalesce("links", F.lit(0)).alias("links"), "component_id")
-    alone = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    out = indexed.select("key", "n", "node").join(placed, "node", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "node", F.coalesce("links", F.lit(0)).alias("links"), alone.alias("component_id"))
+    scratch = Scratch(df.sparkSession)
+    rows = materialize(_joined(df, key, text, words, percent, scratch), "joined")
+    scratch.drop()
+    least = rows.where("root is not null").groupBy("root").agg(F.min("key").alias("_least"))
+    alone = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("_least"))
+    return rows.join(least, "root", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "node", "links", alone.alias("component_id"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df whose key is their component's smallest, and those without words or key; of rows repeating one key and set, one."""
-    joined = jaccard_join(df, key, text, words, percent)
-    gone = joined.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return df.join(gone, key, "left_anti")
+    """The rows of df that have their component's smallest key, and those without words.
+
+    Of rows repeating that key within the component, with the same text or not, one stays (a null key is the
+    largest).  Rows without words (null and empty texts) all stay; an empty table gives none; all columns are kept,
+    whatever their names.
+    """
+    scratch = Scratch(df.sparkSession)
+    rows = scratch.materialize(_joined(df, key, text, words, percent, scratch).where("root is not null"), "joined")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "node", "_row")).alias("_first"))
+    rows = rows.join(first, "root").groupBy("_row").agg(F.max(F.col("_row") == F.col("_first._row")).alias("first"), F.count("*").alias("n"))
+    plan = materialize(rows.where("not first or n > 1"), "repeats")
+    scratch.drop()
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_IDS else plan
+    marked = df.select(F.struct("*").alias("_r"), F.xxhash64(key, text).alias("_row")).join(plan, "_row", "left")
+    alone = marked.where("first is null").select("_r.*")
+    return alone.unionByName(marked.where("first").dropDuplicates(["_row"]).select("_r.*"))

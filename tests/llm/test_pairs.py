@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 
 from tessella.llm import graph, ngram_join, passages
+from tessella.llm.common import Scratch
 
 from .conftest import words
 
@@ -39,12 +40,14 @@ def brute_components(rows, k, percent):
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    return [(r[0], len(s), least.get(find(i))) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
+    distinct = {frozenset(s) for s in sets if s}
+    links = {a: sum(a != b and 100 * len(a & b) >= percent * len(a | b) for b in distinct) for a in distinct}
+    return [(r[0], len(s), least.get(find(i)) if s else r[0], links.get(frozenset(s), 0)) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
 
 
 def same(found, rows, k, percent):
     key = lambda x: tuple(-1 if v is None else v for v in x)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=key)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.links) for r in found), key=key)
     assert got == sorted(brute_components(rows, k, percent), key=key)
 
 
@@ -80,11 +83,52 @@ def test_large_families_with_long_lists_and_forests(spark, monkeypatch):
 
 def test_keep_one(docs, texts):
     kept = ngram_join.keep_one(docs).collect()
-    gone = {d for d, _, c in brute_components(texts, 5, 80) if d is not None and d != c}
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(r[0] for r in texts if r[0] is not None and r[0] not in gone)
+    gone = {d for d, _, c, _ in brute_components(texts, 5, 80) if d is not None and d != c}
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({r[0] for r in texts if r[0] is not None and r[0] not in gone})
     assert set(kept[0].asDict()) == set(docs.columns)
 
 
+def test_keep_one_of_odd_keys(spark, none):
+    rng = random.Random(31)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    near = a + " more"
+    rows = [(1, a), (2, near), (2, b), (None, c), (None, c), (None, a), (3, d), (3, d), (3, d + " end"), (4, ""), (4, ""), (5, None)]
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, _row int, first string").repartition(2)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()), key=str)
+    ends = [x for x in kept if x[0] == 3]
+    assert len(ends) == 1 and [x for x in kept if x[0] != 3] == sorted([(1, a), (2, b), (None, c), (4, ""), (4, ""), (5, None)], key=str)
+    assert ngram_join.keep_one(none).count() == 0
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 150 if i % 2 else 4000, rng.integers(1, 120))).astype(np.uint64) for i in range(60)]
+    data, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    for left, right in ((np.arange(60), np.arange(60)), (np.arange(0, 60, 3), np.arange(1, 60, 2)), (np.array([3]), np.array([7]))):
+        found = ngram_join.overlaps(data, offsets, left, right)
+        assert all(found[x, y] == len(np.intersect1d(sets[i], sets[j])) for x, i in enumerate(left) for y, j in enumerate(right) if i != j)
+
+
+def test_near_misses_are_not_sent_as_pairs(spark):
+    """Documents of a family that all but link: what is sent grows with the documents, not with their square."""
+    rng = random.Random(17)
+    sent = []
+    for n in (100, 400):
+        centre = words(rng, 104)
+        rows = []
+        for i in range(n):  # two words of their own each: 93 of 109 shingles in common at most, 0.853, or 0.846 and less
+            w = list(centre)
+            w[rng.randrange(4, 50)], w[rng.randrange(54, 100)] = f"own{i}", f"other{i}"
+            rows.append((i, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        same(ngram_join.jaccard_join(df, words=4, percent=87).collect(), rows, 4, 87)
+        scratch = Scratch(spark)
+        index = ngram_join._indexed(df, "doc_id", "text", 4, 87, ngram_join._frequent(df, "text", 4, 87)).drop("key")
+        lists = ngram_join._lists(index, "rare", scratch).unionByName(ngram_join._lists(index, "common", scratch))
+        sent.append((ngram_join._short_pairs(lists, 87).count() + ngram_join._block_forests(lists.where(f"length > {ngram_join.SHORT}"), index, 87).count()) / n)
+    assert sent[1] < 2.5 * sent[0] + 1 and sent[1] < 150
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (None, 3)] + [(1000, 2000 + i) for i in range(300)]
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

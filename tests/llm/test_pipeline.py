@@ -46,7 +46,7 @@ def test_stages(spark, tmp_path):
             toxic = {r[0] for r in before if r[0] < 400 and r[0] % 6 == 0}
             assert len(toxic & set(ids)) <= 2 and len(before) - len(toxic) - len([r for r in kept if r[0] not in toxic]) <= 4
         elif name == "ngram_jaccard":
-            assert set(ids) == {d for d, _, c in brute_components(before, 5, 80) if d == c} and max(ids.values()) == 1
+            assert set(ids) == {d for d, _, c, _ in brute_components(before, 5, 80) if d == c} and max(ids.values()) == 1
         elif name == "substring_dedup":
             assert not any(exact_repeats([(r[0], r[1] or "") for r in kept], 50).values())
             text = {r[0]: r[1] for r in before}
