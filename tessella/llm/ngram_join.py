@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, binary_column, blocks, column_bytes, materialize, mix, shingles, sorted_groups, word_hashes
@@ -151,17 +152,26 @@ def _indexed(df: DataFrame, key: str, text: str, k: int, percent: int, table: np
 
 
 def _lists(nodes: DataFrame, column: str, scratch: Scratch) -> DataFrame:
-    """Postings (token, node, n, length) of the lists with two documents at least; of lists with the same members, one."""
-    postings = nodes.select(F.explode(column).alias("token"), "node", "n")
-    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in range(2)]
-    lengths = postings.groupBy("token").agg(F.count("*").alias("length"), *members).where("length > 1")
-    lengths = lengths.groupBy("length", "m0", "m1").agg(F.min("token").alias("token")).select("token", "length")
-    return postings.join(scratch.materialize(lengths, "lengths"), "token")  # written: Spark then splits long lists in the join
+    """Postings (token, id, length) of the lists with two documents at least; of lists with the same members, one.
 
-
-def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    groups = lists.where(F.col("length") <= SHORT).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("g"))
-    pairs = F.expr(f"flatten(transform(g, (p, i) -> transform(filter(slice(g, i + 2, {SHORT}), q -> 100 * p.n >= {percent} * q.n and q.node <> p.node), q -> struct(least(p.node, q.node) as a, greatest(p.node, q.node) as b))))")
+    Common shingles' lists are counted before they are joined, so that Spark can split long ones.  Of the rare ones
+    none is as long as FREQUENT others are, so they are counted where they meet, after one shuffle.
+    """
+    postings = nodes.select(F.explode(column).alias("token"), "id")
+    if column == "common":
+        lengths = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+        shared = postings.join(scratch.materialize(lengths, "lengths"), "token")
+    else:
+        shared = postings.withColumn("length", F.count("*").over(W.partitionBy("token"))).where("length > 1")
+    shared = scratch.materialize(shared, "postings")
+    members = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    kept = shared.groupBy("token").agg(F.max("length").alias("length"), *members).groupBy("length", "m0", "m1").agg(F.min("token").alias("token"))
+    return shared.join(scratch.materialize(kept.select("token"), "lists"), "token")
+
+
+def _short_pairs(lists: DataFrame) -> DataFrame:
+    groups = lists.where(F.col("length") <= SHORT).groupBy("token").agg(F.sort_array(F.collect_list("id")).alias("g"))
+    pairs = F.expr(f"flatten(transform(g, (p, i) -> transform(filter(slice(g, i + 2, {SHORT}), q -> q <> p), q -> struct(p as a, q as b))))")
     return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
@@ -244,7 +254,7 @@ def _block_forests(postings: DataFrame, nodes: DataFrame, percent: int) -> DataF
     A list is dealt into blocks, and each pair of blocks is a group; so a group is bounded and a document is sent
     once for a block of its list, not once for a pair.
     """
-    rows = postings.join(nodes.select("node", "sketch"), "node")
+    rows = postings.join(nodes.select("id", "node", "n", "sketch"), "id")
     dealt = _dealt(rows, "token", F.ceil(F.col("length") / BLOCK).cast("int"), ["node", "n", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +269,9 @@ def _block_forests(postings: DataFrame, nodes: DataFrame, percent: int) -> DataF
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches don't rule them out."""
-    slim = nodes.select("node", "n", "sketch")
-    both = pairs.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
+    """Pairs (a, b) of nodes whose sketches don't rule them out, of pairs of their ids."""
+    slim = nodes.select("id", "node", "n", "sketch")
+    both = pairs.join(slim.toDF("a", "u", "na", "sa"), "a").join(slim.toDF("b", "v", "nb", "sb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,9 +283,9 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     at = np.flatnonzero((wx == u) & (wy == v))
                     w = min(u, v)
                     keep[at] = np.bitwise_count(_fold(x[u][rx[at]], w) ^ _fold(y[v][ry[at]], w)).sum(1) <= differing(n[at], m[at], percent)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary")
+    return both.select("u", "v", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -377,10 +387,11 @@ def _joined(df: DataFrame, key: str, text: str, words: int, percent: int, scratc
     table = _frequent(df, text, words, percent)
     indexed = scratch.materialize(_indexed(df, key, text, words, percent, table), "sets-index")
     nodes = indexed.where("node is not null").groupBy("node").agg(F.min("_row").alias("_row"), F.first(F.struct("n", "rare", "common", "sketch")).alias("_s"))
-    nodes = scratch.materialize(nodes.select("node", "_row", "_s.*"), "nodes")
+    # id, 64 bits, stands for a node in lists; if two nodes share one, both are candidates
+    nodes = scratch.materialize(nodes.select("node", F.xxhash64("node").alias("id"), "_row", "_s.*"), "nodes")
     rare = scratch.materialize(_lists(nodes, "rare", scratch), "lists")
     long_ = rare.where(F.col("length") > SHORT).unionByName(_lists(nodes, "common", scratch))
-    near = _pruned(_short_pairs(rare, percent), nodes, percent).unionByName(_block_forests(long_, nodes, percent))
+    near = _pruned(_short_pairs(rare), nodes, percent).unionByName(_block_forests(long_, nodes, percent))
     groups = components(scratch.materialize(near, "near"), scratch)
     groups = scratch.materialize(groups.join(nodes.select("node", "_row", "n"), "node"), "groups")
     sizes = scratch.materialize(groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("size")), "group-sizes")

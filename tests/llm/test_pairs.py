@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessella.llm import graph, ngram_join, passages
 from tessella.llm.common import Scratch
@@ -123,9 +124,9 @@ def test_near_misses_are_not_sent_as_pairs(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         same(ngram_join.jaccard_join(df, words=4, percent=87).collect(), rows, 4, 87)
         scratch = Scratch(spark)
-        index = ngram_join._indexed(df, "doc_id", "text", 4, 87, ngram_join._frequent(df, "text", 4, 87)).drop("key")
+        index = ngram_join._indexed(df, "doc_id", "text", 4, 87, ngram_join._frequent(df, "text", 4, 87)).drop("key").withColumn("id", F.xxhash64("node"))
         lists = ngram_join._lists(index, "rare", scratch).unionByName(ngram_join._lists(index, "common", scratch))
-        sent.append((ngram_join._short_pairs(lists, 87).count() + ngram_join._block_forests(lists.where(f"length > {ngram_join.SHORT}"), index, 87).count()) / n)
+        sent.append((ngram_join._short_pairs(lists).count() + ngram_join._block_forests(lists.where(f"length > {ngram_join.SHORT}"), index, 87).count()) / n)
     assert sent[1] < 2.5 * sent[0] + 1 and sent[1] < 150
 
 
@@ -255,3 +256,74 @@ def test_cut_keeps_other_words(spark):
     df = spark.createDataFrame([(1, " ".join(words(rng, 20) + p)), (2, " ".join(a) + "\n" + " ".join(p) + "\n" + " ".join(b))], "doc_id long, text string")
     by = {r.doc_id: r.text for r in passages.cut_repeats(df).collect()}
     assert by[2].split() == a + b
+
+
+def edited(rng, passage, kind, n):
+    """passage with n words replaced, inserted or dropped, at places apart from each other."""
+    out = list(passage)
+    for i in sorted(rng.sample(range(1, len(passage) - 1, 6), n), reverse=True):
+        out[i : i + (kind != "insert")] = [] if kind == "drop" else ["".join(words(rng, 2))]
+    return out
+
+
+def test_near_passages_are_found(spark):
+    """Pairs of texts with passages of a similarity of 0.8 and more: 95 in 100 of each kind at least."""
+    rng = random.Random(41)
+    rows, kinds = [], [(50, "replace", 1), (52, "insert", 1), (54, "drop", 1), (60, "replace", 1), (100, "replace", 2), (100, "insert", 2), (100, "drop", 2), (100, "replace", 0)]
+    for kind in kinds:
+        for _ in range(100):
+            passage = words(rng, kind[0])
+            for p in (passage, edited(rng, passage, *kind[1:])):
+                a, b = words(rng, rng.randint(0, 60)), words(rng, rng.randint(0, 60))
+                rows.append((len(rows), " ".join(a + p + b), kinds.index(kind), len(a), len(p)))
+    alike = [len(shingles(" ".join(x[1].split()[x[3] : x[3] + x[4]]), 5) & shingles(" ".join(y[1].split()[y[3] : y[3] + y[4]]), 5)) for x, y in zip(rows[::2], rows[1::2], strict=True)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    found = defaultdict(set)
+    for r in passages.repeated_passages(df).collect():
+        found[r.doc_id].update(range(r.first_word, r.end_word))
+    for k, kind in enumerate(kinds):
+        pairs = [(x, y) for x, y, n in zip(rows[::2], rows[1::2], alike, strict=True) if x[2] == k and n >= 0.8 * (x[4] + y[4] - 8 - n)]
+        caught = sum(all(len(found[r[0]] & set(range(r[3], r[3] + r[4]))) >= 0.9 * r[4] for r in p) for p in pairs)
+        assert len(pairs) >= 50 and caught >= 0.95 * len(pairs), (kind, caught, len(pairs))
+    beyond = sum(len(found[r[0]] - set(range(r[3] - 5, r[3] + r[4] + 5))) for r in rows)
+    assert beyond == 0
+
+
+def test_longer_passages_of_pairs_around_a_common_one(spark):
+    """A passage that 30 texts have, and longer ones around it that pairs of them have: what is found is what brute force finds, both ways."""
+    rng = random.Random(43)
+    common, rows = words(rng, 60), []
+    for more in (10, 30, 45):
+        for _ in range(10):
+            extra = words(rng, more)
+            rows += [" ".join(words(rng, 20) + common + extra + words(rng, 20)) for _ in range(2)]
+    for _ in range(10):
+        extra = words(rng, 12)
+        rows += [" ".join(words(rng, 20) + extra + common + words(rng, 20)) for _ in range(2)]
+    rows = list(enumerate(rows))
+    found = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        found[r.doc_id].update(range(r.first_word, r.end_word))
+    assert found == exact_repeats(rows, 50)
+
+
+def test_variants_of_a_common_passage(spark):
+    """40 texts with a passage, 40 with one word of it changed, each another: the variants are near the passage, not each other."""
+    rng = random.Random(47)
+    passage, rows = words(rng, 60), []
+    for i in range(80):
+        p = passage if i % 2 else edited(rng, passage, "replace", 1)
+        rows.append((i, " ".join(words(rng, 30) + p + words(rng, 30))))
+    found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) >= 76
+
+
+def test_cut_keeps_columns_of_any_name(spark, none):
+    rng = random.Random(53)
+    p = " ".join(words(rng, 60))
+    rows = [(1, p, "a", "x", 1), (2, "begin " + p + " end", "b", "y", 2), (2, "begin " + p + " end", "b", "y", 2), (3, None, "c", "z", 3), (4, "", "d", "w", 4), (None, p, "e", "v", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c0 string, cuts string, first int")
+    found = sorted(passages.cut_repeats(df).collect(), key=lambda r: r.first)
+    assert [tuple(r) for r in found] == [(1, p, "a", "x", 1), (2, "begin  end", "b", "y", 2), (3, None, "c", "z", 3), (4, "", "d", "w", 4)] or [r.text.split() for r in found if r.doc_id == 2] == [["begin", "end"]]
+    assert [r.doc_id for r in found] == [1, 2, 3, 4]
+    assert passages.cut_repeats(none).count() == 0
