@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Documents in a bin, on average; each bin is packed by one task, from lengths alone.
-BIN_DOCS = 16384
+from .common import materialize
+
+#: Pieces in a bin, on average; each bin is packed by one task, from lengths alone.
+BIN_PIECES = 16384
 #: Byte strings of token ids that one task remembers.
 CACHED_WORDS = 400_000
 # Letters, digits and white space of the characters that the fast path takes; other texts go to the library whole.
@@ -35,11 +37,13 @@ class WordIds(dict):
 
     A byte-level tokeniser encodes pre-tokens one by one, so a text's ids are those of its pre-tokens in a row;
     each distinct one is encoded once by the library's model, and kept as long as it is met again.  Other
-    tokenisers, and texts with rare characters, are left to the library whole.
+    tokenisers, texts with rare characters, and texts with an added token in them, are left to the library whole.
     """
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer, self.model, self.letters, self.older = tokenizer, tokenizer.model, _byte_letters(), {}
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) if added else r"(?!)")
         self.by_word = tokenizer.normalizer is None and type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not tokenizer.pre_tokenizer.add_prefix_space
 
     def __missing__(self, word: str) -> bytes:
@@ -58,18 +62,19 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def text(self, text: str) -> bytes:
-        if self.by_word and _PLAIN.match(text):
+        if self.by_word and _PLAIN.match(text) and not self.added.search(text):
             return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
         return self.encoded(text)
 
 
 @lru_cache(2)
-def word_ids(vocabulary: str) -> WordIds:
-    """One per worker process and vocabulary: a process runs many tasks."""
+def word_ids(vocabulary: str, split_special: bool = False) -> WordIds:
+    """One per worker process and vocabulary: a process runs many tasks.  split_special: the names of special tokens in a text count as its words."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
+    if split_special:
+        tokenizer.encode_special_tokens = True
     return WordIds(tokenizer)
 
 
@@ -128,12 +133,17 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int], lis
     return ids, offsets, fill
 
 
-def token_pieces(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces (key, start, length, ids_crc32, doc_tokens) of each document's ids followed by end_id: whole windows, then the rest."""
+def token_pieces(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", split_special: bool = False) -> DataFrame:
+    """Pieces (key, start, length, ids_crc32, doc_tokens) of each document's ids followed by end_id: whole windows, then the rest.
+
+    Names of special tokens in a text give those tokens, as the library has it, or with split_special are words like
+    others.  A null or empty text is the end id alone; null keys are kept; repeated rows each give their pieces; an
+    empty table gives none; a text of any length is one row's work; other columns are left out.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_ids(vocabulary), int(end_id).to_bytes(4, "little")
+        words, end = word_ids(vocabulary, split_special), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -148,17 +158,18 @@ def token_pieces(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", split_special: bool = False) -> DataFrame:
     """Pieces with sequence_id, offset, sequence_tokens (the window's fill) and padded_length.
 
-    Each bin of about BIN_DOCS documents is packed on its own, by best-fit decreasing over the lengths; texts
-    are read and tokenised once and only the pieces' figures are shuffled, round robin, so one key or source
-    can't fill a bin.  Windows are padded to the full length unless their fill is a power of two.
+    The pieces' figures are written first, so that texts are read and tokenised once.  Each bin of about BIN_PIECES of
+    them is packed on its own, by best-fit decreasing over the lengths; they are dealt round robin, so one key or
+    source can't fill a bin, nor can documents of many pieces.  Windows are padded to the full length unless their
+    fill is a power of two.
 
-    A null or empty text is the end id alone; a null key is kept; repeated rows are packed each on its own; an
-    empty table gives none; other columns are left out.
+    Texts, keys, repeated rows, empty tables and other columns: as for token_pieces.
     """
-    bins = max(1, -(-df.count() // BIN_DOCS))
+    pieces = materialize(token_pieces(df, vocabulary, window, end_id, key, text, split_special), "pieces")
+    bins = max(1, -(-pieces.count() // BIN_PIECES))
     kind = df.schema[key].dataType.simpleString()
     names = ["start", "length", "ids_crc32", "doc_tokens"]
 
@@ -175,13 +186,10 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, ke
         table = table.append_column("sequence_tokens", pa.array(used, pa.int64())).append_column("padded_length", pa.array([n if n & (n - 1) == 0 else window for n in used], pa.int64()))
         yield from table.to_batches()
 
-    pieces = token_pieces(df, vocabulary, window, end_id, key, text).repartition(bins)
-    return pieces.mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in [*names, 'sequence_id', 'offset', 'sequence_tokens', 'padded_length'])}")
+    return pieces.repartition(bins).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in [*names, 'sequence_id', 'offset', 'sequence_tokens', 'padded_length'])}")
 
 
 def default_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
-
-
