@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from tessella.llm import fingerprints, mixing, shards
 
 
@@ -87,7 +89,7 @@ def test_mix_comes_near_its_targets(spark):
 
 
 def units(text: str) -> set[str]:
-    return set(re.findall(r"[^\n]{1,400}", text))
+    return set(re.findall(r"[^\n]{1,120}", text))
 
 
 def test_fingerprints(docs, none, texts):
@@ -111,15 +113,42 @@ def test_fingerprints(docs, none, texts):
     assert fingerprints.fingerprint_documents(none).count() == 0
 
 
-def test_with_next_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
-    df = spark.range(100).selectExpr("id * id as doc_id", "cast(id as string) as t", "xxhash64(id) as o")
-    rows = fingerprints.with_next(df, "doc_id", ["t"], "o").collect()
-    assert len(rows) == 100
-    assert all(int(r.next_t) == (int(r.t) + 1) % 100 for r in rows)
+def test_short_texts_share_digests_with_their_edited_ones(spark):
+    df = spark.createDataFrame([(i, " ".join(f"word{i * 1000 + k}" for k in range(40))) for i in range(20)], "doc_id long, text string")
+    assert all(0 < r.near_edited < 1 and r.near_next == 0 for r in fingerprints.fingerprint_documents(df).collect())
 
 
-def test_peeling_retries_larger(spark):
-    pairs = spark.createDataFrame([(1, 0, list(range(1000)), list(range(990, 2500))), (2, 0, [1, 2, 3], [1, 2, 3]), (3, 0, [5], [])], "_row long, _kind int, a array<long>, b array<long>")
-    found = {r._row: r.differ for r in fingerprints.differences(pairs).collect()}
-    assert found.get(1) == 990 + 1500 and found.get(2, 0) == 0 and found.get(3) == 1
+@pytest.mark.parametrize("hot", [False, True])
+def test_with_next_over_ranges(spark, monkeypatch, hot):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    rows = [(i * i, str(i), hash((i, 1)) * 2654435761 % 2**63) for i in range(100)]
+    if hot:  # a key of many rows, and a null one
+        rows += [(2500, f"h{i}", i * 92233720368547758 - 2**62) for i in range(60)] + [(None, "none", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, t string, o long").repartition(3)
+    in_order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    want = {r[1]: s[1] for r, s in zip(in_order, in_order[1:] + in_order[:1], strict=True)}
+    found = fingerprints.with_next(df, "doc_id", ["t"], "o").collect()
+    assert len(found) == len(rows) and {r.t: r.next_t for r in found} == want
+    if hot:
+        ranges = df.select("doc_id", fingerprints._ranges(df, "doc_id", "o").alias("r")).where("doc_id = 2500").distinct().count()
+        assert ranges >= 4
+
+
+def test_keys_that_are_not_integers(spark):
+    with pytest.raises(ValueError):
+        fingerprints.fingerprint_documents(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_peeling_retries_larger(spark, monkeypatch):
+    rows = [(1, 0, list(range(1000)), list(range(990, 2500))), (2, 0, [1, 2, 3], [1, 2, 3]), (3, 0, [5], []), (4, 1, [], [7, 8])]
+    pairs = spark.createDataFrame(rows, "_row long, _kind int, a array<long>, b array<long>")
+    for room, tries in ((3, 5), (1 / 40, 5), (1 / 40, 1)):  # at once; in tables that are too small at first; from the arrays at last
+        monkeypatch.setattr(fingerprints, "ROOM", room)
+        monkeypatch.setattr(fingerprints, "TRIES", tries)
+        found = {r._row: r for r in fingerprints.differences(pairs, digests=True).collect()}
+        for row, _, a, b in rows:
+            if set(a) == set(b):
+                assert row not in found
+                continue
+            assert sorted(found[row].only_a) == sorted(set(a) - set(b)) and sorted(found[row].only_b) == sorted(set(b) - set(a))
+            assert found[row].differ == len(set(a) ^ set(b))
