@@ -13,7 +13,7 @@ from .common import blocks, column_bytes, word_start_hashes
 
 #: Features are hashed to 2**BITS weights: each word, and its first 4, 5 and 6 bytes.
 BITS, STARTS = 18, (4, 5, 6)
-#: Documents that the models are fitted on, about: confirmed toxic ones, and ones without a label.
+#: Documents that the models are fitted on, about: confirmed toxic ones, and any ones, taken without their labels.
 POSITIVES, UNLABELLED = 4000, 8000
 #: Models, each fitted in a task of its own with another order of steps; their scores are averaged.
 MODELS = 3
@@ -42,16 +42,29 @@ def _lift(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.
     return np.log(rate_p / rate_n) - 3.0 * np.sqrt(1 / (p + 0.5) + 1 / (u + 0.5))
 
 
+def steps(f: np.ndarray, n_p: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of scores f, of n_p positives and then unlabelled texts, and the slope to go down along for each score.
+
+    The risk is prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) with the sigmoid loss l(z) = 1 / (1 + exp(z)).
+    Where the second part is below 0, the slope is that of its negative alone, which brings it back.
+    """
+    s = 1 / (1 + np.exp(-f))  # l(-f); l(f) is 1 - s
+    slope = s * (1 - s)
+    p, u = slope[:n_p] / n_p, slope[n_p:] / (len(f) - n_p)
+    rest = s[n_p:].mean() - prior * s[:n_p].mean()
+    risk = prior * (1 - s[:n_p].mean()) + max(0.0, rest)
+    return float(risk), np.concatenate([-2 * prior * p, u] if rest >= 0 else [prior * p, -u])
+
+
 def fit(features: np.ndarray, sizes: np.ndarray, positive: np.ndarray, prior: float, seed: int, epochs: int = 60, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model of feature presence, by the non-negative risk estimator.
 
     features has the distinct features of text after text, sizes their numbers, and positive tells the confirmed
-    texts from the unlabelled.  The risk is prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) with the
-    sigmoid loss; where the second part is below 0, the step goes the other way.  Features have a weight if their
-    rate among positives is surely several times that among negatives.
+    texts from the unlabelled.  Features have a weight if their rate among positives is surely several times that
+    among negatives.  Without positives or unlabelled texts there are no weights, and a bias that rejects nothing.
     """
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(1 << BITS, np.float64), float(np.log(prior / (1 - prior))) - 1.0
+    w, b = np.zeros(1 << BITS, np.float64), min(0.0, float(np.log(prior / (1 - prior)))) - 1.0
     n_p, n_u = int(positive.sum()), int((~positive).sum())
     if not n_p or not n_u:
         return w, b
@@ -75,13 +88,7 @@ def fit(features: np.ndarray, sizes: np.ndarray, positive: np.ndarray, prior: fl
             doc = np.repeat(np.arange(len(both)), count)
             x = flat[np.repeat(begins[both] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
             f = np.clip(np.bincount(doc, v[x], minlength=len(both)) + b, -30, 30)
-            s = 1 / (1 + np.exp(-f))  # l(-f); l(f) is 1 - s
-            slope = s * (1 - s)
-            sp, su = slope[: len(p)] / len(p), slope[len(p) :] / len(u)
-            if s[len(p) :].mean() - prior * s[: len(p)].mean() >= 0:
-                g = np.concatenate([-2 * prior * sp, su])
-            else:
-                g = np.concatenate([prior * sp, -su])
+            _, g = steps(f, len(p), prior)
             grad = np.bincount(x, g[doc], minlength=n) + 1e-5 * v
             step += 1
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
@@ -105,10 +112,15 @@ def _sampled(ids: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, models: int = MODELS) -> list[tuple[np.ndarray, float]]:
-    """Models from rows that aren't held out: confirmed toxic texts, texts without a label, and the rate of toxic labels as prior.
+    """Models from rows that aren't held out: confirmed toxic texts, any texts without their labels, and the rate of toxic labels as prior.
 
-    The samples are drawn from ids alone; at most about positives + unlabelled ids are broadcast to pick the texts, so
-    no text is shuffled before it is picked.  Nulls in key or label count as no label.
+    The unlabelled texts are a sample of all documents, so the labelled ones may be among them; that holds where all
+    documents are labelled too.  The samples are drawn from ids alone; at most about positives + unlabelled ids (some
+    100 bytes each) are broadcast to pick the texts, so no text is shuffled before it is picked.
+
+    Nulls in key or label count as no label; of several labels of a key the largest counts.  Without any label there
+    are no models, and all documents score 0; with labels but no toxic one, models without weights, which reject
+    nothing; where all labels are toxic, the prior is 0.9.  Null texts count as empty; of rows with one key, one is taken.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_toxic")).where(~held_out(key))
     ids = docs.where(F.col(key).isNotNull()).select(key).where(~held_out(key)).distinct()
@@ -116,8 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if rate is None:
         return []
     p = _sampled(ids.join(known.where("_toxic = 1").select(key), key, "left_semi"), key, positives).select(key, F.lit(1).alias("_p"))
-    u = _sampled(ids.join(known.select(key), key, "left_anti"), key, unlabelled).select(key, F.lit(0).alias("_p"))
-    picked = docs.select(key, text).join(F.broadcast(p.unionByName(u)), key).dropDuplicates([key])
+    u = _sampled(ids, key, unlabelled).select(key, F.lit(0).alias("_p"))
+    # a confirmed text may be drawn as an unlabelled one too
+    drawn = p.unionByName(u).groupBy(key).agg(F.collect_set("_p").alias("_ps"))
+    picked = docs.select(key, text).join(F.broadcast(drawn), key).dropDuplicates([key])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,14 +140,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 doc, feature = distinct(*features(data, offsets[i : j + 1]))
                 cuts = np.searchsorted(doc, np.arange(j - i + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feature, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), lists], ["key", "p", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), lists], ["key", "ps", "features"])
 
-    rows = picked.select(text, F.xxhash64(key), "_p").mapInArrow(vectors, "key long, p int, features array<int>")
-    rows = rows.select(F.explode(F.sequence(F.lit(0), F.lit(models - 1))).alias("model"), "*")
+    rows = picked.select(text, F.xxhash64(key), "_ps").mapInArrow(vectors, "key long, ps array<int>, features array<int>")
+    rows = rows.select("key", F.explode("ps").alias("p"), "features").select(F.explode(F.sequence(F.lit(0), F.lit(models - 1))).alias("model"), "*")
     prior = float(min(0.9, max(0.001, rate)))
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key").combine_chunks()
+        table = table.sort_by([("key", "ascending"), ("p", "ascending")]).combine_chunks()
         lists = table["features"].chunk(0)
         sizes = np.diff(lists.offsets.to_numpy())
         w, b = fit(lists.flatten().to_numpy(), sizes, table["p"].to_numpy() == 1, prior, int(table["model"][0].as_py()))
@@ -179,7 +193,11 @@ def score(docs: DataFrame, models: list[tuple[np.ndarray, float]], key: str = "d
 
 
 def accepted(docs: DataFrame, models: list[tuple[np.ndarray, float]], text: str = "text") -> DataFrame:
-    """The rows of docs, whole, that score below 0.5."""
+    """The rows of docs, whole, that score below 0.5.
+
+    A null or empty text scores what the bias gives (below 0.5, if no model was fitted); null keys, repeated rows and
+    texts of any length are judged by their text alone; an empty table gives none; all columns are kept.
+    """
     table = docs.sparkSession.sparkContext.broadcast(models)
     at = docs.columns.index(text)
 
