@@ -9,6 +9,7 @@ operations; frames with other tables are decoded symbol by symbol.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,25 @@ BINS = 16
 BATCH_BYTES = 4 << 20
 
 _LENGTHS, _SYMBOLS = bytes([1] * 9 + [0] * 7), bytes(range(8, -1, -1))
+# The code lengths and symbols of JPEG's typical Huffman tables (ITU-T T.81, K.3), which frames in AVI may
+# leave out.  The symbols of the AC tables that aren't named follow in rising order.
+_DC_LENGTHS = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]))
+_AC_LENGTHS = (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]))
+_AC_FIRST = (
+    bytes.fromhex("01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    bytes.fromhex("00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+)
+
+
+@lru_cache
+def typical_tables() -> dict[int, tuple[bytes, bytes]]:
+    """Lengths and symbols of the typical tables, by class and number."""
+    every = sorted({0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))})
+    out = {}
+    for i in range(2):
+        out[i] = _DC_LENGTHS[i], bytes(range(12))
+        out[16 + i] = _AC_LENGTHS[i], _AC_FIRST[i] + bytes(x for x in every if x not in _AC_FIRST[i])
+    return out
 
 
 @lru_cache
@@ -186,9 +206,10 @@ def _parse(head: bytes) -> dict:
         elif marker == 0xDA:
             out["scan"] = [(data[1 + 2 * i], data[2 + 2 * i] >> 4, data[2 + 2 * i] & 15) for i in range(data[0])]
         at += 2 + n
-    if "parts" not in out or "scan" not in out or not out["huff"]:
-        raise ValueError("a frame without size, scan or tables")
+    if "parts" not in out or "scan" not in out:
+        raise ValueError("a frame without size or scan")
     out["fixed"] = len(out["parts"]) == 1 and not out["restart"] and all(v == (_LENGTHS, _SYMBOLS) for v in out["huff"].values()) and {0x00, 0x10} <= set(out["huff"]) and out["parts"][0][1:3] == (1, 1) and not (out["height"] % 8 or out["width"] % 8)
+    out["huff"] = typical_tables() | out["huff"]
     return out
 
 
@@ -202,14 +223,53 @@ def _head_size(media: bytes, at: int, end: int) -> int:
     raise ValueError("a frame without a scan")
 
 
-def _huffman(table: tuple[bytes, bytes]) -> dict[tuple[int, int], int]:
-    code, k, out = 0, 0, {}
+@lru_cache(64)
+def _huffman(table: tuple[bytes, bytes]) -> tuple[list[int], list[int]]:
+    """Length and symbol of the code that each 16 bits begin with; length 0 where there is none."""
+    lengths, symbols, code, k = [0] * 65536, [0] * 65536, 0, 0
     for length, count in enumerate(table[0], 1):
         for _ in range(count):
-            out[length, code] = table[1][k]
+            a, b = code << (16 - length), (code + 1) << (16 - length)
+            lengths[a:b], symbols[a:b] = [length] * (b - a), [table[1][k]] * (b - a)
             code, k = code + 1, k + 1
         code <<= 1
-    return out
+    return lengths, symbols
+
+
+class _Bits:
+    """The bits of a scan, taken from the front; only a few bytes are held as a number."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.held, self.n = data, 0, 0, 0
+
+    def _fill(self) -> None:
+        more = self.data[self.at : self.at + 4]
+        self.held = self.held << 32 | int.from_bytes(more + bytes(4 - len(more)), "big")
+        self.at += 4
+        self.n += 32
+
+    def take(self, n: int) -> int:
+        if self.n < n:
+            self._fill()
+        self.n -= n
+        out = self.held >> self.n
+        self.held &= (1 << self.n) - 1
+        if 8 * self.at - self.n > 8 * len(self.data):
+            raise ValueError("a frame's scan ends early")
+        return out
+
+    def symbol(self, table: tuple[list[int], list[int]]) -> int:
+        if self.n < 16:
+            self._fill()
+        code = self.held >> (self.n - 16)
+        if not table[0][code]:
+            raise ValueError("a code that isn't in the table")
+        self.take(table[0][code])
+        return table[1][code]
+
+    def value(self, n: int) -> int:
+        v = self.take(n) if n else 0
+        return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
 
 def _any_frame(head: dict, scan: bytes) -> np.ndarray:
@@ -219,56 +279,28 @@ def _any_frame(head: dict, scan: bytes) -> np.ndarray:
     wide, high = max(p[1] for p in head["parts"]), max(p[2] for p in head["parts"])
     alone = len(head["scan"]) == 1
     units = (-(-head["width"] // 8) * -(-head["height"] // 8)) if alone else (-(-head["width"] // (8 * wide)) * -(-head["height"] // (8 * high)))
-    runs, at = [], 0
-    for i in range(len(scan) - 1):  # cut at restart markers
-        if scan[i] == 0xFF and 0xD0 <= scan[i + 1] <= 0xD7:
-            runs.append(scan[at:i])
-            at = i + 2
-    runs.append(scan[at:])
     out, done = [], 0
-    for run in runs:
-        data = run.replace(b"\xff\x00", b"\xff")
-        bits, nbits = int.from_bytes(data, "big"), 8 * len(data)
-        pos = 0
-
-        def take(n: int) -> int:
-            nonlocal pos
-            pos += n
-            if pos > nbits:
-                raise ValueError("a frame's scan ends early")
-            return (bits >> (nbits - pos)) & ((1 << n) - 1)
-
-        def symbol(table: dict) -> int:
-            code = 0
-            for n in range(1, 17):
-                code = code << 1 | take(1)
-                if (n, code) in table:
-                    return table[n, code]
-            raise ValueError("a code that isn't in the table")
-
-        def value(n: int) -> int:
-            v = take(n) if n else 0
-            return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
+    for run in re.split(rb"\xff[\xd0-\xd7]", scan):
+        bits = _Bits(run.replace(b"\xff\x00", b"\xff"))
         last = dict.fromkeys(parts, 0)
         for _ in range(min(head["restart"] or units, units - done)):
             done += 1
             for c, dc, ac in head["scan"]:
                 for _ in range(1 if alone else parts[c][1] * parts[c][2]):
-                    block = np.zeros(64, np.int32)
-                    last[c] += value(symbol(tables[dc]))
+                    block = [0] * 64
+                    last[c] += bits.value(bits.symbol(tables[dc]))
                     block[0], k = last[c], 1
                     while k < 64:
-                        s = symbol(tables[16 + ac])
+                        s = bits.symbol(tables[16 + ac])
                         if s == 0:
                             break
                         k += s >> 4
                         if s & 15 and k < 64:
-                            block[k] = value(s & 15)
+                            block[k] = bits.value(s & 15)
                         k += 1
                     if c == head["scan"][0][0]:
                         out.append(block)
-    return np.array(out)
+    return np.array(out, np.int32)
 
 
 def frames(media: bytes, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -390,7 +422,8 @@ def read_media(media: bytes) -> dict:
 def media_rows(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), media: str = "media") -> DataFrame:
     """One row per media value: the columns keep, its figures, and its clips in time order.
 
-    A null or broken value gives no clips and an error; repeated rows are each read; an empty table gives none.
+    A null or broken value gives no clips and an error; repeated rows are each read; an empty table gives none; a value
+    of any size is one row's work, its frames BLOCK at a time; columns that keep doesn't name are left out.
     """
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     floats = pa.list_(pa.float64())
@@ -415,5 +448,8 @@ def media_rows(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), media: str =
 
 
 def clip_rows(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per clip of media_rows' result: its number in the file, frames and times."""
+    """One row per clip of media_rows' result: its number in the file, frames and times.
+
+    Null, broken and empty media have no clips, so no rows; repeated rows each give theirs; an empty table gives none.
+    """
     return rows.select(*keep, F.posexplode("clips").alias("clip", "_c")).select(*keep, "clip", "_c.*")
