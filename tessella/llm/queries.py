@@ -23,7 +23,8 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     records = warc.read_archives(spark, path, payloads=False)
-    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    digest = F.when(~F.col("digest_ok"), F.raise_error(F.concat(F.lit("a payload isn't what was written: "), "record_id"))).otherwise(F.col("payload_digest"))
+    return records.select(F.expr("nullif(record_id, '')").cast("long").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

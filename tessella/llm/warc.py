@@ -65,15 +65,17 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
     shuffled once, by key.  A task writes under a name of its own and renames at its end, so a task that is run
     again replaces its file.
 
-    A null payload is empty; a null url gives no target; null keys are never revisited, and of rows with one key
-    and payload all are responses if any is; repeated rows each give a record; an empty table gives files without pages.
+    A null payload is empty; a null url gives no target; a null key is the largest (rows with one revisit others, and
+    are responses where no row of the payload has a key); of rows with one key and payload all are responses if any is; repeated rows each give a record; an empty table gives files without pages.
     """
     text = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = df.select(F.col(key).alias("_key"), F.col(url).cast("string").alias("_url"), text.alias("_payload"))
     slim = rows.where(F.octet_length("_payload") >= least).select("_key", F.sha1("_payload").alias("_sha"))
     first = slim.groupBy("_sha").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     again = slim.join(first, "_sha").where("not (_key <=> _first)").select("_key", "_sha", "_first").distinct()
-    ready = rows.withColumn("_sha", F.sha1("_payload")).join(again, ["_key", "_sha"], "left").select("_key", "_url", "_payload", "_first")
+    again = again.select(F.col("_key").alias("_again"), F.col("_sha").alias("_same"), "_first")
+    rows = rows.withColumn("_sha", F.sha1("_payload"))
+    ready = rows.join(again, (F.col("_sha") == F.col("_same")) & F.col("_key").eqNullSafe(F.col("_again")), "left").select("_key", "_url", "_payload", "_first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{path}/pages-{TaskContext.get().partitionId():06d}.warc.gz"
@@ -129,12 +131,11 @@ class _Bytes:
             self.base = upto
 
 
-def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the gzip members with a WARC header that start in [start, end).
+def _walk(file, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, end, content) of the members that a reader finds who begins at start.
 
     A candidate is a place with the gzip magic.  It counts if what it holds begins as a WARC record does and its
-    checksum is right; then the next candidate is where it ends.  A member that starts in the range is read on
-    beyond its end; other ranges leave it alone.
+    checksum is right; then the next candidate is where it ends.
     """
     data, at = _Bytes(file, start), start
     while at < end:
@@ -161,12 +162,39 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         except zlib.error:
             pass
         if good:
-            yield at, bytes(out)
+            yield at, pos, bytes(out)
             at = pos
         else:
             at += 1
 
 
+def _unbroken(file, start: int, end: int) -> bool:
+    """Whether the members found from start on follow each other, and the last one is followed by another or by the file's end."""
+    last = None
+    for at, pos, _ in _walk(file, start, end):
+        if last not in (None, at):
+            return False
+        last = pos
+    if last is None:
+        return True
+    file.seek(last)
+    return file.read(len(MAGIC)) in (MAGIC, b"")
+
+
+def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of the gzip members with a WARC header that start in [start, end), whatever the ranges: those that a reader from the file's start finds.
+
+    A member that starts in the range is read on beyond its end; other ranges leave it alone.  Where a range begins
+    within a member, what looks like a member may be part of its payload (an archive that was stored as it is).  Its
+    chain then breaks off, and the members are sought from the file's start on; only such an archive that goes on beyond the range
+    isn't told apart.
+    """
+    if start and not _unbroken(file, start, end):
+        yield from ((at, content) for at, _, content in _walk(file, 0, end) if at >= start)
+    else:
+        yield from ((at, content) for at, _, content in _walk(file, start, end))
+
+
 def parse_record(content: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (lower-case names; type under warc-type) and block of a record."""
     head, _, rest = content.partition(b"\r\n\r\n")
@@ -184,8 +212,12 @@ def read_archives(spark: SparkSession, path: str, split: int = SPLIT_BYTES, payl
     """A row per response or revisit record of the *.warc.gz files under path.
 
     Each task takes byte ranges of files; a record belongs to the range that its first byte is in, so any split
-    gives the same rows.  payload_bytes is the HTTP head's Content-Length (so revisits have it too); digest_ok says
-    whether a response's payload has the digest stated.  payload is null for revisits or without payloads.
+    gives the same rows.  payload_bytes is what was read of a response, and the HTTP head's Content-Length of a revisit;
+    payload_digest is that of what was read (of a revisit, the stated one), and digest_ok says whether it is the stated
+    one.  payload is null for revisits or without payloads.
+
+    Record ids are as written: an empty id for a null key; a record without a target has a null one; equal records are
+    each a row; files without records, and no files, give none; a payload of any size is one row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"))
@@ -203,8 +235,9 @@ def read_archives(spark: SparkSession, path: str, split: int = SPLIT_BYTES, payl
                         http, _, payload = block.partition(b"\r\n\r\n")
                         sizes = [line[15:] for line in http.decode("latin-1").split("\r\n") if line.lower().startswith("content-length:")]
                         response, stated = headers["warc-type"] == "response", headers.get("warc-payload-digest", "").removeprefix("sha1:")
+                        digest = _digest(payload) if response else stated
                         id_ = lambda k, h=headers: unquote(h[k].removeprefix("<urn:row:").removesuffix(">")) if k in h else None
-                        rows.append((name, offset, id_("warc-record-id"), headers["warc-type"], headers.get("warc-target-uri"), id_("warc-refers-to"), stated, len(payload) if response else int(sizes[0]) if sizes else None, _digest(payload) == stated if response else None, payload if response and payloads else None))
+                        rows.append((name, offset, id_("warc-record-id"), headers["warc-type"], headers.get("warc-target-uri"), id_("warc-refers-to"), digest, len(payload) if response else int(sizes[0]) if sizes else None, digest == stated if response else None, payload if response and payloads else None))
                         held += len(payload) if payloads else 200
                         if held > 4 << 20:
                             yield _batch(rows)
