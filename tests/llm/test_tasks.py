@@ -8,6 +8,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -72,6 +73,35 @@ def test_warc_members_among_false_magic(tmp_path):
         assert found == [f"<urn:row:{i}>" for i in range(8)]
 
 
+def test_warc_archives_within_payloads(tmp_path):
+    """Payloads that are archives, stored without compression: their members aren't the file's."""
+    inner = b"".join(warc.page_record(f"inner{i}", None, bytes([i]) * 50) for i in range(3))
+    noise = random.Random(9).randbytes(3000)
+    def stored(member):
+        packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+        return packer.compress(gzip.decompress(member)) + packer.flush()
+
+    parts = [stored(warc.page_record(i, None, noise + (inner if i % 2 else b"") + noise[:900])) for i in range(6)]
+    assert any(inner[:40] in p for p in parts)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(parts))
+    for split in (500, 3100, 1 << 20):
+        found = []
+        for at in range(0, path.stat().st_size, split):
+            with path.open("rb") as f:
+                found += [warc.parse_record(c)[0]["warc-record-id"] for _, c in warc.members(f, at, at + split)]
+        if split > len(inner):
+            assert found == [f"<urn:row:{i}>" for i in range(6)]
+
+
+def test_warc_null_keys_and_repeated_rows(spark):
+    rows = [(1, "u", "<p>a", None, None), (1, "u", "<p>a", None, None), (None, "u", "<p>a", None, None), (None, None, None, None, None), (2, "u", "<p>a", None, None), (3, "u", "x" * 2_000_000, None, None)]
+    path = new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, PAGES), path)
+    found = sorted((r.record_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, path).collect())
+    assert found == [("", "response", None, 0), ("", "revisit", "1", 4), ("1", "response", None, 4), ("1", "response", None, 4), ("2", "revisit", "1", 4), ("3", "response", None, 2_000_000)]
+
+
 def test_warc_empty_table_and_least(spark, pages):
     path = new_path(spark, "warc")
     assert warc.write_archives(spark.createDataFrame([], PAGES), path).count() == 0
@@ -98,13 +128,96 @@ def test_templates_without_an_article_element(spark):
     assert {r.page_id: r.text for r in extract.extract_text(df).collect()} == body
 
 
+def test_template_text_within_an_article_of_neutral_names(spark):
+    """Each page has an article with the site's lines in it, and slots of varying text outside it; no name says which is which."""
+    rng = random.Random(10)
+    body = {i: [" ".join(words(rng, rng.randint(15, 30))) for _ in range(3)] for i in range(20)}
+    line = lambda n: " ".join(words(rng, n))
+    page = lambda i: (
+        f"<html><body><div class=q><div class=r{i % 2 and '' or ''}>{line(3)}</div></div><article><div class=k>{line(2) if i % 4 == 0 else ''}</div><h1>T {i}</h1><p>{body[i][0]}</p><div class=s><b>Read on in our weekly letter</b></div>"
+        f"<p>{body[i][1]}</p><p>{body[i][2]}</p><div class=t>Written for the site</div></article><div class=u>{line(4)}</div></body></html>"
+    )
+    bare = lambda i: page(i).replace("article>", "section>")
+    for make in (page, bare):
+        df = spark.createDataFrame([(i, "http://b.example/", make(i), None, None) for i in body], PAGES)
+        found = {r.page_id: r.text.split("\n") for r in extract.extract_text(df).collect()}
+        assert all([x for x in found[i] if len(x) > 12 or x.startswith("T ")][-4:] == [f"T {i}", *body[i]] for i in body)
+        assert not any("weekly" in x or "Written" in x for v in found.values() for x in v)
+
+
+def test_repeated_pages_count_once(spark):
+    """Most pages of the host are copies of one: its article isn't the template's."""
+    rng = random.Random(15)
+    body = {i: " ".join(words(rng, 25)) for i in range(6)}
+    page = lambda i: f"<html><body><div class=x><span>Top line of the site</span></div><div class=y><h1>N {i}</h1><p>{body[i]}</p></div></body></html>"
+    rows = [(k, "http://a.example/", page(i), None, None) for k, i in enumerate([0] * 30 + [1, 2, 3, 4, 5])]
+    found = {r.page_id: r.text for r in extract.extract_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert all(found[k] == f"N {i}\n{body[i]}" for k, i in enumerate([0] * 30 + [1, 2, 3, 4, 5]))
+
+
+def test_classes_are_those_of_the_occurrence_vectors(spark):
+    rng = random.Random(16)
+    rows = []
+    for i in range(24):
+        parts = [f"<div class=a>{i}</div>", "<div class=b><p>same</p></div>", "<div class=c>x</div>" if i % 2 else "", f"<ul>{'<li>one</li>' * rng.randint(0, 3)}</ul>"]
+        if i % 5 == 0:
+            parts[0], parts[1] = parts[1], parts[0]
+        rows.append(("h" if i < 12 else "g", i, f"<html><body>{''.join(parts)}</body></html>"))
+    pages = spark.createDataFrame(rows, "_host string, _row long, _html string").repartition(3)
+    tokens = extract.page_tokens(pages)
+    found: dict = {}
+    for r in extract.token_classes(tokens).collect():
+        found.setdefault((r.host, r["class"]), set()).add((r.token, r.is_text))
+    vectors: dict = {}
+    for host, i, page in rows:
+        for token, text, _, _, n, _ in extract.Page(page).tokens():
+            vectors.setdefault((host, token, text), {})[i] = n
+    want: dict = {}
+    for (host, token, text), v in vectors.items():
+        if len(v) >= 6:
+            want.setdefault((host, tuple(sorted(v.items()))), set()).add((token, text))
+    want = {k: v for k, v in want.items() if len(v) > 1 and not all(t for _, t in v)}
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and len(want) >= 3
+    # a class whose tokens change places isn't valid: of the pages' classes, those in one order in each page
+    seen: dict = {}
+    for host, i, page in rows:
+        for (h, v), members in want.items():
+            if h == host and i in dict(v):
+                seen.setdefault((h, v), set()).add(tuple(t[0] for t in extract.Page(page).tokens() if (t[0], t[1]) in members))
+    valid = {(r.host, r["class"]) for r in extract.valid_classes(tokens, extract.token_classes(tokens)).collect()}
+    assert len(valid) == sum(len(x) == 1 for x in seen.values()) < len(want)
+
+
+def test_classes_nest():
+    support = {1: 9, 2: 5, 3: 4, 4: 4}
+    assert extract.nested({1: [0, 3, 9], 2: [4, 6], 3: [5], 4: [10, 12]}, support) == {1: True, 2: True, 3: True, 4: True}
+    assert extract.nested({1: [0, 3, 9], 2: [2, 6]}, support) == {1: True, 2: False}
+    assert extract.nested({1: [5, 6], 2: [2, 9]}, support) == {1: True, 2: True}
+
+
 def test_odd_markup():
-    read = lambda s: extract.slot_text(s, None, frozenset())
+    read = lambda s: extract.Page(s).slots(None, frozenset())
     assert read("<main>a<br>b<ul><li>c<li>d</ul><table><tr><td>e<td>f</table></main><p>g") == "a b\nc\nd\ne\nf"
     assert read("<p>x &lt;b&gt; &#233; &nbsp; y</p>") == "x <b> é y"
     assert read("<article><p>a<span class=ad>buy</span> b</article>") == "a\nb"
     assert read("<div>" * 3000 + "deep") == "deep"
-    assert read("<article><!-- <p>no --><p>yes</article") == "yes"
+    assert read("<article><!-- <p no --><p>yes</article") == "yes"
+    assert read("<article><p title=it's>one</p><p>it's two</p><p>three</p></article>") == "one\nit's two\nthree"
+    assert read('<article><p title="open>one</p></article>') == "one"
+    assert read("<article><p>1 < 2 and 3 > 2</p><p a=b/c>two</p></article>") == "1 < 2 and 3 > 2\ntwo"
+    names = ("class=social-science", "class=share-story", "id=related-work", "class='print ad-hoc'")
+    assert read(f"<article>{''.join(f'<div {n}><p>kept {i}</p></div>' for i, n in enumerate(names))}</article>") == "\n".join(f"kept {i}" for i in range(4))
+    out = ("class=cookie-notice", "class='site-footer'", "id=commentList", "role=navigation", "class=related-posts", "style='display: none'", "hidden")
+    assert read(f"<article>{''.join(f'<div {n}><p>dropped</p></div>' for n in out)}<p>kept</p></article>") == "kept"
+    assert read("<article><form>mail <input></form><p>kept</p></article>") == "kept"
+    assert read("") == "" and read("<") == "<"
+
+
+@pytest.mark.parametrize("piece", ["<a", "<ab ", "<p x='", '<p x="y>', "<!-- ", "</div", "<div>", "<li>", "</section>", "<div></section>", "<script>", "&amp", "a<b ", "<td><table>"])
+def test_odd_pages_of_a_megabyte_take_little_time(piece):
+    began = time.process_time()
+    extract.Page("<article><p>text" + piece * (1_000_000 // len(piece))).slots(None, frozenset())
+    assert time.process_time() - began < 15
 
 
 def test_packing(docs, none, texts):
@@ -112,7 +225,6 @@ def test_packing(docs, none, texts):
 
     vocabulary = packing.default_vocabulary()
     t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
     rows = packing.pack(docs, vocabulary, window=256).collect()
     want: dict = {}
     for r in texts:
@@ -137,10 +249,35 @@ def test_packing(docs, none, texts):
     assert packing.pack(none, vocabulary).count() == 0
 
 
+ODD = ("it's 'll I'd  two\n\n three\t x1²3 $%&", "naïve Œuvre ñ", "日本 🎉 text", "<|endoftext|> a", "x <|endoftext|> y", "<|endoftext|", "", " ", "a  \n", "é b", "\x1c\x85x")
+
+
 def test_word_ids_are_the_tokenizers():
-    w = packing.word_ids(packing.default_vocabulary())
-    for text in ("it's 'll I'd  two\n\n three\t x1²3 $%&", "naïve Œuvre ñ", "日本 🎉 text", "<|endoftext|> a", "", " ", "a  \n", "é b", "\x1c\x85x"):
-        assert w.text(text) == w.encoded(text)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_vocabulary())
+    w, split = packing.word_ids(packing.default_vocabulary()), packing.word_ids(packing.default_vocabulary(), True)
+    for text in ODD:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert w.text(text) == struct.pack(f"<{len(ids)}I", *ids)
+        assert split.text(text) == split.encoded(text)
+    special = plain.token_to_id("<|endoftext|>")
+    assert struct.pack("<I", special) in w.text(ODD[4]) and struct.pack("<I", special) not in split.text(ODD[4])
+
+
+def test_windows_end_full_or_at_a_power_of_two_with_little_padding(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BIN_PIECES", 150)
+    rng = random.Random(14)
+    rows = [(i, " ".join(words(rng, max(1, int(rng.lognormvariate(3.5, 1.2)))))) for i in range(600)] + [(900, "a " * 31), (901, " ".join(words(rng, 9000)))]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), packing.default_vocabulary(), window=256).collect()
+    fill: dict = {}
+    for r in found:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    for r in found:
+        assert r.sequence_tokens == fill[r.sequence_id] and r.padded_length == (r.sequence_tokens if r.sequence_tokens in (1, 2, 4, 8, 16, 32, 64, 128, 256) else 256)
+    assert len({r.sequence_id >> 32 for r in found}) > 3
+    whole = packing.best_fit(sorted((r.length for r in found), reverse=True), 256)[2]
+    assert len(fill) <= 1.05 * len(whole) + 1
 
 
 def test_best_fit_is_best_fit():
@@ -184,6 +321,35 @@ def test_toxicity_held_out(spark):
     assert kept.columns == df.columns and kept.count() == sum(not r.predicted for r in found)
     assert toxicity.score(df.limit(0), models).count() == 0
     assert {r.predicted for r in toxicity.score(df, toxicity.train(df, lab.limit(0))).collect()} == {0}
+    # labels of all rows, none of them toxic, all of them toxic
+    every = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    all_ = toxicity.score(df, toxicity.train(df, every)).where(toxicity.held_out()).where("doc_id < 1500").collect()
+    assert sum((r.doc_id % 6 == 0) == bool(r.predicted) for r in all_) >= 0.97 * len(all_)
+    clean = toxicity.train(df, every.selectExpr("doc_id", "0 as toxic"))
+    assert {r.predicted for r in toxicity.score(df, clean).collect()} == {0}
+    assert toxicity.score(df, toxicity.train(df, every.selectExpr("doc_id", "1 as toxic"))).count() == len(rows)
+    twice = toxicity.score(df.union(df), models).groupBy("doc_id").agg({"score": "max"}).count()
+    assert twice == len({r[0] for r in rows})
+
+
+def test_the_risk_and_its_steps():
+    rng = np.random.default_rng(5)
+    for prior, shift in ((0.2, 0.0), (0.6, 3.0)):
+        f, n = np.concatenate([rng.normal(shift, 1, 7), rng.normal(-shift, 1, 12)]), 7
+
+        def parts(f, prior=prior, n=n):
+            loss = lambda z: 1 / (1 + np.exp(z))
+            positive = sum(loss(x) for x in f[:n]) / n
+            return prior * positive, sum(loss(-x) for x in f[n:]) / len(f[n:]) - prior * sum(loss(-x) for x in f[:n]) / n
+
+        risk, slope = toxicity.steps(f, n, prior)
+        first, rest = parts(f)
+        assert abs(risk - (first + max(0.0, rest))) < 1e-12 and (rest >= 0) == (shift == 0)
+        for i in range(len(f)):
+            up = f.copy()
+            up[i] += 1e-6
+            want = (sum(parts(up)) - first - rest) / 1e-6 if rest >= 0 else -(parts(up)[1] - rest) / 1e-6
+            assert abs(slope[i] - want) < 1e-5
 
 
 def test_media_round_trip(docs, none, texts):
@@ -222,6 +388,104 @@ def test_all_bytes_and_general_decoding():
     assert (slow == fast[2]).all()
 
 
+def coded(blocks, order, tables, restart):
+    """A scan of blocks (component, dc table, ac table, coefficients), written bit by bit as text."""
+    codes = {}
+    for name, (lengths, symbols) in tables.items():
+        code, k, codes[name] = 0, 0, {}
+        for length, count in enumerate(lengths, 1):
+            for _ in range(count):
+                codes[name][symbols[k]] = format(code, f"0{length}b")
+                code, k = code + 1, k + 1
+            code *= 2
+
+    def value(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + 2**n - 1, f"0{n}b") if n else ""
+
+    out, bits, last = b"", "", {}
+    for i, (c, dc, ac, block) in enumerate(blocks):
+        if restart and i and i % (restart * order) == 0:
+            bits += "1" * (-len(bits) % 8)
+            out += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + bytes([0xFF, 0xD0 + (i // (restart * order) - 1) % 8])
+            bits, last = "", {}
+        n, text = value(block[0] - last.get(c, 0))
+        last[c] = block[0]
+        bits += codes[dc][n] + text
+        run = 0
+        for v in block[1:]:
+            if v == 0:
+                run += 1
+                continue
+            while run > 15:
+                bits, run = bits + codes[16 + ac][0xF0], run - 16
+            n, text = value(v)
+            bits, run = bits + codes[16 + ac][run << 4 | n] + text, 0
+        bits += codes[16 + ac][0] if run else ""
+    bits += "1" * (-len(bits) % 8)
+    return out + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+
+
+@pytest.mark.parametrize("restart", [0, 2])
+def test_frames_with_typical_tables_left_out(restart):
+    """Colour frames, 2 x 1 luminance blocks a unit, without tables of their own, coded by plain code."""
+    rng = random.Random(restart)
+    segment = lambda m, data: bytes([0xFF, m]) + struct.pack(">H", len(data) + 2) + data
+    blocks = []
+    for _ in range(6):
+        for c, t in ((1, 0), (1, 0), (2, 1), (3, 1)):
+            blocks.append((c, t, t, [rng.randint(-500, 500)] + [rng.randint(-200, 200) if rng.random() < 0.2 else 0 for _ in range(63)]))
+    scan = coded(blocks, 4, media.typical_tables(), restart)
+    head = b"\xff\xd8" + segment(0xDB, bytes([0]) + bytes(range(1, 65))) + segment(0xC0, struct.pack(">BHHB", 8, 16, 48, 3) + bytes([1, 0x21, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    head += (segment(0xDD, struct.pack(">H", restart)) if restart else b"") + segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0]))
+    found = media._any_frame(media._parse(head), scan)
+    assert found.tolist() == [b for c, _, _, b in blocks if c == 1]
+    with pytest.raises(ValueError):
+        media._any_frame(media._parse(head), scan[: len(scan) // 2])
+
+
+def test_decoding_takes_time_in_proportion():
+    rng = random.Random(1)
+    took = []
+    for n in (400, 1600):
+        blocks = [(1, 0, 0, [rng.randint(-500, 500) for _ in range(64)]) for _ in range(n)]
+        scan = coded(blocks, 1, media.typical_tables(), 0)
+        head = {"huff": media.typical_tables(), "parts": [(1, 1, 1, 0)], "scan": [(1, 0, 0)], "width": 8 * n, "height": 8, "restart": 0}
+        began = time.process_time()
+        assert media._any_frame(head, scan).tolist() == [b[3] for b in blocks]
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_features_against_plain_code(spark):
+    """Frames, clips and histogram of stored texts, from pixels by the sums of the inverse transform, without the module's matrices."""
+    rng = random.Random(4)
+    payload = b"".join(bytes(rng.choices(range(97, 123) if k % 2 else range(200, 250), k=576)) for k in (0, 0, 0, 0, 1, 1, 1, 1))
+    order = media.zigzag().tolist()
+    shares = []
+    for f in range(8):
+        counts = [0] * 16
+        for b in range(9):
+            data = payload[576 * f + 64 * b : 576 * f + 64 * b + 64]
+            c = [data[0] - 128] + [v - 128 if v < 128 else v - 127 for v in data[1:]]
+            grid = np.zeros((8, 8))
+            for k, v in enumerate(c):
+                grid[order[k] // 8, order[k] % 8] = v
+            a = np.array([[(np.sqrt(1 / 8) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
+            for v in (a @ grid @ a.T).reshape(-1):
+                counts[int(min(255, max(0, np.rint(v) + 128))) // 16] += 1
+        shares.append([n / 576 for n in counts])
+    found = media.read_media(media.encode(payload))
+    assert found["frames"] == 8 and np.abs(np.array(found["histogram"]) - np.mean(shares, 0)).max() < 0.002
+    d = [sum(abs(x - y) for x, y in zip(shares[i], shares[i - 1], strict=True)) / 2 for i in range(1, 8)]
+    cut = []
+    for i, v in enumerate(d):
+        near = [x for j, x in enumerate(d) if j != i and abs(i - j) <= media.SPAN]
+        if v >= media.LEAST and v > np.mean(near) + media.DEVIATIONS * np.std(near) and v >= max(near):
+            cut.append(i + 1)
+    assert [c["first_frame"] for c in found["clips"]] == [0, *cut]
+
+
 def test_pixels_are_the_inverse_transform():
     c = np.zeros((1, 1, 64), np.int16)
     c[0, 0, 0], c[0, 0, 1] = 80, 40
