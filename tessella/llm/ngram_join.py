@@ -269,9 +269,10 @@ def _block_forests(postings: DataFrame, nodes: DataFrame, percent: int) -> DataF
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose sketches don't rule them out, of pairs of their ids."""
+    """Pairs (a, b) of nodes whose sizes and sketches don't rule them out, of pairs of their ids."""
     slim = nodes.select("id", "node", "n", "sketch")
     both = pairs.join(slim.toDF("a", "u", "na", "sa"), "a").join(slim.toDF("b", "v", "nb", "sb"), "b")
+    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
