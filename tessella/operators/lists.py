@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Confidence levels from the surest on.
@@ -37,6 +38,51 @@ def strict(df: DataFrame, caveats: DataFrame, key: str) -> DataFrame:
     return df.join(caveats.select(key), key, "left_anti")
 
 
+def with_caveats(df: DataFrame, caveats: DataFrame, key: str) -> DataFrame:
+    """df with caveats, the sorted different classes of each row's key in caveats (key, class); an empty array where there are none."""
+    classes = caveats.groupBy(key).agg(F.array_sort(F.collect_set("class")).alias("caveats"))
+    return df.join(classes, key, "left").withColumn("caveats", F.coalesce("caveats", F.array().cast("array<string>")))
+
+
+def flagged(df: DataFrame, flag: Column, out: str = "weak") -> DataFrame:
+    """df with out: whether flag holds; a flag that isn't known doesn't."""
+    return df.withColumn(out, F.coalesce(flag, F.lit(False)))
+
+
+def levels(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(level, in_any, in_all, ...) for each level: rows that have it in any of columns, in all of them, and in each."""
+    sums = []
+    for level in LEVELS:
+        has = [F.coalesce(F.col(c) == level, F.lit(False)) for c in columns]
+        each = [F.count_if(h).alias(c) for h, c in zip(has, columns, strict=True)]
+        sums.append(F.struct(F.lit(level).alias("level"), F.count_if(reduce(lambda a, b: a | b, has)).alias("in_any"), F.count_if(reduce(lambda a, b: a & b, has)).alias("in_all"), *each))
+    return df.agg(F.array(*sums).alias("s")).select(F.inline("s"))
+
+
+def after(year: Column, as_of: int) -> Column:
+    """Whether a period such as "2026" or "FY26" ends after the year as_of; null where none is named."""
+    number = F.regexp_extract(year, r"([0-9]{2,4})", 1).try_cast("int")
+    return F.when(number < 100, number + 2000).otherwise(number) > as_of
+
+
+def against_ranges(df: DataFrame, group: str, targets: DataFrame) -> DataFrame:
+    """(group, lo, hi, delivered, gap) of each group of df or targets (group, lo, hi); gap is 0 within the range, else how far below or above it.
+
+    A target without bounds is for the remainder: what all rows leave beside the others' ranges.  Groups without a
+    target have no bounds and no gap.  targets is small, a row a group.
+    """
+    counts = df.groupBy(group).agg(F.count("*").alias("delivered"))
+    everything = W.partitionBy()
+    rows = targets.withColumn("_target", F.lit(True)).join(counts, group, "full").withColumn("delivered", F.coalesce("delivered", F.lit(0).cast("long")))
+    total = F.sum("delivered").over(everything)
+    rest = F.col("_target") & F.col("lo").isNull() & F.col("hi").isNull()
+    lo = F.when(rest, F.greatest(F.lit(0), total - F.sum("hi").over(everything))).otherwise(F.col("lo"))
+    hi = F.when(rest, F.greatest(F.lit(0), total - F.sum("lo").over(everything))).otherwise(F.col("hi"))
+    rows = rows.select(group, lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), "delivered")
+    gap = F.when(F.col("delivered") < F.col("lo"), F.col("delivered") - F.col("lo")).when(F.col("delivered") > F.col("hi"), F.col("delivered") - F.col("hi"))
+    return rows.withColumn("gap", F.coalesce(gap, F.when(F.col("lo").isNotNull() | F.col("hi").isNotNull(), 0)).cast("long"))
+
+
 def against_target(df: DataFrame, group: str, target: DataFrame) -> DataFrame:
     """(group, target, delivered, gap) of each group of df or target (group, target)."""
     counts = df.groupBy(group).agg(F.count("*").alias("delivered"))
@@ -46,7 +92,7 @@ def against_target(df: DataFrame, group: str, target: DataFrame) -> DataFrame:
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, rows, present, distinct_values) of each column, in one pass."""
+    """(column, rows, present, distinct_values) of each column; the table is read once, and its rows are spread once a column to count values."""
     sums = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("present"), F.countDistinct(c).alias("distinct_values")) for c in columns]
     return df.agg(F.array(*sums).alias("s")).select(F.inline("s"))
 

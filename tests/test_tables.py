@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -40,10 +39,23 @@ def one(spark, text, column):
 def test_cells(spark):
     assert [one(spark, x, cells.known) for x in ("—", " Not disclosed ", None, " a ")] == [None, None, None, "a"]
     assert one(spark, " a ; b1 ;; 2 c", cells.many) == ["a", "b1", "2 c"] and one(spark, "—", cells.many) is None
-    facts = one(spark, "A$1.5m raised (NZ$980k grant); seeking US$2,000,000", cells.money_facts)
-    assert [tuple(f) for f in facts] == [("raised", "AUD", Decimal("1500000.00")), ("grant", "NZD", Decimal("980000.00")), ("sought", "USD", Decimal("2000000.00"))]
-    assert one(spark, "valuation $3m", cells.money_facts)[0].currency is None and one(spark, "Never raised", cells.money_facts) == []
-    assert tuple(one(spark, "~10–20 (est.)", cells.number_range)) == (10, 20, True) and tuple(one(spark, "1,200", cells.number_range)) == (1200, 1200, False)
+    money = lambda text: [(f.role, f.currency, int(f.amount), None if f.amount_to is None else int(f.amount_to)) for f in one(spark, text, cells.money_facts)]
+    assert money("A$1.5m raised (NZ$980k grant); seeking US$2,000,000") == [("raised", "AUD", 1500000, None), ("grant", "NZD", 980000, None), ("sought", "USD", 2000000, None)]
+    assert money("A$5m round at A$20m valuation") == [("raised", "AUD", 5000000, None), ("valuation", "AUD", 20000000, None)]
+    assert money("Raised US$3m and seeking US$9m") == [("raised", "USD", 3000000, None), ("sought", "USD", 9000000, None)]
+    assert money("valuation of £40m seeking £9m") == [("valuation", "GBP", 40000000, None), ("sought", "GBP", 9000000, None)]
+    assert money("£1m–£2m revenue") == [("revenue", "GBP", 1000000, 2000000)] and money("A$1-2m turnover") == [("revenue", "AUD", 1000000, 2000000)]
+    assert money("€5 months of 2025") == [("raised", "EUR", 5, None)] and money("US$4m raised to 2025, C$7m to date") == [("raised", "USD", 4000000, None), ("raised_to_date", "CAD", 7000000, None)]
+    bases = ["A$12m revenue in FY24", "~A$3m revenue year to date", "A$9m cumulative sales since 2021", "forecast revenue A$20m+", "A$2m ARR revenue", "A$6m revenue run rate", "A$6m sales"]
+    found = [one(spark, b, cells.money_facts)[0] for b in bases]
+    assert [f.basis for f in found] == ["annual", "ytd", "cumulative", "forecast", "arr", "annualised", "unknown"]
+    assert [f.approximate for f in found] == [False, True, False, True, False, False, False] and [f.period for f in found[:3]] == ["FY24", None, "2021"]
+    assert one(spark, "valuation $3m", cells.money_facts)[0].currency is None and one(spark, "Never raised", cells.money_facts) == [] and one(spark, None, cells.money_facts) == []
+    assert [one(spark, x, cells.status) for x in ("—", "Not disclosed (A$2m grant)", "Bootstrapped — no external round", "A$1m; raising now", "A$1m")] == ["missing", "missing", "none", "raising", "stated"]
+    assert one(spark, "Not disclosed; grew 30%", cells.remark) == "grew 30%" and one(spark, "Not disclosed", cells.remark) is None and one(spark, "A$1m", cells.remark) is None
+    assert [one(spark, x, cells.known) for x in ("Undisclosed amount", "Undisclosedly", "amount not disclosed in 2024")] == [None, "Undisclosedly", None]
+    assert tuple(one(spark, "~10–20 (est.)", cells.number_range)) == (10, 20, True, None) and tuple(one(spark, "1,200", cells.number_range)) == (1200, 1200, False, None)
+    assert tuple(one(spark, "8 FTE + casual, latest", cells.number_range)) == (8, 8, False, "FTE + casual, latest")
     assert one(spark, "many", cells.number_range) is None
     assert one(spark, "New (formerly Old, Older)", cells.aliases) == ["Old", "Older"] and one(spark, "New", cells.aliases) == []
     assert tuple(one(spark, "**Shop** (High)", cells.valued)) == ("Shop", "High")
@@ -61,3 +73,11 @@ def test_rule_has_three_values(spark):
     df = spark.createDataFrame(rows, "r double, a double, d date")
     rule = lists.qualifies(F.col("r"), 1e6, 1e7, F.col("a"), 1e7, F.col("d"), F.lit(datetime.date(2025, 2, 1)), F.lit(datetime.date(2026, 7, 31)))
     assert [r.q for r in df.select(rule.alias("q")).collect()] == [True, None, True, False, None, False]
+
+
+def test_ranges_and_caveats(spark):
+    df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 9 + [("c",)] * 4 + [("d",)], "g string")
+    targets = spark.createDataFrame([("a", 6, 8), ("b", 2, 7), ("c", None, None), ("e", 1, 2)], "g string, lo long, hi long")
+    assert sorted(map(tuple, lists.against_ranges(df, "g", targets).collect())) == [("a", 6, 8, 5, -1), ("b", 2, 7, 9, 2), ("c", 2, 10, 4, 0), ("d", None, None, 1, None), ("e", 1, 2, 0, -1)]
+    caveats = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x")], "g string, class string")
+    assert {r.g: r.caveats for r in lists.with_caveats(df.distinct(), caveats, "g").collect()} == {"a": ["x", "y"], "b": [], "c": [], "d": []}
