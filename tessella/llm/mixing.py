@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import Scratch, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document's hash has 60 bits; each level of the histogram takes BITS of them, LEVELS levels in all.
@@ -23,7 +23,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
     Sources in order of _source take the weights in turn.  share * (sum of sizes) is dealt out by weight; a
     source above most times its size stops there, and the excess is dealt again.  In closed form: by rising
     size / weight, a source stops if the level left by those before it exceeds its own bound.
-    This works on one row a source.
+    This works on one row a source, some 60 bytes each, in one task.
     """
     rank = F.row_number().over(W.orderBy("_source")) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
@@ -49,10 +49,15 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     A null or empty text has size 0 and moves nothing; a null source is a source of its own, last in order;
     a null key is hashed as empty; repeated rows have one hash and stand or fall together; an empty table gives
-    none.  keep names further columns to carry (they are written once, with the slim rows).
+    none.  keep names further columns to carry, whatever their names but those of the result (they are written once,
+    with the slim rows).
     """
+    taken = {key, "size", "source_size", "target", "copies", "taken"}
+    if taken & set(keep):
+        raise ValueError(f"the result has columns of these names: {sorted(taken & set(keep))}")
+    scratch = Scratch(df.sparkSession)
     slim = df.select(
-        key, *keep, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col(key).alias("_key"), F.struct(F.lit(0).alias("_"), *keep).alias("_kept"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t")).alias("_source"), _hash(key).alias("_hash"),
     )
     slim = materialize(slim, "mix")
@@ -60,7 +65,7 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets(sizes, weights, share, most).withColumn("_whole", whole)
     plan = plan.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    plan = materialize(plan.withColumn("_prefix", F.lit(0).cast("long")).withColumn("_before", F.lit(0).cast("long")).withColumn("_in", F.lit(0).cast("long")), "mix-plan")
+    plan = scratch.materialize(plan.withColumn("_prefix", F.lit(0).cast("long")).withColumn("_before", F.lit(0).cast("long")).withColumn("_in", F.lit(0).cast("long")), "mix-plan")
     for level in range(1, LEVELS + 1):
         unit = 1 << (HASH_BITS - BITS * level)
         bucket = F.floor(F.col("_hash") / F.lit(unit)) if unit > (1 << 53) else F.shiftright("_hash", HASH_BITS - BITS * level)
@@ -85,12 +90,13 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
             F.coalesce(F.col("_e._upto") - F.col("_e._n"), F.col("source_size")).cast("long").alias("_before"),
             F.coalesce(F.col("_e._n"), F.lit(0)).cast("long").alias("_in"),
         )
-        plan = materialize(plan, f"mix-level{level}")
+        plan = (materialize if level == LEVELS else scratch.materialize)(plan, f"mix-level{level}")
+    scratch.drop()
     nearer = (F.col("_in") == 0) & (F.col("_rest") > 0) | (F.col("_before") + F.col("_in") - F.col("_rest") < F.col("_rest") - F.col("_before"))
     plan = plan.withColumn("_limit", F.col("_prefix") + F.when(nearer, 1).otherwise(0))
     more = F.when(F.shiftright("_hash", HASH_BITS - BITS * LEVELS) < F.col("_limit"), 1).otherwise(0)
     return (
         slim.join(plan.select("_source", "source_size", "target", "_whole", "_limit"), "_source")
         .withColumn("copies", (F.col("_whole") + more).cast("long"))
-        .select(key, *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(F.col("_key").alias(key), *(F.col("_kept")[c].alias(c) for c in keep), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )

@@ -81,6 +81,14 @@ def test_mix(docs, none, texts):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mix_carries_columns_of_odd_names(spark, docs):
+    df = docs.withColumnRenamed("token", "_source").withColumnRenamed("label", "_hash").withColumnRenamed("node", "_limit")
+    rows = mixing.mix_sources(df, keep=("_source", "_hash", "_limit")).collect()
+    assert len(rows) == df.count() and all((r._source, r._hash, r._limit) == (3, 4, 2) for r in rows)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, keep=("size",))
+
+
 def test_mix_comes_near_its_targets(spark):
     df = spark.range(20000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 50 as int)) as text", "concat('s', cast(pow(id % 100, 2) / 2500 as int)) as source")
     rows = mixing.mix_sources(df, keep=("source",)).groupBy("source").sum("taken").collect()

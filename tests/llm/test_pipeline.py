@@ -65,3 +65,21 @@ def test_stages(spark, tmp_path):
     last = corpus_pipeline.run(spark, sf)
     assert last.count() == len(kept) and set(last.columns) >= {"doc_id", "sequence_id", "offset"}
     assert packing.default_vocabulary()
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, other columns of clashing names; then no rows at all."""
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    rng = random.Random(3)
+    rows = [(1, "one", None, "s", 3, 7, "x"), (None, "one two", "en", None, None, None, None), (2, None, "en", "s", 0, 1, "y"), (3, "", None, None, 0, 1, "z"), (4, " ".join(words(rng, 20000)), "en", "s", 9, 1, "w")]
+    rows += [(5, " ".join(words(rng, 80)), "en", "t", 9, 2, "v")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, _row string")
+    for docs, empty in ((df, False), (df.limit(0), True)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs.columns, stage(spark, docs, sf)
+            assert name == "packing" or docs.columns == before
+            ids = {r.doc_id for r in docs.select("doc_id").collect()}
+            assert not ids if empty else {4, 5} <= ids <= {1, None, 2, 3, 4, 5}
+            if not empty and name in ("toxicity", "ngram_jaccard", "substring_dedup"):
+                assert ids == {1, None, 2, 3, 4, 5} and docs.where("doc_id = 5").count() == (3 if name == "toxicity" else 1)
