@@ -71,7 +71,7 @@ def differing(n, m, percent: int):
 
 def _sketch(tokens: np.ndarray) -> bytes:
     """Parities of the tokens by the low bits of a hash: two sets differ in at least as many tokens as their sketches in bits."""
-    bits = max(128, 1 << int(2 * len(tokens) - 1).bit_length())
+    bits = max(128, 1 << int(len(tokens) - 1).bit_length())
     counts = np.bincount((mix(tokens) & _U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -152,12 +152,12 @@ def _indexed(df: DataFrame, key: str, text: str, k: int, percent: int, table: np
 
 
 def _lists(nodes: DataFrame, column: str, scratch: Scratch) -> DataFrame:
-    """Postings (token, id, length) of the lists with two documents at least; of lists with the same members, one.
+    """Postings (token, id, n, length) of the lists with two documents at least; of lists with the same members, one.
 
     Common shingles' lists are counted before they are joined, so that Spark can split long ones.  Of the rare ones
     none is as long as FREQUENT others are, so they are counted where they meet, after one shuffle.
     """
-    postings = nodes.select(F.explode(column).alias("token"), "id")
+    postings = nodes.select(F.explode(column).alias("token"), "id", "n")
     if column == "common":
         lengths = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
         shared = postings.join(scratch.materialize(lengths, "lengths"), "token")
@@ -169,9 +169,9 @@ def _lists(nodes: DataFrame, column: str, scratch: Scratch) -> DataFrame:
     return shared.join(scratch.materialize(kept.select("token"), "lists"), "token")
 
 
-def _short_pairs(lists: DataFrame) -> DataFrame:
-    groups = lists.where(F.col("length") <= SHORT).groupBy("token").agg(F.sort_array(F.collect_list("id")).alias("g"))
-    pairs = F.expr(f"flatten(transform(g, (p, i) -> transform(filter(slice(g, i + 2, {SHORT}), q -> q <> p), q -> struct(p as a, q as b))))")
+def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    groups = lists.where(F.col("length") <= SHORT).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("g"))
+    pairs = F.expr(f"flatten(transform(g, (p, i) -> transform(filter(slice(g, i + 2, {SHORT}), q -> 100 * p.n >= {percent} * q.n and q.id <> p.id), q -> struct(least(p.id, q.id) as a, greatest(p.id, q.id) as b))))")
     return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
@@ -254,7 +254,7 @@ def _block_forests(postings: DataFrame, nodes: DataFrame, percent: int) -> DataF
     A list is dealt into blocks, and each pair of blocks is a group; so a group is bounded and a document is sent
     once for a block of its list, not once for a pair.
     """
-    rows = postings.join(nodes.select("id", "node", "n", "sketch"), "id")
+    rows = postings.join(nodes.select("id", "node", "sketch"), "id")
     dealt = _dealt(rows, "token", F.ceil(F.col("length") / BLOCK).cast("int"), ["node", "n", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +392,7 @@ def _joined(df: DataFrame, key: str, text: str, words: int, percent: int, scratc
     nodes = scratch.materialize(nodes.select("node", F.xxhash64("node").alias("id"), "_row", "_s.*"), "nodes")
     rare = scratch.materialize(_lists(nodes, "rare", scratch), "lists")
     long_ = rare.where(F.col("length") > SHORT).unionByName(_lists(nodes, "common", scratch))
-    near = _pruned(_short_pairs(rare), nodes, percent).unionByName(_block_forests(long_, nodes, percent))
+    near = _pruned(_short_pairs(rare, percent), nodes, percent).unionByName(_block_forests(long_, nodes, percent))
     groups = components(scratch.materialize(near, "near"), scratch)
     groups = scratch.materialize(groups.join(nodes.select("node", "_row", "n"), "node"), "groups")
     sizes = scratch.materialize(groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("size")), "group-sizes")
