@@ -26,8 +26,8 @@ from .graph import components
 _U = np.uint64
 #: Lists of at most SHORT documents are merged pair by pair; longer ones are dealt into blocks of about BLOCK documents.
 SHORT, BLOCK = 12, 4096
-#: Shingles of the whole sets in a block of a group, about (a larger set is a block alone).
-BLOCK_TOKENS = 1 << 20
+#: Shingles of the whole sets in a block of a group, about (a larger set is a block alone), and of the sets whose sketches are in one of a list.
+BLOCK_TOKENS, LIST_TOKENS = 1 << 20, 1 << 24
 #: Columns that one product of long lists takes at once.
 COLUMNS = 1024
 #: A shingle counts as frequent if one task meets it in COMMON documents; at most FREQUENT shingles do (8 bytes each are broadcast).
@@ -152,7 +152,7 @@ def _indexed(df: DataFrame, key: str, text: str, k: int, percent: int, table: np
 
 
 def _lists(nodes: DataFrame, column: str, scratch: Scratch) -> DataFrame:
-    """Postings (token, id, n, length) of the lists with two documents at least; of lists with the same members, one.
+    """Postings (token, id, n, length, size) of the lists with two documents at least; of lists with the same members, one.
 
     Common shingles' lists are counted before they are joined, so that Spark can split long ones.  Of the rare ones
     none is as long as FREQUENT others are, so they are counted where they meet, after one shuffle.
@@ -165,8 +165,9 @@ def _lists(nodes: DataFrame, column: str, scratch: Scratch) -> DataFrame:
         shared = postings.withColumn("length", F.count("*").over(W.partitionBy("token"))).where("length > 1")
     shared = scratch.materialize(shared, "postings")
     members = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"m{i}") for i in range(2)]
-    kept = shared.groupBy("token").agg(F.max("length").alias("length"), *members).groupBy("length", "m0", "m1").agg(F.min("token").alias("token"))
-    return shared.join(scratch.materialize(kept.select("token"), "lists"), "token")
+    kept = shared.groupBy("token").agg(F.max("length").alias("length"), F.sum("n").alias("size"), *members)
+    kept = kept.groupBy("length", "size", "m0", "m1").agg(F.min("token").alias("token"))
+    return shared.join(scratch.materialize(kept.select("token", "size"), "lists"), "token")
 
 
 def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +256,8 @@ def _block_forests(postings: DataFrame, nodes: DataFrame, percent: int) -> DataF
     once for a block of its list, not once for a pair.
     """
     rows = postings.join(nodes.select("id", "node", "sketch"), "id")
-    dealt = _dealt(rows, "token", F.ceil(F.col("length") / BLOCK).cast("int"), ["node", "n", "sketch"])
+    g = F.greatest(F.ceil(F.col("length") / BLOCK), F.ceil(F.col("size") / LIST_TOKENS)).cast("int")
+    dealt = _dealt(rows, "token", g, ["node", "n", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, 3):
