@@ -29,6 +29,8 @@ SUPPORT, LEAST_PAGES = 0.5, 3
 REGION, MARKED = 0.8, 0.3
 #: A form around so many characters, and REGION of the page's running text, is a wrapper.
 WRAPPER = 500
+#: Pages that repeat, up to this number, are told apart by a broadcast (some 150 bytes each); more by a shuffle.
+BROADCAST_IDS = 1 << 18
 #: What an element's tag, role and class say: nothing, an article, something else, a form, a name that is unsure, a part
 #: of running text, such as a paragraph, which can't be the region.
 NEUTRAL, MAIN, OUT, FORM, UNSURE, PART = range(6)
@@ -382,9 +384,14 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return hosts.join(texts, "host", "left").join(regions, "host", "left").select("host", "region", F.coalesce("texts", F.array().cast("array<long>")).alias("texts"))
 
 
-def different(pages: DataFrame) -> DataFrame:
-    """One of the pages of each host and content; only those that repeat are shuffled."""
+def different(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """One of the pages of each host and content; only those that repeat are shuffled, and none where none does."""
     again = pages.groupBy("_host", "_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_host", "_row")
+    again = scratch.materialize(again, "repeated-pages")
+    n = again.count()
+    if not n:
+        return pages
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
     once = pages.join(again, ["_host", "_row"], "left_anti")
     return once.unionByName(pages.join(again, ["_host", "_row"], "left_semi").dropDuplicates(["_host", "_row"]))
 
@@ -401,7 +408,7 @@ def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", html: st
     scratch = Scratch(df.sparkSession)
     pages = df.select(F.col(key).alias("_key"), F.col(url).cast("string").alias("_url"), F.col(html).alias("_html"), host_of(url).alias("_host"))
     contents = pages.select("_host", F.xxhash64("_html").alias("_row"), "_html")
-    templates = materialize(deduce_templates(different(contents), scratch), "templates")
+    templates = materialize(deduce_templates(different(contents, scratch), scratch), "templates")
     scratch.drop()
     joined = pages.join(templates, F.col("_host") == F.col("host"), "left").select("_key", "_url", "_html", "region", "texts", "_host")
 

@@ -111,7 +111,7 @@ def test_overlaps():
 
 
 def test_near_misses_are_not_sent_as_pairs(spark):
-    """Documents of a family that all but link: what is sent grows with the documents, not with their square."""
+    """Documents of a family that all but link: no more is sent for each than the lists that it is in (14), however many they are."""
     rng = random.Random(17)
     sent = []
     for n in (100, 400):
@@ -127,7 +127,7 @@ def test_near_misses_are_not_sent_as_pairs(spark):
         index = ngram_join._indexed(df, "doc_id", "text", 4, 87, ngram_join._frequent(df, "text", 4, 87)).drop("key").withColumn("id", F.xxhash64("node"))
         lists = ngram_join._lists(index, "rare", scratch).unionByName(ngram_join._lists(index, "common", scratch))
         sent.append((ngram_join._short_pairs(lists, 87).count() + ngram_join._block_forests(lists.where(f"length > {ngram_join.SHORT}"), index, 87).count()) / n)
-    assert sent[1] < 2.5 * sent[0] + 1 and sent[1] < 150
+    assert max(sent) <= 14, sent
 
 
 def test_components(spark):
@@ -271,7 +271,7 @@ def test_near_passages_are_found(spark):
     rng = random.Random(41)
     rows, kinds = [], [(50, "replace", 1), (52, "insert", 1), (54, "drop", 1), (60, "replace", 1), (100, "replace", 2), (100, "insert", 2), (100, "drop", 2), (100, "replace", 0)]
     for kind in kinds:
-        for _ in range(100):
+        for _ in range(60):
             passage = words(rng, kind[0])
             for p in (passage, edited(rng, passage, *kind[1:])):
                 a, b = words(rng, rng.randint(0, 60)), words(rng, rng.randint(0, 60))
@@ -284,7 +284,7 @@ def test_near_passages_are_found(spark):
     for k, kind in enumerate(kinds):
         pairs = [(x, y) for x, y, n in zip(rows[::2], rows[1::2], alike, strict=True) if x[2] == k and n >= 0.8 * (x[4] + y[4] - 8 - n)]
         caught = sum(all(len(found[r[0]] & set(range(r[3], r[3] + r[4]))) >= 0.9 * r[4] for r in p) for p in pairs)
-        assert len(pairs) >= 50 and caught >= 0.95 * len(pairs), (kind, caught, len(pairs))
+        assert len(pairs) >= 40 and caught >= 0.95 * len(pairs), (kind, caught, len(pairs))
     beyond = sum(len(found[r[0]] - set(range(r[3] - 5, r[3] + r[4] + 5))) for r in rows)
     assert beyond == 0
 
