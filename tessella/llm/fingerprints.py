@@ -118,6 +118,10 @@ def peel(table: DataFrame, by: list[str], cells: Column, digests: bool = False)
     return table.groupBy(*by).agg(*out)
 
 
+def _signed(digests: str, sign: int) -> Column:
+    return F.transform(digests, lambda d: F.struct(d.alias("digest"), F.lit(sign).cast("long").alias("sign")))
+
+
 def differences(pairs: DataFrame, digests: bool = False, rows: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """pairs has _row, _kind and two digest arrays a, b (without repeats); (_row, _kind, differ): how many digests are in one only.
 
@@ -133,7 +137,7 @@ def differences(pairs: DataFrame, digests: bool = False, rows: int | None = None
     for i in range(TRIES):
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // TASK_DIGESTS))
         spread = pairs.repartition(parts, "_row")  # the arrays are shuffled, not their digests
-        both = F.concat(*(F.transform(c, lambda d, n=n: F.struct(d.alias("digest"), F.lit(n).cast("long").alias("sign"))) for c, n in (("a", 1), ("b", -1))))
+        both = F.concat(_signed("a", 1), _signed("b", -1))
         units = spread.select(*by, F.explode(both).alias("u")).select(*by, "u.*")
         result = scratch.materialize(peel(table_cells(units, by, F.col("cells")), by, F.col("cells"), digests), f"peel{i}")
         done.append(result.where("not stuck").withColumnRenamed("found", "differ").select(*names))

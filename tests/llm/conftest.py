@@ -27,7 +27,7 @@ def texts() -> list[tuple]:
         out.append(" ".join(near).upper())
     for w in base[10:16]:  # a passage in the middle of other texts
         out.append(" ".join(w[:30] + passage + w[30:40]) + "\nlast line\nlast line")
-    out += ["", "one", "two words", "one", "Ünïcode tëxt — 你好 🎉", "  \t\n ", " ".join(words(rng, 6000)), "x" * 30000]
+    out += ["", "one", "two words", "one", "Ünïcode tëxt — 你好 🎉", "  \t\n ", " ".join(words(rng, 6000)), "x" * 30000, " ".join(words(rng, 200_000))]
     rows = [(i, t, "en", "hot" if i % 3 else f"s{i % 5}", len(t), 1, 2, 3, 4, 5) for i, t in enumerate(out)]
     rows += [(len(rows), None, None, None, None, 1, 2, 3, 4, 5), (None, "a null key", "en", "s1", 10, 1, 2, 3, 4, 5), rows[3], rows[3]]
     return rows
