@@ -20,7 +20,7 @@ from .common import Scratch, materialize
 CELLS = 48
 #: A pair is peeled in a table of ROOM cells a digest of either text at least; where that fails, in one GROWTH times as large, TRIES times in all.
 ROOM, GROWTH, TRIES = 3, 8, 5
-PARAGRAPH, ROUNDS = 120, 4
+PARAGRAPH, ROUNDS = 120, 6
 #: Digests in a task, about.
 TASK_DIGESTS = 200_000
 #: Documents in a range of keys, about, and the most ranges (their bounds, 8 bytes each, come to the driver).
@@ -99,19 +99,22 @@ def table_cells(units: DataFrame, by: list[str], cells: Column) -> DataFrame:
 def peel(table: DataFrame, by: list[str], cells: Column, digests: bool = False) -> DataFrame:
     """(by, found, stuck) of each subtracted table: how many digests are recovered, and whether cells are left over.
 
-    A round finds the cells that hold one digest, and takes it from its three cells.  The rounds group by the
-    same keys, so they run in place; recovered digests stay as rows of cell -1.  Rounds go on in one plan, ROUNDS times.
+    A round finds the cells of one of the three parts that hold one digest (a digest is in one cell of a part, so it
+    is found once), and takes it from its cells.  The rounds group by the same keys, so they run in place; recovered
+    digests stay as rows of cell -1.  Rounds go on in one plan, ROUNDS times.
     With digests, the recovered ones are returned as the arrays only_a (sign 1) and only_b (sign -1).
     """
-    for _ in range(ROUNDS):
-        pure = (F.col("cell") >= 0) & (F.abs("n") == 1) & (F.col("check") == _check("key"))
-        own = F.struct("cell", "n", "key", "check", F.lit(False).alias("out"))
-        outs = [F.struct(_cell("key", p, cells).alias("cell"), (-F.col("n")).alias("n"), "key", "check", F.lit(True).alias("out")) for p in range(3)]
-        kept = F.struct(F.lit(-1).alias("cell"), "n", "key", "check", F.lit(True).alias("out"))
-        entries = table.select(*by, F.explode(F.when(pure, F.array(own, *outs, kept)).otherwise(F.array(own))).alias("e")).select(*by, "e.*")
-        once = entries.groupBy(*by, "cell", "out", "key", "check").agg(F.first("n").alias("n"))  # a digest may be alone in several cells
+    third = F.floor(cells / 3).cast("long")
+    for i in range(ROUNDS):
+        part = i % 3
+        here = (F.col("cell") >= part * third) & (F.col("cell") < (part + 1) * third)
+        pure = here & (F.abs("n") == 1) & (F.col("check") == _check("key"))
+        own = F.struct("cell", "n", "key", "check")
+        outs = [F.struct(_cell("key", p, cells).alias("cell"), (-F.col("n")).alias("n"), "key", "check") for p in range(3) if p != part]
+        kept = F.struct(F.lit(-1).alias("cell"), "n", "key", "check")
+        entries = table.select(*by, F.explode(F.when(pure, F.array(*outs, kept)).otherwise(F.array(own))).alias("e")).select(*by, "e.*")
         found = F.when(F.col("cell") < 0, F.col("key")).otherwise(0).alias("_found")
-        table = once.groupBy(*by, "cell", found).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check")).where("n <> 0 or key <> 0 or `check` <> 0").drop("_found")
+        table = entries.groupBy(*by, "cell", found).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check")).where("n <> 0 or key <> 0 or `check` <> 0").drop("_found")
     out = [F.count_if(F.col("cell") < 0).alias("found"), F.max(F.col("cell") >= 0).alias("stuck")]
     if digests:
         out += [F.collect_list(F.when((F.col("cell") < 0) & (F.col("n") == n), F.col("key"))).alias(c) for c, n in (("only_a", 1), ("only_b", -1))]
