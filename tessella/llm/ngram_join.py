@@ -366,7 +366,7 @@ def _linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             data = np.frombuffer(data[: offsets[-1]].tobytes(), _U)
             offsets = offsets // 8
             links, labels = np.zeros(len(sizes), np.int64), np.arange(len(sizes))
-            alone, step = left is right, max(1, (1 << 23) // max(1, len(right)))
+            alone, step = left is right, max(1, (1 << 21) // max(1, len(right)))
             for s in range(0, len(left), step):
                 some = left[s : s + step]
                 both = overlaps(data, offsets, some, right)

@@ -17,7 +17,7 @@ from .common import materialize
 #: Pieces in a bin, on average; each bin is packed by one task, from lengths alone.
 BIN_PIECES = 16384
 #: Byte strings of token ids that one task remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 # Letters, digits and white space of the characters that the fast path takes; other texts go to the library whole.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGIT = "0-9²³¹¼½¾"
