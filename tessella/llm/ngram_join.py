@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_column, blocks, column_bytes, materialize, mix, shingles, sorted_groups, word_hashes
+from .common import Scratch, binary_column, blocks, column_bytes, materialize, mix, shingles, sorted_groups, trimmed, word_hashes
 from .graph import components
 
 _U = np.uint64
@@ -102,7 +102,7 @@ def _frequent(df: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
         if held:
             yield out()
 
-    counts = df.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT)
+    counts = df.select(text).mapInArrow(trimmed(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT)
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
     return np.sort(top.toArrow()["token"].to_numpy().view(_U))
 
@@ -148,7 +148,7 @@ def _indexed(df: DataFrame, key: str, text: str, k: int, percent: int, table: np
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "_row", "n", "node", "rare", "common", "sketch"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("_row"), F.col(text)).mapInArrow(run, f"key {kind}, _row long, n long, node binary, rare array<long>, common array<long>, sketch binary")
+    return df.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("_row"), F.col(text)).mapInArrow(trimmed(run), f"key {kind}, _row long, n long, node binary, rare array<long>, common array<long>, sketch binary")
 
 
 def _lists(nodes: DataFrame, column: str, scratch: Scratch) -> DataFrame:
@@ -267,7 +267,7 @@ def _block_forests(postings: DataFrame, nodes: DataFrame, percent: int) -> DataF
                 ids = table["node"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(labels[at])), ids.take(pa.array(at))], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(trimmed(run), "a binary, b binary")
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     keep[at] = np.bitwise_count(_fold(x[u][rx[at]], w) ^ _fold(y[v][ry[at]], w)).sum(1) <= differing(n[at], m[at], percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return both.select("u", "v", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary")
+    return both.select("u", "v", "na", "sa", "nb", "sb").mapInArrow(trimmed(run), "a binary, b binary")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -305,7 +305,7 @@ def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> Data
                 same = [set_id(t) == x for t, x in zip(sets, ids.to_pylist(), strict=True)]  # not another row of that hash
                 yield pa.RecordBatch.from_arrays([ids, pa.array([t.tobytes() for t in sets], pa.binary())], ["node", "tokens"]).filter(pa.array(same, pa.bool_()))
 
-    return picked.mapInArrow(run, "node binary, tokens binary").dropDuplicates(["node"])
+    return picked.mapInArrow(trimmed(run), "node binary, tokens binary").dropDuplicates(["node"])
 
 
 def overlaps(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -382,7 +382,7 @@ def _linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ids = table["node"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(links[at]), ids.take(pa.array(labels[at])), pa.array(np.full(len(at), table["g"][0].as_py() == 1))], ["node", "links", "label", "whole"])
 
-    return dealt.mapInArrow(run, "node binary, links long, label binary, whole boolean")
+    return dealt.mapInArrow(trimmed(run), "node binary, links long, label binary, whole boolean")
 
 
 def _joined(df: DataFrame, key: str, text: str, words: int, percent: int, scratch: Scratch) -> DataFrame:

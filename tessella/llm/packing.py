@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import materialize
+from .common import materialize, trimmed
 
 #: Pieces in a bin, on average; each bin is packed by one task, from lengths alone.
 BIN_PIECES = 16384
 #: Byte strings of token ids that one task remembers.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 # Letters, digits and white space of the characters that the fast path takes; other texts go to the library whole.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGIT = "0-9²³¹¼½¾"
@@ -155,7 +155,7 @@ def token_pieces(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in columns[1:])], [key, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return df.select(key, text).mapInArrow(trimmed(run), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", split_special: bool = False) -> DataFrame:
@@ -186,7 +186,7 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, ke
         table = table.append_column("sequence_tokens", pa.array(used, pa.int64())).append_column("padded_length", pa.array([n if n & (n - 1) == 0 else window for n in used], pa.int64()))
         yield from table.to_batches()
 
-    return pieces.repartition(bins).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in [*names, 'sequence_id', 'offset', 'sequence_tokens', 'padded_length'])}")
+    return pieces.repartition(bins).mapInArrow(trimmed(run), f"`{key}` {kind}, {', '.join(f'{c} long' for c in [*names, 'sequence_id', 'offset', 'sequence_tokens', 'padded_length'])}")
 
 
 def default_vocabulary() -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column_bytes, word_start_hashes
+from .common import blocks, column_bytes, trimmed, word_start_hashes
 
 #: Features are hashed to 2**BITS weights: each word, and its first 4, 5 and 6 bytes.
 BITS, STARTS = 18, (4, 5, 6)
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feature, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), lists], ["key", "ps", "features"])
 
-    rows = picked.select(text, F.xxhash64(key), "_ps").mapInArrow(vectors, "key long, ps array<int>, features array<int>")
+    rows = picked.select(text, F.xxhash64(key), "_ps").mapInArrow(trimmed(vectors), "key long, ps array<int>, features array<int>")
     rows = rows.select("key", F.explode("ps").alias("p"), "features").select(F.explode(F.sequence(F.lit(0), F.lit(models - 1))).alias("model"), "*")
     prior = float(min(0.9, max(0.001, rate)))
 
@@ -189,7 +189,7 @@ def score(docs: DataFrame, models: list[tuple[np.ndarray, float]], key: str = "d
             scores = _scores(batch.column(0), table.value, some)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [key, "score", "predicted"])
 
-    return docs.select(F.col(text).alias("_text"), key).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
+    return docs.select(F.col(text).alias("_text"), key).mapInArrow(trimmed(run), f"`{key}` {kind}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, models: list[tuple[np.ndarray, float]], text: str = "text") -> DataFrame:
@@ -206,4 +206,4 @@ def accepted(docs: DataFrame, models: list[tuple[np.ndarray, float]], text: str
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), table.value, some) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
