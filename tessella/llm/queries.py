@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, fingerprints, media, mixing, ngram_join, packing, passages, shards, toxicity, warc
+from . import balls, extract, fingerprints, media, mixing, negatives, ngram_join, packing, passages, shards, spans, toxicity, warc
 from .common import new_path
 
 
@@ -66,7 +66,25 @@ def op10_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-_ALL = (op1_jump_shards, op2_warc_archives, op3_repeated_passages, op4_mix_sources, op5_pack_windows, op6_main_text, op7_ngram_jaccard, op8_lookup_sketches, op9_toxicity, op10_motion_jpeg)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op12_personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.find_spans(table(spark, sf_dir, "documents"))
+    listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda x: x["base"])
+    of = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in spans.BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.cluster(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_jump_shards, op2_warc_archives, op3_repeated_passages, op4_mix_sources, op5_pack_windows, op6_main_text, op7_ngram_jaccard, op8_lookup_sketches, op9_toxicity, op10_motion_jpeg, op11_hard_negatives, op12_personal_spans, op13_ball_clusters)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 SQL_SHARDS = r"""
@@ -140,4 +158,38 @@ SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id,
 FROM docs LEFT JOIN roots USING (node) LEFT JOIN degrees USING (node)
 """
 
-SQL: dict[str, str] = {"op1_jump_shards": SQL_SHARDS, "op2_warc_archives": SQL_WARC, "op4_mix_sources": SQL_MIX, "op7_ngram_jaccard": SQL_JOIN}
+SQL_NEGATIVES = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS "rank", other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10
+"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds of op13, one after the other: a<r> has each vector's centroid, m<r> the centroids that it moves to."""
+    away = "list_inner_product(q, q) - 2 * list_inner_product(q, c) + list_inner_product(c, c)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, q, arg_min(n, (d, n)) AS n, min(d) AS d FROM (SELECT vec_id, q, n, ({away})::BIGINT AS d FROM v, m{r}) GROUP BY vec_id, q)")
+        if r < rounds:
+            moved = f"SELECT n, list(x ORDER BY i) AS c FROM (SELECT n, i, floor(sum(q[i]) / count(*)) AS x FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY n, i) GROUP BY n"
+            steps.append(f"m{r + 1} AS MATERIALIZED (SELECT o.n, coalesce(w.c, o.c) AS c FROM m{r} o LEFT JOIN ({moved}) w USING (n))")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS n, q AS c FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k}),
+{", ".join(steps)},
+digests AS (SELECT n, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM m{rounds})
+SELECT vec_id, n::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN digests USING (n)
+"""
+
+
+SQL: dict[str, str] = {"op1_jump_shards": SQL_SHARDS, "op2_warc_archives": SQL_WARC, "op4_mix_sources": SQL_MIX, "op7_ngram_jaccard": SQL_JOIN, "op11_hard_negatives": SQL_NEGATIVES, "op13_ball_clusters": _clusters_sql()}
