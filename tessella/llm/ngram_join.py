@@ -6,8 +6,8 @@ common among the first n - T + 1 of each: only those go into the inverted lists.
 long lists last, by a table of bounded size: a common line then doesn't bring its documents together, as long as
 they have enough shingles beside it.  Lists with the same members are one.  Members of a list whose parity sketches
 don't rule a link out come into one group, through a forest only, never as all pairs.  Within a group, dealt into
-blocks of bounded size, whole sets are searched: short lists are merged into counts, long ones are probed for all
-documents at once, and what reaches T is a link.
+blocks of bounded size, whole sets are searched: a set's short lists are merged into counts, its L longest are set
+aside, only documents with T - L at least are candidates, and the long lists are probed for these by binary search.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from .common import Scratch, binary_column, blocks, column_bytes, materialize, m
 from .graph import components
 
 _U = np.uint64
-#: Lists of at most SHORT documents are merged pair by pair; longer ones are dealt into blocks of about BLOCK documents.
+#: Lists of at most SHORT documents are joined pair by pair; longer ones are dealt into blocks of about BLOCK documents.
 SHORT, BLOCK = 12, 4096
 #: Shingles of the whole sets in a block of a group, about (a larger set is a block alone), and of the sets whose sketches are in one of a list.
 BLOCK_TOKENS, LIST_TOKENS = 1 << 20, 1 << 24
-#: Columns that one product of long lists takes at once.
-COLUMNS = 1024
+#: Words of sketches that are compared at once.
+PAIRS = 1 << 18
+#: DivideSkip's weight: of a set's lists the T / (SKIP * log2(longest) + 1) longest are probed, T being the overlap that is needed.
+SKIP = 0.0085
 #: A shingle counts as frequent if one task meets it in COMMON documents; at most FREQUENT shingles do (8 bytes each are broadcast).
 COMMON, FREQUENT = 4, 1 << 20
 #: Ids up to this number are broadcast (8 bytes each) to pick documents; beyond it, they are joined by a shuffle.
@@ -224,7 +226,7 @@ def _near_labels(sizes: np.ndarray, sketches, percent: int, left: np.ndarray, ri
                 continue
             w = min(wl, wr)
             x, y = _fold(words[wl][row[a]], w), _fold(words[wr][row[b]], w)
-            step = max(1, (1 << 21) // (len(b) * w))
+            step = max(1, PAIRS // (len(b) * w))
             for s in range(0, len(a), step):
                 if not labels.any():
                     return labels
@@ -308,48 +310,83 @@ def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> Data
     return picked.mapInArrow(trimmed(run), "node binary, tokens binary").dropDuplicates(["node"])
 
 
-def overlaps(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Shingles in common of each of left with each other one of right, of the sets data[offsets[i]:offsets[i+1]].
-
-    The lists of at most SHORT sets are merged into the counts; longer ones are probed by products of incidence matrices.
-    """
-    out = np.zeros((len(left), len(right)), np.int32)
-    if len(left) == len(right) == 1:
-        a, b = (data[offsets[i] : offsets[i + 1]] for i in (left[0], right[0]))
-        out[0, 0] = _is_in(a, b).sum()
-        return out
-    rows = np.unique(np.concatenate([left, right]))
-    sizes = offsets[rows + 1] - offsets[rows]
-    tokens = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in rows.tolist()])
-    owner = np.repeat(rows, sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    length = np.diff(np.append(begin, len(tokens)))
-    in_left, in_right = (np.full(int(rows[-1]) + 1, -1) for _ in range(2))
-    in_left[left], in_right[right] = np.arange(len(left)), np.arange(len(right))
-    for n in range(2, SHORT + 1):
-        members = owner[begin[length == n][:, None] + np.arange(n)]
-        for u in range(n):
-            x = in_left[members[:, u]]
-            for v in range(n):
-                y = in_right[members[:, v]]
-                at = (x >= 0) & (y >= 0)
-                if u != v and at.any():
-                    np.add.at(out, (x[at], y[at]), 1)
-    long_ = np.flatnonzero(length > SHORT)
-    for c in range(0, len(long_), COLUMNS):
-        some = long_[c : c + COLUMNS]
-        column = np.repeat(np.arange(len(some)), length[some])
-        member = owner[np.concatenate([np.arange(b, b + n) for b, n in zip(begin[some].tolist(), length[some].tolist(), strict=True)])]
-        sides = []
-        for where, n in ((in_left, len(left)), (in_right, len(right))):
-            m = np.zeros((n, len(some)), np.float32)
-            at = where[member] >= 0
-            m[where[member[at]], column[at]] = 1
-            sides.append(m)
-        out += np.rint(sides[0] @ sides[1].T).astype(np.int32)
-    return out
+class Lists:
+    """Inverted lists over the sets of one side of a block: for each shingle, the sets that have it, by their place there."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> None:
+        self.n, self.sets = len(rows), [data[offsets[i] : offsets[i + 1]] for i in rows.tolist()]
+        self.sizes = (offsets[rows + 1] - offsets[rows]).astype(np.int64)
+        tokens = np.concatenate(self.sets) if self.sets else np.zeros(0, _U)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[order], owner[order]
+        self.begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        self.tokens, self.end = tokens[self.begin], np.append(self.begin[1:], len(tokens))
+        self._gaps: dict[int, np.ndarray] = {}
+
+    def members(self, i: int) -> np.ndarray:
+        return self.owner[self.begin[i] : self.end[i]]
+
+    def gaps(self, i: int) -> np.ndarray:
+        """The sets that list i lacks; what is probed where it has more than half of them."""
+        if i not in self._gaps:
+            missing = np.ones(self.n, bool)
+            missing[self.members(i)] = False
+            self._gaps[i] = np.flatnonzero(missing).astype(np.int32)
+        return self._gaps[i]
+
+    def search(self, tokens: np.ndarray, percent: int) -> np.ndarray:
+        """Places of the sets that link with the set of tokens, by DivideSkip.
+
+        A link takes an overlap of T.  With the L longest lists of the tokens set aside, a linking set is in T - L of
+        the others at least: these are merged into counts, and only what reaches T - L is a candidate.  The long
+        lists are probed for the candidates, by binary search.
+        """
+        n = len(tokens)
+        least = needed(n, percent)
+        at = np.flatnonzero(_is_in(tokens, self.tokens))
+        lists = np.searchsorted(self.tokens, tokens[at])
+        if len(lists) < least:
+            return np.zeros(0, np.int64)
+        lengths = self.end[lists] - self.begin[lists]
+        order = np.argsort(-lengths, kind="stable")
+        apart = int(min(least - 1, least / (SKIP * np.log2(max(2, int(lengths.max()))) + 1)))
+        long_, short = order[:apart], order[apart:]
+        merged = np.concatenate([self.members(i) for i in lists[short].tolist()])
+        if len(merged) * 8 > self.n:
+            counts = np.bincount(merged, minlength=self.n)
+            found = np.flatnonzero(counts >= least - apart)
+            counts = counts[found]
+        else:
+            found, counts = np.unique(merged, return_counts=True)
+            counts, found = counts[counts >= least - apart], found[counts >= least - apart]
+        sizes = self.sizes[found]
+        fits = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+        found, counts = found[fits], counts[fits].astype(np.int64)
+        if len(found) < len(long_):
+            probed = tokens[at[long_]]
+            counts = counts + np.array([_is_in(probed, self.sets[c]).sum() for c in found.tolist()], np.int64)
+        else:
+            found, counts = self._probed(found, counts, lists[long_], lengths[long_], least)
+        return found[100 * counts >= percent * (n + self.sizes[found] - counts)]
+
+    def _probed(self, found: np.ndarray, counts: np.ndarray, lists: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates that can still reach least, and their counts with the long lists'."""
+        full = lengths * 2 > self.n
+        if full.any():
+            gaps = np.concatenate([self.gaps(i) for i in lists[full].tolist()])
+            place = np.searchsorted(found, gaps)
+            place[place == len(found)] = 0
+            counts = counts + int(full.sum()) - np.bincount(place[found[place] == gaps], minlength=len(found))
+        rest = lists[~full]
+        for k, i in enumerate(rest.tolist()):
+            counts = counts + _is_in(found, self.members(i))
+            keep = counts + len(rest) - k - 1 >= least
+            if not keep.all():
+                found, counts = found[keep], counts[keep]
+            if not len(found):
+                break
+        return found, counts
 
 
 def _linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -366,17 +403,15 @@ def _linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             data = np.frombuffer(data[: offsets[-1]].tobytes(), _U)
             offsets = offsets // 8
             links, labels = np.zeros(len(sizes), np.int64), np.arange(len(sizes))
-            alone, step = left is right, max(1, (1 << 21) // max(1, len(right)))
-            for s in range(0, len(left), step):
-                some = left[s : s + step]
-                both = overlaps(data, offsets, some, right)
-                ok = 100 * both.astype(np.int64) >= percent * (sizes[some][:, None] + sizes[right][None] - both)
-                ok &= some[:, None] != right[None]
-                i, j = np.nonzero(ok)
-                np.add.at(links, some[i], 1)
-                if not alone:
-                    np.add.at(links, right[j], 1)
-                labels = join_labels(labels, some[i], right[j])
+            lists = Lists(data, offsets, right)
+            for i in left.tolist():
+                found = right[lists.search(data[offsets[i] : offsets[i + 1]], percent)]
+                found = found[found != i]
+                links[i] += len(found)
+                if left is not right:
+                    links[found] += 1
+                apart = found[labels[found] != labels[i]]
+                labels = join_labels(labels, np.full(len(apart), i), apart)
             at = np.flatnonzero((links > 0) | (labels != np.arange(len(labels))))
             if len(at):
                 ids = table["node"].combine_chunks()

@@ -101,13 +101,41 @@ def test_keep_one_of_odd_keys(spark, none):
     assert ngram_join.keep_one(none).count() == 0
 
 
-def test_overlaps():
-    rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 150 if i % 2 else 4000, rng.integers(1, 120))).astype(np.uint64) for i in range(60)]
-    data, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-    for left, right in ((np.arange(60), np.arange(60)), (np.arange(0, 60, 3), np.arange(1, 60, 2)), (np.array([3]), np.array([7]))):
-        found = ngram_join.overlaps(data, offsets, left, right)
-        assert all(found[x, y] == len(np.intersect1d(sets[i], sets[j])) for x, i in enumerate(left) for y, j in enumerate(right) if i != j)
+def test_divide_skip():
+    """The search gives what counting every overlap gives: of short lists, long ones, and lists with hardly a gap."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(n), replace=False), rng.integers(0, 2**63, int(m)).astype(np.uint64)])) for n, m in zip(rng.integers(0, 400, 150), rng.integers(1, 40, 150), strict=True)]
+    sets += [np.unique(np.concatenate([np.delete(base, rng.integers(0, 400, 9)), rng.integers(0, 2**63, 9).astype(np.uint64)])) for _ in range(150)]
+    sets += [np.unique(rng.choice(base[:60], 30)) for _ in range(60)] + [base[:1], base[:1], base[5:7]]
+    data, offsets = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    every, links = np.arange(len(sets)), 0
+    for percent in (50, 80, 85, 100):
+        for right in (every, every[::2], every[:5], every[155:160]):
+            lists = ngram_join.Lists(data, offsets, right)
+            for i in range(0, len(sets), 3):
+                want = []
+                for place, j in enumerate(right):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        want.append(place)
+                assert lists.search(sets[i], percent).tolist() == want
+                links += len(want)
+    assert links > 5000
+
+
+def test_long_lists_are_probed_for_candidates_only(monkeypatch):
+    """Sets that share a long list but too few of the short ones are never looked at again."""
+    rng = np.random.default_rng(9)
+    common = rng.integers(0, 2**63, 70).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 30).astype(np.uint64)])) for _ in range(500)]
+    sets.append(np.unique(np.concatenate([sets[0][:95], sets[1][:5]])))
+    data, offsets = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    lists, seen = ngram_join.Lists(data, offsets, np.arange(len(sets))), []
+    inside = ngram_join._is_in
+    monkeypatch.setattr(ngram_join, "_is_in", lambda a, b: seen.append((len(a), len(b))) or inside(a, b))
+    assert 500 in lists.search(sets[0], 80)
+    assert len(seen) <= 4  # the lists of the shingles, and the few candidates
 
 
 def test_near_misses_are_not_sent_as_pairs(spark):
