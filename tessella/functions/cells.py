@@ -1,4 +1,4 @@
-"""Typed values from free-text cells: missing marks, lists, amounts, ranges, aliases."""
+"""Typed values from free-text cells: missing marks, statuses, lists, ranges, aliases, values with confidence."""
 
 from __future__ import annotations
 
@@ -10,16 +10,13 @@ MISSING = ("—", "-", "", "n/a", "not disclosed", "undisclosed", "amount undisc
 #: Those that may go on ("Not disclosed (2025)"): what follows is a remark, not a value.
 _MISSING_PREFIX = r"(?i)^(?:amount )?(?:not disclosed|undisclosed|not confirmed)(?![a-z])"
 #: Words of a fact that there was no such thing, and of a raise that is open.
-_NONE, _RAISING = r"(?i)bootstrapped|self-funded|never raised|no external|zero external", r"(?i)\bseeking|\braising\b|raise (?:is )?open|open (?:round|raise)|mid-raise|raise in progress"
+_NONE = r"(?i)bootstrapped|self-funded|never raised|no external|zero external|\bnone yet\b"
+_RAISING = (
+    r"(?i)\bseeking\b|\braising\b|mid-raise|\bactive (?:raise|round)|(?:round|raise|seed|series [a-z])\s+(?:(?:is|now|still)\s+)?(?:open|underway|in progress)\b"
+    r"|\bopen (?:round|raise)|\bopen(?:ed|ing)?\s+to\s+(?:outside\s+|external\s+|new\s+)?invest|\bconsidering\s+(?:a|an)\s+(?:raise|round)"
+)
 #: Currency marks and their codes; a bare $ has none.
 CURRENCIES = {"A$": "AUD", "NZ$": "NZD", "US$": "USD", "C$": "CAD", "£": "GBP", "€": "EUR", "$": None}
-#: Words that say which role an amount has.  Those of AHEAD stand before their amount only.
-ROLES = (("valuation|valued", "valuation"), ("grants?", "grant"), ("sought|target", "sought"), ("to date|total raised|in total|total", "raised_to_date"), ("revenue|turnover|sales", "revenue"), ("(?<!total )raised|round", "raised"))
-AHEAD = (("seeking|raising|targeting", "sought"),)
-#: Words that say what time a revenue figure stands for.
-BASES = (("forecast|projected|projection|expected|on track|tracking", "forecast"), ("annualised|annualized|run[- ]rate", "annualised"), (r"\barr\b", "arr"), ("year to date|ytd|months", "ytd"), ("cumulative|lifetime|since|to date|in total", "cumulative"), (r"annual|per year|p\.a\.|\bfy", "annual"))
-_MARK, _NUMBER, _UNIT = r"NZ\$|US\$|A\$|C\$|\$|£|€", r"[0-9][0-9,]*(?:\.[0-9]+)?", r"[kK]|[mM](?:illion|n)?|[bB](?:illion|n)?"
-_AMOUNT = rf"({_MARK})\s?({_NUMBER})(?:\s?({_UNIT})(?![A-Za-z]))?(?:\s?(?:[-–]|to)\s?(?:(?:{_MARK})\s?({_NUMBER})(?:\s?({_UNIT})(?![A-Za-z]))?|({_NUMBER})\s?({_UNIT})(?![A-Za-z])))?"
 
 
 def known(cell: Column) -> Column:
@@ -34,7 +31,7 @@ def remark(cell: Column) -> Column:
 
 
 def status(cell: Column) -> Column:
-    """missing, none (a fact that there was none, which isn't missing), raising (an open raise) or stated."""
+    """missing, none (a fact that there was none, which isn't missing), raising (an open raise, or the stated intent of one) or stated."""
     value = known(cell)
     return F.when(value.isNull(), "missing").when(value.rlike(_RAISING), "raising").when(value.rlike(_NONE), "none").otherwise("stated")
 
@@ -44,66 +41,11 @@ def many(cell: Column, separator: str = ";") -> Column:
     return F.filter(F.transform(F.split(known(cell), separator, -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def _times(unit: Column) -> Column:
-    first = F.lower(F.substring(unit, 1, 1))
-    return F.when(first == "k", 1e3).when(first == "m", 1e6).when(first == "b", 1e9).otherwise(1.0)
-
-
-def _named(word: Column, names: tuple[tuple[str, str], ...]) -> Column:
-    out = F.lit(None).cast("string")
-    for pattern, name in reversed(names):
-        out = F.when(word.rlike(f"(?i){pattern}"), F.lit(name)).otherwise(out)
-    return out
-
-
-def _fact(text: Column, before: Column, after: Column) -> Column:
-    """The fact of one amount, written as text, with what stands before and after it up to the next amounts of its part."""
-
-    def group(n: int) -> Column:
-        return F.regexp_extract(text, _AMOUNT, n)
-
-    low, high = group(2), F.concat(group(4), group(6))
-    unit_high = F.concat(group(5), group(7))
-    unit_low = F.when(group(3) != "", group(3)).when(high != "", unit_high).otherwise("")
-    number = lambda x, unit: (F.regexp_replace(x, ",", "").try_cast("double") * _times(unit)).cast("decimal(18,2)")
-    code = F.lit(None).cast("string")
-    for m, c in CURRENCIES.items():
-        code = F.when(group(1) == m, F.lit(c)).otherwise(code)
-    every, behind = "|".join(p for p, _ in (*AHEAD, *ROLES)), "|".join(p for p, _ in ROLES)
-    left, right = rf"(?i)^.*({every})(.*?)$", rf"(?i)^(.*?)({behind})"
-    far_left = F.when(before.rlike(left), F.length(F.regexp_extract(before, left, 2)))
-    far_right = F.when(after.rlike(right), F.length(F.regexp_extract(after, right, 1)))
-    nearer = F.coalesce(far_right <= far_left, far_left.isNull())
-    word = F.when(nearer, F.regexp_extract(after, right, 2)).otherwise(F.regexp_extract(before, left, 1))
-    role = F.coalesce(_named(word, (*AHEAD, *ROLES)), F.lit("raised"))
-    around = F.concat_ws(" ", before, after)
-    year = F.nullif(F.regexp_extract(around, r"(?i)(FY\s?[0-9]{2,4}|\b(?:19|20)[0-9]{2}\b)", 1), F.lit(""))
-    basis = F.when(role == "revenue", F.coalesce(_named(around, BASES), F.when(year.isNotNull(), "annual").otherwise("unknown")))
-    return F.struct(
-        role.alias("role"), code.alias("currency"), number(low, unit_low).alias("amount"), F.when(high != "", number(high, unit_high)).alias("amount_to"),
-        (before.rlike(r"(?i)(?:~|\bc\.|\babout|\bapprox\.?|\baround|\bover|\bunder)\s*$") | after.rlike(r"^\+")).alias("approximate"), basis.alias("basis"), year.alias("period"),
-    )
-
-
-def money_facts(cell: Column) -> Column:
-    """array<struct(role, currency, amount, amount_to, approximate, basis, period)>: every amount of a cell.
-
-    An amount's role is that of the role word nearest to it, among the words up to the next amounts of its part (else
-    raised); amount_to is the upper end of a range; basis says what time a revenue stands for (annual, ytd, cumulative,
-    forecast, annualised, arr, unknown); period is the year named with it.  A missing or null cell has none.
-    """
-
-    def part(text: Column) -> Column:
-        pieces = F.split(F.regexp_replace(text, _AMOUNT, "\u0001$0\u0002"), "\u0001")  # from each amount to the next
-        # as an element of an array the pieces are evaluated once
-        found = F.transform(F.array(pieces), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: _fact(F.substring_index(x, "\u0002", 1), F.substring_index(F.get(p, i), "\u0002", -1), F.substring_index(x, "\u0002", -1))))
-        return F.flatten(found)
-
-    return F.flatten(F.transform(F.split(F.coalesce(known(cell), F.lit("")), r";|(?<=\D),\s|\(|\)", -1), part))
-
-
 def number_range(cell: Column) -> Column:
-    """struct(lo, hi, is_estimate, note) of "10–20", "~15 (est.)", "1,200" or "8 FTE + casual"; note is what else it says; null without a number."""
+    """struct(lo, hi, is_estimate, note) of "10–20", "~15 (est.)", "1,200" or "8 FTE + casual"; note is what else it says; null without a number.
+
+    Of several counts in a cell the first is taken; parts.head_counts reads all of them.
+    """
     text = F.regexp_replace(known(cell), r"(?<=[0-9]),(?=[0-9]{3})", "")
     number = r"([0-9]+)(?:\s*[-–]\s*([0-9]+))?"
     lo, hi = (F.regexp_extract(text, number, i).try_cast("int") for i in (1, 2))
@@ -114,7 +56,7 @@ def number_range(cell: Column) -> Column:
 
 
 def aliases(name: Column) -> Column:
-    """Other names in "Name (formerly A, B)", as an array."""
+    """Other names in "Name (formerly A, B)", as an array; parts.other_names tells all kinds of them apart."""
     inner = F.regexp_extract(name, r"\((?:formerly|also|brands?:?)\s+([^)]*)\)", 1)
     return F.filter(F.transform(F.split(inner, r",|\+|&", -1), lambda x: F.trim(x)), lambda x: x != "")
 

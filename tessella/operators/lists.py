@@ -29,8 +29,13 @@ def qualifies(revenue: Column, low: float, high: float, round_amount: Column, mo
 
 
 def convert(df: DataFrame, amount: str, currency: str, rates: DataFrame, out: str) -> DataFrame:
-    """Adds out: amount at rates (currency, rate); null where there is no rate.  Spark broadcasts rates if they are small."""
-    return df.join(rates.select(F.col("currency").alias(currency), F.col("rate").alias("_rate")), currency, "left").withColumn(out, F.col(amount) * F.col("_rate")).drop("_rate")
+    """Adds out: amount at rates (currency, rate); null where there is no rate, no currency or no amount.  Spark broadcasts rates if they are small.
+
+    Of repeated rates of a currency the largest counts; a column of df named out is replaced.
+    """
+    one = rates.where("currency is not null").groupBy("currency").agg(F.max("rate").alias("_convert_rate")).withColumnRenamed("currency", "_convert_currency")
+    joined = df.join(one, F.col(currency) == F.col("_convert_currency"), "left").withColumn(out, F.col(amount) * F.col("_convert_rate"))
+    return joined.drop("_convert_rate", "_convert_currency")
 
 
 def strict(df: DataFrame, caveats: DataFrame, key: str) -> DataFrame:
@@ -69,13 +74,14 @@ def against_ranges(df: DataFrame, group: str, targets: DataFrame) -> DataFrame:
     """(group, lo, hi, delivered, gap) of each group of df or targets (group, lo, hi); gap is 0 within the range, else how far below or above it.
 
     A target without bounds is for the remainder: what all rows leave beside the others' ranges.  Groups without a
-    target have no bounds and no gap.  targets is small, a row a group.
+    target have no bounds and no gap; rows without a group are a group that meets no target.  targets is small, a row a
+    group, and its figures go to one task.
     """
     counts = df.groupBy(group).agg(F.count("*").alias("delivered"))
     everything = W.partitionBy()
-    rows = targets.withColumn("_target", F.lit(True)).join(counts, group, "full").withColumn("delivered", F.coalesce("delivered", F.lit(0).cast("long")))
+    rows = targets.withColumn("_range_given", F.lit(True)).join(counts, group, "full").withColumn("delivered", F.coalesce("delivered", F.lit(0).cast("long")))
     total = F.sum("delivered").over(everything)
-    rest = F.col("_target") & F.col("lo").isNull() & F.col("hi").isNull()
+    rest = F.col("_range_given") & F.col("lo").isNull() & F.col("hi").isNull()
     lo = F.when(rest, F.greatest(F.lit(0), total - F.sum("hi").over(everything))).otherwise(F.col("lo"))
     hi = F.when(rest, F.greatest(F.lit(0), total - F.sum("lo").over(everything))).otherwise(F.col("hi"))
     rows = rows.select(group, lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), "delivered")
@@ -84,7 +90,11 @@ def against_ranges(df: DataFrame, group: str, targets: DataFrame) -> DataFrame:
 
 
 def against_target(df: DataFrame, group: str, target: DataFrame) -> DataFrame:
-    """(group, target, delivered, gap) of each group of df or target (group, target)."""
+    """(group, target, delivered, gap) of each group of df or target (group, target).
+
+    Groups without rows deliver 0; those without a target have no gap; rows without a group count as a group of their own, which never
+    meets a target.  A target that is given twice gives two rows.
+    """
     counts = df.groupBy(group).agg(F.count("*").alias("delivered"))
     joined = target.join(counts, group, "full")
     delivered = F.coalesce("delivered", F.lit(0))
@@ -92,13 +102,20 @@ def against_target(df: DataFrame, group: str, target: DataFrame) -> DataFrame:
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, rows, present, distinct_values) of each column; the table is read once, and its rows are spread once a column to count values."""
+    """(column, rows, present, distinct_values) of each column; the table is read once, and its rows are spread once a column to count values.
+
+    Nulls are neither present nor distinct values; repeated rows each count; an empty table has zeros.
+    """
     sums = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("present"), F.countDistinct(c).alias("distinct_values")) for c in columns]
     return df.agg(F.array(*sums).alias("s")).select(F.inline("s"))
 
 
 def refresh(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """base with the rows of changes, which replace those of the same key: one shuffle, by key."""
-    both = base.withColumn("_n", F.lit(0)).unionByName(changes.withColumn("_n", F.lit(1)))
-    latest = both.groupBy(key).agg(F.max_by(F.struct(*[c for c in base.columns if c != key]), "_n").alias("_v"))
-    return latest.select(key, "_v.*").select(*base.columns)
+    """base with the rows of changes, which replace those of the same key: one shuffle, by key.
+
+    Of several changes of a key, or rows of base, that with the largest values counts, column by column; history.merge
+    orders them by a version.  A null key is one key; changes must have the columns of base, others are left out.
+    """
+    values = F.struct(*[c for c in base.columns if c != key])
+    both = base.select(key, F.struct(F.lit(0).alias("n"), values.alias("v")).alias("_refresh_row")).unionByName(changes.select(key, F.struct(F.lit(1).alias("n"), values.alias("v")).alias("_refresh_row")))
+    return both.groupBy(key).agg(F.max("_refresh_row").alias("_refresh_row")).select(key, "_refresh_row.v.*").select(*base.columns)

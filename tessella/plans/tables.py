@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import cells
+from tessella.functions import cells, money
 from tessella.operators import lists
 from tessella.sources import pipe_tables
 
@@ -102,8 +102,9 @@ def _money(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def money_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every amount read from prose, by role, basis and currency."""
-    facts = _money(spark, sf_dir).select(F.inline(cells.money_facts(F.col("cell"))))
-    return facts.groupBy("role", "basis", "currency", "period", "approximate").agg(F.count("*").alias("facts"), F.sum("amount").cast("double").alias("amount"), F.sum("amount_to").cast("double").alias("amount_to"))
+    f = F.col("fact")
+    facts = money.money_facts(_money(spark, sf_dir), "cell").select("fact.*", F.when(f["hi"] != f["lo"], f["hi"]).alias("amount_to"))
+    return facts.groupBy("role", "basis", "currency", "period", "approximate").agg(F.count("*").alias("facts"), F.sum("lo").cast("double").alias("amount"), F.sum("amount_to").cast("double").alias("amount_to"))
 
 
 def money_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,7 @@ def money_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def future_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of a period after the list's year are flagged."""
-    facts = _money(spark, sf_dir).select(F.inline(cells.money_facts(F.col("cell"))))
+    facts = money.money_facts(_money(spark, sf_dir), "cell").select("fact.*")
     return lists.flagged(facts, lists.after(F.col("period"), 2024), "ahead").groupBy("ahead").agg(F.count("*").alias("facts"))
 
 

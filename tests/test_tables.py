@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import cells
+from tessella.functions import money as money_cells
 from tessella.operators import lists
-from tessella.plans import tables
+from tessella.plans import entries, tables
 from tessella.sources import pipe_tables
 
 SF = Path("/root/testdata/sf0.001")
@@ -18,15 +19,15 @@ NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
 
 
 @pytest.mark.skipif(not SF.exists(), reason="the tables aren't there")
-@pytest.mark.parametrize("name", sorted(tables.QUERIES))
+@pytest.mark.parametrize("name", sorted(tables.QUERIES | entries.QUERIES))
 def test_query(spark, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
     for t in NAMES:
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = db.execute(tables.SQL[name])
+    want = db.execute((tables.SQL | entries.SQL)[name])
     columns = [c[0] for c in want.description]
-    df = tables.QUERIES[name](spark, str(SF))
+    df = (tables.QUERIES | entries.QUERIES)[name](spark, str(SF))
     assert sorted(df.columns) == sorted(columns)
     plain = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
     assert plain(tuple(r) for r in df.select(*columns).collect()) == plain(want.fetchall())
@@ -39,7 +40,8 @@ def one(spark, text, column):
 def test_cells(spark):
     assert [one(spark, x, cells.known) for x in ("—", " Not disclosed ", None, " a ")] == [None, None, None, "a"]
     assert one(spark, " a ; b1 ;; 2 c", cells.many) == ["a", "b1", "2 c"] and one(spark, "—", cells.many) is None
-    money = lambda text: [(f.role, f.currency, int(f.amount), None if f.amount_to is None else int(f.amount_to)) for f in one(spark, text, cells.money_facts)]
+    facts_of = lambda text: [r.fact for r in money_cells.money_facts(spark.createDataFrame([(text,)], "c string"), "c").collect()]
+    money = lambda text: [(f.role, f.currency, int(f.lo), None if f.hi == f.lo else int(f.hi)) for f in facts_of(text)]
     assert money("A$1.5m raised (NZ$980k grant); seeking US$2,000,000") == [("raised", "AUD", 1500000, None), ("grant", "NZD", 980000, None), ("sought", "USD", 2000000, None)]
     assert money("A$5m round at A$20m valuation") == [("raised", "AUD", 5000000, None), ("valuation", "AUD", 20000000, None)]
     assert money("Raised US$3m and seeking US$9m") == [("raised", "USD", 3000000, None), ("sought", "USD", 9000000, None)]
@@ -47,10 +49,10 @@ def test_cells(spark):
     assert money("£1m–£2m revenue") == [("revenue", "GBP", 1000000, 2000000)] and money("A$1-2m turnover") == [("revenue", "AUD", 1000000, 2000000)]
     assert money("€5 months of 2025") == [("raised", "EUR", 5, None)] and money("US$4m raised to 2025, C$7m to date") == [("raised", "USD", 4000000, None), ("raised_to_date", "CAD", 7000000, None)]
     bases = ["A$12m revenue in FY24", "~A$3m revenue year to date", "A$9m cumulative sales since 2021", "forecast revenue A$20m+", "A$2m ARR revenue", "A$6m revenue run rate", "A$6m sales"]
-    found = [one(spark, b, cells.money_facts)[0] for b in bases]
+    found = [facts_of(b)[0] for b in bases]
     assert [f.basis for f in found] == ["annual", "ytd", "cumulative", "forecast", "arr", "annualised", "unknown"]
-    assert [f.approximate for f in found] == [False, True, False, True, False, False, False] and [f.period for f in found[:3]] == ["FY24", None, "2021"]
-    assert one(spark, "valuation $3m", cells.money_facts)[0].currency is None and one(spark, "Never raised", cells.money_facts) == [] and one(spark, None, cells.money_facts) == []
+    assert [f.approximate for f in found] == [False, True, False, True, False, False, False] and [f.period for f in found[:3]] == ["FY24", None, "since 2021"]
+    assert facts_of("valuation $3m")[0].currency is None and facts_of("Never raised") == [] and facts_of(None) == []
     assert [one(spark, x, cells.status) for x in ("—", "Not disclosed (A$2m grant)", "Bootstrapped — no external round", "A$1m; raising now", "A$1m")] == ["missing", "missing", "none", "raising", "stated"]
     assert one(spark, "Not disclosed; grew 30%", cells.remark) == "grew 30%" and one(spark, "Not disclosed", cells.remark) is None and one(spark, "A$1m", cells.remark) is None
     assert [one(spark, x, cells.known) for x in ("Undisclosed amount", "Undisclosedly", "amount not disclosed in 2024")] == [None, "Undisclosedly", None]
