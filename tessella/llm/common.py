@@ -208,6 +208,22 @@ def sorted_groups(batches, n_keys: int):
         yield pa.Table.from_batches(held)
 
 
+def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """labels after the pairs (i, j) are joined: each part has its least number as label."""
+    while len(i):
+        a, b = labels[i], labels[j]
+        at = a != b
+        if not at.any():
+            break
+        i, j, a, b = i[at], j[at], a[at], b[at]
+        low = np.minimum(a, b)
+        np.minimum.at(labels, a, low)
+        np.minimum.at(labels, b, low)
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+    return labels
+
+
 def trimmed(run):
     """run, a function of a task's batches, that gives the memory that it has freed back at its end: workers live on between tasks."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_column, blocks, column_bytes, materialize, mix, shingles, sorted_groups, trimmed, word_hashes
+from .common import Scratch, binary_column, blocks, column_bytes, join_labels, materialize, mix, shingles, sorted_groups, trimmed, word_hashes
 from .graph import components
 
 _U = np.uint64
@@ -197,22 +197,6 @@ def _sketch_words(column) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray
     return width, words, row
 
 
-def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """labels after the pairs (i, j) are joined: each part has its least number as label."""
-    while len(i):
-        a, b = labels[i], labels[j]
-        at = a != b
-        if not at.any():
-            break
-        i, j, a, b = i[at], j[at], a[at], b[at]
-        low = np.minimum(a, b)
-        np.minimum.at(labels, a, low)
-        np.minimum.at(labels, b, low)
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-    return labels
-
-
 def _near_labels(sizes: np.ndarray, sketches, percent: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Labels of the parts into which pairs of left and right join all rows, of pairs that sizes and sketches don't rule out."""
     width, words, row = _sketch_words(sketches)

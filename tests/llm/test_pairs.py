@@ -7,10 +7,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import graph, ngram_join, passages
-from tessella.llm.common import Scratch
+from tessella.llm.common import Scratch, join_labels
 
 from .conftest import words
 
@@ -346,6 +348,63 @@ def test_variants_of_a_common_passage(spark):
     assert len(found) >= 76
 
 
+def variants(rng, pairs):
+    """Pairs of texts with a variant of one 54-word passage: words 9 and 45 are the pair's own, and the second's word 27 is its own too (0.82)."""
+    passage, rows = words(rng, 54), []
+    for _ in range(pairs):
+        p = list(passage)
+        p[9], p[45] = ("".join(words(rng, 3)) for _ in range(2))
+        q = list(p)
+        q[27] = "".join(words(rng, 3))
+        for v in (p, q):
+            rows.append((len(rows), " ".join(words(rng, 30) + v + words(rng, 30))))
+    return rows
+
+
+@pytest.mark.parametrize("pairs", [16, 40, 200])
+def test_pairs_of_variants_in_long_groups(spark, pairs):
+    """Of texts that are like one other text only, in groups of hundreds that hold the same common words, 95 in 100 are found."""
+    rows = variants(random.Random(61), pairs)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.n_words for r in passages.repeated_passages(df).collect() if r.n_words >= 50}
+    assert len(found) >= 0.95 * len(rows)
+
+
+def test_blocks_and_sent_windows(spark, monkeypatch):
+    """Groups of many blocks, and windows that are sent to their texts because the filter would be too small, give as much."""
+    monkeypatch.setattr(passages, "WINDOWS", 16)
+    monkeypatch.setattr(passages, "FILTER_SHARE", 1 << 40)
+    rng = random.Random(67)
+    rows = variants(rng, 40)
+    common = words(rng, 60)
+    rows += [(1000 + i, " ".join(words(rng, 20) + common + words(rng, 20))) for i in range(40)] + [(2000, "short"), (2001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id for r in passages.repeated_passages(df).collect()}
+    assert len(found) >= 115 and set(range(1000, 1040)) <= found
+
+
+def test_windows_are_searched_as_by_brute_force():
+    """Which windows of a block have a passage in common, and none of it is the same run: the forest joins just these."""
+    rng = np.random.default_rng(71)
+    base, rows = rng.integers(0, 2**16, 97).astype(np.uint16), []
+    for k in range(60):
+        t = base.copy()
+        for at in rng.choice(np.arange(3, 94), 6 if k % 2 else 1, replace=False):
+            t[at : at + 5] = rng.integers(0, 2**16, len(t[at : at + 5]))
+        if k % 5 == 0:
+            t = np.insert(t, 30, rng.integers(0, 2**16, 1).astype(np.uint16))[:97]
+        rows.append(t)
+    place = (100 << 32) | (48 << 24) | (48 << 16)
+    table = pa.table({"b": pa.array([0] * 60, pa.int32()), "i": pa.array([0] * 60, pa.int32()), "j": pa.array([0] * 60, pa.int32()), "place": pa.array([place] * 60), "tokens": pa.array([r.tobytes() for r in rows], pa.binary())})
+    left, right = passages.search_windows(table, 46)
+    parts = lambda edges: join_labels(np.arange(60), *(np.array(x, np.int64) for x in zip(*edges, strict=True)))
+    same = [(x, y) for x in range(60) for y in range(x) if any((rows[x][i : i + 46].tobytes() in rows[y].tobytes()) for i in range(52))]
+    alike = lambda x, y: passages.shared_passages(rows[x].astype(np.uint32), rows[y].astype(np.uint32), 46)
+    near = [(x, y) for x in range(60) for y in range(x) if alike(x, y) or alike(y, x)]
+    found = parts([*same, *zip(left.tolist(), right.tolist(), strict=True)])
+    assert (found == parts([*same, *near])).all() and len(set(found.tolist())) > 5 and 5 < len(left) < 60 and all((max(p), min(p)) in near for p in zip(left.tolist(), right.tolist(), strict=True))
+
+
 def test_cut_keeps_columns_of_any_name(spark, none):
     rng = random.Random(53)
     p = " ".join(words(rng, 60))
