@@ -3,8 +3,8 @@
 A page is read as a row of tokens: the elements that begin, named by their paths, and the blocks of text, named by path
 and text.  Tokens that occur equally often in each page of a host share an occurrence vector and form a class.  Classes
 of several tokens that enough pages have, whose tokens come in one order in every page and which don't interleave with
-a class of more pages, nest in each other: they are the host's template, and its texts are boilerplate wherever they
-stand.  What varies stands in slots between the template's elements.  The slots to extract are those of one element
+a class of more pages, nest in each other: they are the host's template.  Its texts are boilerplate, but for headings, and
+not on pages of which they are much: there, pages repeat an article.  What varies stands in slots between the template's elements.  The slots to extract are those of one element
 of the template, the region, which holds nearly all of the host's running text; tags and class names have a say only in
 which elements count as running text, and in which of several such elements is the region.
 """
@@ -25,6 +25,8 @@ from .common import Scratch, materialize
 
 #: A class belongs to a template if this share of the host's different pages has it, and so many pages at least.
 SUPPORT, LEAST_PAGES = 0.5, 3
+#: Texts of a template need so many pages; where they are this share of a page's region or more, the page is a copy of others, and they stay.
+TEXT_PAGES, COPIED = 4, 0.4
 #: The region holds this share of the running text, or, if its tag or role says that it is the article, MARKED of it.
 REGION, MARKED = 0.8, 0.3
 #: A form around so many characters, and REGION of the page's running text, is a wrapper.
@@ -45,6 +47,7 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _ENDS_P = _BLOCK - frozenset("html head body caption dd dt li legend optgroup option summary tbody td tfoot th thead tr".split()) | {"p"}
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 _PARTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dl dt dd pre blockquote figure figcaption caption address legend summary tr th thead tbody tfoot".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup caption figcaption legend summary dt th".split())
 _OUT_TAGS = frozenset("nav footer aside script style noscript template iframe button select textarea svg math head title dialog menu object canvas audio video label search".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _OUT_WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar sidebars aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup comment comments disqus replies related recommended share sharing social login search toolbar pagination pager masthead skip".split())
@@ -119,7 +122,7 @@ class Page:
     """
 
     def __init__(self, page: str) -> None:
-        self.parent, self.token, self.hint, self.depth, self.place = [-1], [0], [NEUTRAL], [0], [0]
+        self.parent, self.token, self.hint, self.depth, self.place, self.heading = [-1], [0], [NEUTRAL], [0], [0], [False]
         self.blocks: list[tuple[int, str, int, int]] = []
         self._read(page)
 
@@ -214,6 +217,7 @@ class Page:
                 self.hint.append(hint)
                 self.depth.append(self.depth[up] + 1)
                 self.place.append(place)
+                self.heading.append(self.heading[up] or tag in _HEADINGS)
                 main += hint == MAIN
                 open_[tag] += 1
                 stack.append((tag, len(self.token) - 1))
@@ -266,6 +270,8 @@ class Page:
         """The blocks in the region's slots: not the template's texts, nor within elements that are something else.
 
         A page without the region has the blocks of the elements that are marked as the article, if any, else all.
+        Headings stay, whatever repeats them; and all texts do where the template's are COPIED of them or more: those are the
+        article's, in copies of it.
         """
         out = self.outside()
         marked = [h == MAIN and not o for h, o in zip(self.hint, out, strict=True)]
@@ -274,7 +280,10 @@ class Page:
             within = marked if any(marked) else [True] * len(out)
         for i in range(1, len(within)):
             within[i] = within[i] or within[self.parent[i]]
-        return "\n".join(text for i, text, _, _ in self.blocks if within[i] and not out[i] and _hash(self.token[i], text) not in texts)
+        blocks = [(text, not self.heading[i] and bool(texts) and _hash(self.token[i], text) in texts) for i, text, _, _ in self.blocks if within[i] and not out[i]]
+        known = sum(len(text) for text, again in blocks if again)
+        copied = known >= COPIED * sum(len(text) for text, _ in blocks)
+        return "\n".join(text for text, again in blocks if copied or not again)
 
 
 def host_of(url: str) -> Column:
@@ -315,11 +324,11 @@ def token_classes(tokens: DataFrame) -> DataFrame:
 
 
 def nested(places: dict[int, list[int]], support: dict[int, int]) -> dict[int, bool]:
-    """Whether each class, of the places of its tokens in a page, doesn't interleave with one of more support (or as much, and a lower number).
+    """Whether each class, of the places of its tokens in a page, doesn't interleave with one of more support (or as much and more tokens, or a lower number).
 
     Two classes nest if all of one stand between two neighbours of the other, or before or after it.
     """
-    keys = sorted(places, key=lambda c: (-support[c], c))
+    keys = sorted(places, key=lambda c: (-support[c], -len(places[c]), c))
     ok = {}
     for k, c in enumerate(keys):
         first, last = places[c][0], places[c][-1]
@@ -374,7 +383,7 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.materialize(token_classes(tokens), "token-classes")
     valid = valid_classes(tokens, members)
     kept = scratch.materialize(members.withColumn("_class", F.xxhash64("class")).join(valid.withColumnRenamed("class", "_class"), ["host", "_class"]), "template-tokens")
-    texts = kept.where("is_text").groupBy("host").agg(F.collect_set("token").alias("texts"))
+    texts = kept.where(F.col("is_text") & (F.col("support") >= TEXT_PAGES)).groupBy("host").agg(F.collect_set("token").alias("texts"))
     places = kept.where(f"not is_text and once and hint not in ({OUT}, {PART})")
     most = places.groupBy("host").agg(F.max("mass").alias("_all"), F.max(F.when(F.col("hint") == MAIN, F.col("mass"))).alias("_marked"))
     marked = F.coalesce(F.col("_marked") >= MARKED * F.col("_all"), F.lit(False))
@@ -399,7 +408,10 @@ def different(pages: DataFrame, scratch: Scratch) -> DataFrame:
 def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of each row.
 
-    Hosts with fewer than LEAST_PAGES different pages have no template; their pages are judged by their own elements.
+    Hosts with fewer than LEAST_PAGES different pages have no template; their pages are judged by their own elements.  A text within
+    the article goes as boilerplate only if it stands, in one place of the template, on half of the host's different pages and TEXT_PAGES at
+    least, is no heading, and all such texts are less than COPIED of the page's region; so a notice without a telling name
+    stays on a host of three pages, and what copies of one article share stays in all of them.
     A null or empty page has the empty text; a null url or one without a host belongs to the host ""; a null
     key is kept; repeated rows have one text and count once for the template; an empty table gives none; pages of any
     length and markup are read in time proportional to them; other columns are left out.

@@ -155,6 +155,39 @@ def test_repeated_pages_count_once(spark):
     assert all(found[k] == f"N {i}\n{body[i]}" for k, i in enumerate([0] * 30 + [1, 2, 3, 4, 5]))
 
 
+def host_page(blocks, notice="", menu=""):
+    return f"<html><body><div class='x1'>{menu}</div><div class='x2'>{notice}{''.join(blocks)}</div><div class='x3'>The end of every page of this host</div></body></html>"
+
+
+def test_near_copies_on_a_small_host_keep_their_text(spark):
+    """Six pages, three of them near copies of one article that differ in a list: nothing of any article goes."""
+    rng = random.Random(81)
+    para = lambda n: "<p>" + " ".join(f"w{rng.randrange(5000)}" for _ in range(n)) + "</p>"
+    common = [para(25) for _ in range(4)]
+    bodies = [[*common, f"<ul><li>own {k} item</li><li>second {k} item</li></ul>"] for k in range(3)] + [[para(30) for _ in range(4)] for _ in range(3)]
+    for marked in (True, False):
+        pages = [host_page(b) if not marked else f"<html><body><article>{''.join(b)}</article></body></html>" for b in bodies]
+        rows = [(k, f"http://small.example/{k}", p) for k, p in enumerate(pages)]
+        found = {r.page_id: r.text for r in extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        want = {k: "\n".join(re.findall(r"<(?:p|li)>(.*?)</", "".join(b))) for k, b in enumerate(bodies)}
+        assert {k: [x for x in t.split("\n") if not x.startswith("The end")] for k, t in found.items()} == {k: t.split("\n") for k, t in want.items()}
+
+
+def test_headings_that_recur_stay_and_notices_go(spark):
+    """Eight recipes with the same headings: these stay; a menu and a notice that nothing names go, and only the template tells them."""
+    rng = random.Random(83)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    notice, menu = "<div class='k7'>Our kitchen is closed on public holidays this year</div>", "<div class='k1'>Home</div><div class='k2'>Recipes</div><div class='k3'>About us</div>"
+    bodies = [[f"<h2>Ingredients</h2><p>{text(40)}</p><h2>Method</h2><p>{text(60)}</p>"] for _ in range(8)]
+    pages = [host_page(b, notice, menu) for b in bodies]
+    rows = [(k, f"http://food.example/{k}", p) for k, p in enumerate(pages)]
+    found = {r.page_id: r.text for r in extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: "\n".join(re.findall(r"<(?:p|h2)>(.*?)</", "".join(b))) for k, b in enumerate(bodies)}
+    assert found == want
+    alone = {k: extract.Page(p).slots(None, frozenset()) for k, p in enumerate(pages)}
+    assert all("Recipes" in alone[k] and "closed" in alone[k] for k in alone)
+
+
 def test_classes_are_those_of_the_occurrence_vectors(spark):
     rng = random.Random(16)
     rows = []
