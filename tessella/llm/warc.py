@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,10 +24,29 @@ _READ = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _open(path: str, write: bool = False):
+#: Hadoop's names of stores that Arrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+#: Bytes of a range's records that are held until its members are known to follow each other; beyond, they are read again.
+HELD_BYTES = 32 << 20
+
+
+def _system(path: str):
+    """Arrow's file system for a Hadoop path, and the path there; what has no scheme, or file:, is taken as it stands (spaces and all)."""
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        return fs.LocalFileSystem(), re.sub(r"^/{2,}", "/", rest) if scheme == "file" and colon else path
+    return fs.FileSystem.from_uri(_arrow_uri(path))
+
+
+def _arrow_uri(path: str) -> str:
+    scheme, _, rest = path.partition(":")
+    return f"{_SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+def _open(path: str, write: bool = False):
+    system, at = _system(path)
     return system, at, system.open_output_stream(at) if write else system.open_input_file(at)
 
 
@@ -90,23 +110,15 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
                 records += 1
         if out is not None:
             out.close()
-            system.move(at, _plain(name))
+            system.move(at, _system(name)[1])
             yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [total], "records": [records]})
 
     _make(path)
     return materialize(ready.mapInArrow(run, "path string, bytes long, records long"), "warc-files")
 
 
-def _plain(uri: str) -> str:
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")[1]
-
-
 def _make(path: str) -> None:
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    system, at = _system(path)
     system.create_dir(at, recursive=True)
 
 
@@ -168,19 +180,6 @@ def _walk(file, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
             at += 1
 
 
-def _unbroken(file, start: int, end: int) -> bool:
-    """Whether the members found from start on follow each other, and the last one is followed by another or by the file's end."""
-    last = None
-    for at, pos, _ in _walk(file, start, end):
-        if last not in (None, at):
-            return False
-        last = pos
-    if last is None:
-        return True
-    file.seek(last)
-    return file.read(len(MAGIC)) in (MAGIC, b"")
-
-
 def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, content) of the gzip members with a WARC header that start in [start, end), whatever the ranges: those that a reader from the file's start finds.
 
@@ -189,8 +188,24 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     chain then breaks off, and the members are sought from the file's start on; only such an archive that goes on beyond the range
     isn't told apart.
     """
-    if start and not _unbroken(file, start, end):
+    if not start:
+        yield from ((at, content) for at, _, content in _walk(file, start, end))
+        return
+    held, size, last, broken = [], 0, None, False
+    for at, pos, content in _walk(file, start, end):
+        if last not in (None, at):
+            broken = True
+            break
+        last, size = pos, size + len(content)
+        if size <= HELD_BYTES:
+            held.append((at, content))
+    if last is not None and not broken:
+        file.seek(last)
+        broken = file.read(len(MAGIC)) not in (MAGIC, b"")  # the last is followed by another, or by the file's end
+    if broken:
         yield from ((at, content) for at, _, content in _walk(file, 0, end) if at >= start)
+    elif size <= HELD_BYTES:
+        yield from held
     else:
         yield from ((at, content) for at, _, content in _walk(file, start, end))
 

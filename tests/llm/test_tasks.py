@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessella.llm import extract, media, packing, toxicity, warc
+from tessella.llm import extract, media, packing, queries, toxicity, warc
 from tessella.llm.common import new_path
 
 from .conftest import words
@@ -110,6 +110,23 @@ def test_warc_empty_table_and_least(spark, pages):
     assert {r.record_type for r in warc.read_archives(spark, path).collect()} == {"response"}
 
 
+def test_warc_query_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries.QUERIES["op2_warc_archives"](spark, str(tmp_path))
+    assert found.collect() == [] and found.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
+def test_warc_paths(spark, tmp_path, monkeypatch):
+    """Folders with spaces and marks, as paths and as URIs; ranges whose records are held, and those that are read again."""
+    assert warc._arrow_uri("s3a://bucket/a") == "s3://bucket/a" and warc._arrow_uri("gs://bucket/a") == "gs://bucket/a" and warc._system("file:///x/y z")[1] == "/x/y z" and warc._system("/x/y%z")[1] == "/x/y%z"
+    rows = [(i, None, "<p>" + str(i) * 5000, None, None) for i in range(40)]
+    folder = tmp_path / "a b+c"
+    warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(2), str(folder))
+    for name, most in ((str(folder), 32 << 20), (f"file:{folder}", 0)):
+        monkeypatch.setattr(warc, "HELD_BYTES", most)
+        assert sorted(int(r.record_id) for r in warc.read_archives(spark, name, split=300).collect()) == list(range(40))
+
+
 def test_page_text(spark, pages):
     rows = {r.page_id: r for r in extract.extract_text(spark.createDataFrame(pages, PAGES)).collect()}
     assert len(rows) == len(pages)
