@@ -2,8 +2,9 @@
 
 A text's paragraphs (lines, cut at PARAGRAPH code points so that short texts have several) are digested; each distinct digest goes into one cell of
 each of three parts of a table, where counts are summed and digests and their checks xored.  Two tables subtract
-cell by cell; peeling the cells that hold one digest recovers the digests that differ.  Where it gets stuck, the
-pair is tried again with a larger table.
+cell by cell; peeling the cells that hold one digest recovers the digests that differ.  A pair that differs in few is peeled
+in the difference of its fingerprints; for others tables are made as large as an estimate of the difference asks for.
+Where peeling gets stuck, the pair is tried again with a larger table.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from .common import Scratch, materialize
 
 #: Cells of a fingerprint.
 CELLS = 48
-#: A pair is peeled in a table of ROOM cells a digest of either text at least; where that fails, in one GROWTH times as large, TRIES times in all.
-ROOM, GROWTH, TRIES = 3, 8, 5
+#: A pair is peeled in a table of ROOM cells for each digest that, by the LEAST_DIGESTS least ones of both, differs, but CELLS at least:
+#: that table is the difference of the fingerprints.  Where it fails, in one GROWTH times as large, TRIES times in all.
+ROOM, GROWTH, TRIES, LEAST_DIGESTS = 3, 4, 6, 16
 PARAGRAPH, ROUNDS = 120, 6
 #: Digests in a task, about.
 TASK_DIGESTS = 200_000
@@ -27,9 +29,21 @@ TASK_DIGESTS = 200_000
 RANGE_ROWS, MOST_RANGES = 4000, 1 << 16
 
 
+#: Factors of the hashes by which digests go to cells of the three parts, and of the check: below 2 ** 31; and their modulus.
+FACTORS, CHECK, MODULUS = ((1540483477, 668265263), (1181783497, 2024237689), (1266489917, 374761393)), (2146121005, 1367130551), (1 << 61) - 1
+
+
 def paragraphs(text: str) -> Column:
-    """Distinct digests of the paragraphs of a text that isn't null."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PARAGRAPH}}}"), F.lit(0)), lambda p: F.xxhash64(p)))
+    """Distinct digests of the paragraphs of a text that isn't null, rising: the first 60 bits of their MD5."""
+    digest = lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PARAGRAPH}}}"), F.lit(0)), digest)))
+
+
+def _hashed(x: Column, factors: tuple[int, int]) -> Column:
+    """A hash of 60 bits or fewer to 61, by two linear steps modulo a prime; no product or sum is beyond 63 bits."""
+    a, b = factors
+    y = (F.shiftright(x, 30) * a + x.bitwiseAND(F.lit((1 << 30) - 1)) * b) % MODULUS
+    return (F.shiftright(y, 31) * b + y.bitwiseAND(F.lit((1 << 31) - 1)) * a) % MODULUS
 
 
 def _constant(values: list, kind: str) -> str:
@@ -82,11 +96,11 @@ def with_next(df: DataFrame, key: str, columns: list[str], order: str) -> DataFr
 
 def _cell(digest: str, part: int, cells: Column) -> Column:
     third = F.floor(cells / 3).cast("long")
-    return (F.pmod(F.xxhash64(F.col(digest), F.lit(part)), third) + part * third).cast("int")
+    return (_hashed(F.col(digest), FACTORS[part]) % third + part * third).cast("int")
 
 
 def _check(digest: str) -> Column:
-    return F.xxhash64(F.lit("check"), F.col(digest))
+    return _hashed(F.col(digest), CHECK)
 
 
 def table_cells(units: DataFrame, by: list[str], cells: Column) -> DataFrame:
@@ -128,14 +142,18 @@ def _signed(digests: str, sign: int) -> Column:
 def differences(pairs: DataFrame, digests: bool = False, rows: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """pairs has _row, _kind and two digest arrays a, b (without repeats); (_row, _kind, differ): how many digests are in one only.
 
-    Each try subtracts the tables of a and b, as large as their sizes ask for, and peels; pairs that get stuck go on to
-    a larger table.  What is stuck after the last try is taken from the arrays.  Pairs without a difference may be left
+    Each try subtracts the tables of a and b, as large as the estimate of their difference asks for, and peels; pairs that get stuck go on to
+    a larger table.  A table of CELLS is the difference of the two fingerprints.  What is stuck after the last try is taken from the arrays.  Pairs without a difference may be left
     out.  With digests, the digests themselves are returned too, as only_a and only_b.
     """
     spark, done, by = pairs.sparkSession, [], ["_row", "_kind", "cells"]
     scratch = scratch or Scratch(spark)
     names = ["_row", "_kind", "differ", *(["only_a", "only_b"] if digests else [])]
-    least = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size("a") + F.size("b")) * ROOM / CELLS)))
+    first = [F.slice(F.array_sort(c), 1, LEAST_DIGESTS) for c in "ab"]
+    both = F.slice(F.array_sort(F.array_union(*first)), 1, LEAST_DIGESTS)
+    alike = F.size(F.array_intersect(F.array_intersect(both, first[0]), first[1])) / F.greatest(F.size(both), F.lit(1))
+    differing = (F.size("a") + F.size("b")) * (1 - alike) / (1 + alike)
+    least = F.ceil(F.log2(F.greatest(F.lit(1.0), differing * ROOM / CELLS)))
     pairs = pairs.where("a <> b").withColumn("cells", (F.lit(CELLS) * F.pow(F.lit(2.0), least)).cast("long"))
     for i in range(TRIES):
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // TASK_DIGESTS))
@@ -171,7 +189,8 @@ def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text"
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next row's,
     by rising key (after the last: the first).  near is, of the digests in either fingerprint, the share in both,
-    from the sizes and the digests that peeling recovers; it is 1 where both have none.
+    from the sizes that the fingerprints state and the digests that peeling their difference recovers (or, where that holds too many,
+    the difference of larger tables of the same kind); it is 1 where both have none.
 
     key must be an integer.  A null text is empty (a fingerprint without cells); a null key comes first; rows of one key are ordered by a
     hash of their text; repeated rows follow each other; an empty table gives none; other columns are left out.

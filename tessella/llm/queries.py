@@ -192,4 +192,32 @@ SELECT vec_id, n::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n)):
 """
 
 
-SQL: dict[str, str] = {"op1_jump_shards": SQL_SHARDS, "op2_warc_archives": SQL_WARC, "op4_mix_sources": SQL_MIX, "op7_ngram_jaccard": SQL_JOIN, "op11_hard_negatives": SQL_NEGATIVES, "op13_ball_clusters": _clusters_sql()}
+def _sketches_sql() -> str:
+    """op8: cells of three parts of 16, and the likeness of the sets of digests, which peeling recovers."""
+    mask30, mask31, p = (1 << 30) - 1, (1 << 31) - 1, fingerprints.MODULUS
+
+    def hashed(a: int, b: int) -> str:
+        y = f"(((d >> 30) * {a} + (d & {mask30}) * {b}) % {p})"
+        return f"(({y} >> 31) * {b} + ({y} & {mask31}) * {a}) % {p}"
+
+    third = fingerprints.CELLS // 3
+    cells = " UNION ALL ".join(f"SELECT doc_id, kind, d, {hashed(*f)} % {third} + {k * third} AS cell FROM u" for k, f in enumerate(fingerprints.FACTORS))
+    near = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+    differ = lambda a, b: f"(len({a}) + len({b}) - 2 * len(list_intersect({a}, {b})))::BIGINT"
+    digests = lambda t: f"list_distinct(list_transform(regexp_extract_all({t}, '[^\\n]{{1,{fingerprints.PARAGRAPH}}}'), lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT))"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx FROM t WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substr(t, 1, n - n // 2) || substr(nx, 1, n // 2) AS ed FROM n),
+s AS MATERIALIZED (SELECT doc_id, n, sha256(ed) AS edited_sha256, {digests('t')} AS a, {digests('ed')} AS b, {digests('nx')} AS c FROM e),
+u AS (SELECT doc_id, 0 AS kind, unnest(a) AS d FROM s UNION ALL SELECT doc_id, 1, unnest(b) FROM s),
+c AS ({cells}),
+g AS (SELECT doc_id, kind, cell, count(*) AS m, bit_xor(d) AS k, bit_xor({hashed(*fingerprints.CHECK)}) AS x FROM c GROUP BY ALL),
+f AS (SELECT doc_id, kind, string_agg(cell || ':' || m || ':' || format('{{:X}}', k) || ':' || format('{{:X}}', x), ',' ORDER BY cell) AS cells FROM g GROUP BY ALL)
+SELECT s.doc_id, n::BIGINT AS n_chars, edited_sha256, '{fingerprints.CELLS}/' || len(a) || '/' || coalesce(o.cells, '') AS fingerprint, '{fingerprints.CELLS}/' || len(b) || '/' || coalesce(w.cells, '') AS edited_fingerprint,
+  {near('a', 'b')} AS near_edited, {near('a', 'c')} AS near_next, {differ('a', 'b')} AS differ_edited, {differ('a', 'c')} AS differ_next
+FROM s LEFT JOIN f o ON o.doc_id = s.doc_id AND o.kind = 0 LEFT JOIN f w ON w.doc_id = s.doc_id AND w.kind = 1
+"""
+
+
+SQL: dict[str, str] = {"op1_jump_shards": SQL_SHARDS, "op2_warc_archives": SQL_WARC, "op4_mix_sources": SQL_MIX, "op7_ngram_jaccard": SQL_JOIN, "op8_lookup_sketches": _sketches_sql(), "op11_hard_negatives": SQL_NEGATIVES, "op13_ball_clusters": _clusters_sql()}

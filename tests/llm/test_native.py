@@ -152,7 +152,7 @@ def test_keys_that_are_not_integers(spark):
 def test_peeling_retries_larger(spark, monkeypatch):
     rows = [(1, 0, list(range(1000)), list(range(990, 2500))), (2, 0, [1, 2, 3], [1, 2, 3]), (3, 0, [5], []), (4, 1, [], [7, 8])]
     pairs = spark.createDataFrame(rows, "_row long, _kind int, a array<long>, b array<long>")
-    for room, tries in ((3, 5), (1 / 40, 5), (1 / 40, 1)):  # at once; in tables that are too small at first; from the arrays at last
+    for room, tries in ((3, 6), (1 / 40, 6), (1 / 40, 1)):  # at once; in tables that are too small at first; from the arrays at last
         monkeypatch.setattr(fingerprints, "ROOM", room)
         monkeypatch.setattr(fingerprints, "TRIES", tries)
         found = {r._row: r for r in fingerprints.differences(pairs, digests=True).collect()}
@@ -164,6 +164,20 @@ def test_peeling_retries_larger(spark, monkeypatch):
             assert found[row].differ == len(set(a) ^ set(b))
 
 
+def test_tables_are_as_large_as_the_difference(spark, monkeypatch):
+    """Large sets that differ in few digests are peeled in the difference of their fingerprints; wholly different ones in larger tables; none in the arrays."""
+    rng = random.Random(3)
+    common = [rng.getrandbits(60) for _ in range(5000)]
+    rows = [(i, 0, common + [rng.getrandbits(60) for _ in range(5)], common + [rng.getrandbits(60) for _ in range(5)]) for i in range(20)]
+    rows += [(i, 0, [rng.getrandbits(60) for _ in range(300)], [rng.getrandbits(60) for _ in range(300)]) for i in range(20, 40)]
+    made, cells = [], fingerprints.table_cells
+    monkeypatch.setattr(fingerprints, "table_cells", lambda units, by, size: made.append(units.groupBy("_row").agg(F.max("cells").alias("c")).collect()) or cells(units, by, size))
+    found = {r._row: r.differ for r in fingerprints.differences(spark.createDataFrame(rows, "_row long, _kind int, a array<long>, b array<long>")).collect()}
+    assert found == {i: 10 if i < 20 else 600 for i in range(40)}
+    first = {r._row: r.c for r in made[0]}
+    assert all(first[i] == fingerprints.CELLS for i in range(20)) and all(1000 < first[i] < 4000 for i in range(20, 40)) and len(made) < fingerprints.TRIES
+
+
 def test_nearly_all_tables_peel_at_once(spark):
     """Peeling itself recovers the digests: without retries, and without the arrays."""
     rng = random.Random(2)
