@@ -32,8 +32,8 @@ BLOCK_TOKENS, LIST_TOKENS = 1 << 20, 1 << 24
 PAIRS = 1 << 18
 #: DivideSkip's weight: of a set's lists the T / (SKIP * log2(longest) + 1) longest are probed, T being the overlap that is needed.
 SKIP = 0.0085
-#: A shingle counts as frequent if one task meets it in COMMON documents; at most FREQUENT shingles do (8 bytes each are broadcast).
-COMMON, FREQUENT = 4, 1 << 20
+#: A shingle counts as frequent if one task meets it in COMMON documents among FLUSH prefix tokens; at most FREQUENT shingles do (8 bytes each are broadcast).
+COMMON, FLUSH, FREQUENT = 4, 4_000_000, 1 << 20
 #: Ids up to this number are broadcast (8 bytes each) to pick documents; beyond it, they are joined by a shuffle.
 BROADCAST_IDS = 1 << 19
 _ORDER = _U(0x9E3779B97F4A7C15)
@@ -98,7 +98,7 @@ def _frequent(df: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
                 for tokens in document_sets(data, offsets[i : j + 1], k):
                     held.append(tokens[: len(tokens) - needed(len(tokens), percent) + 1])
                     size += len(held[-1])
-                if size > 4_000_000:
+                if size > FLUSH:
                     yield out()
                     held, size = [], 0
         if held:
@@ -156,8 +156,10 @@ def _indexed(df: DataFrame, key: str, text: str, k: int, percent: int, table: np
 def _lists(nodes: DataFrame, column: str, scratch: Scratch) -> DataFrame:
     """Postings (token, id, n, length, size) of the lists with two documents at least; of lists with the same members, one.
 
-    Common shingles' lists are counted before they are joined, so that Spark can split long ones.  Of the rare ones
-    none is as long as FREQUENT others are, so they are counted where they meet, after one shuffle.
+    Common shingles' lists are counted before they are joined, so that Spark can split long ones.  The rare ones are
+    counted where they meet, after one shuffle: such a shingle is in fewer than COMMON of the prefixes that make up FLUSH
+    tokens of a task, or among those beyond the FREQUENT ones, so its list is short beside its task's share of the corpus (24 bytes a
+    document, sorted on disk if need be).
     """
     postings = nodes.select(F.explode(column).alias("token"), "id", "n")
     if column == "common":
