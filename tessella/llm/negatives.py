@@ -38,9 +38,9 @@ def whole_numbers(vector: Column, scale: int, largest: int) -> Column:
     return F.transform(vector, lambda x: F.when(F.abs(x.cast("double") * scale) < largest, scaled(x)).otherwise(error))
 
 
-def _dealt(rows: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Anchors with their block i for each j, and all rows with their block j for each i, of rows that have g, by groups (g, I, J)."""
-    rows = rows.join(groups, "g").withColumn("h", F.xxhash64("idx"))
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchors with their block i for each j, and all rows with their block j for each i, of rows that have g, I and J."""
+    rows = rows.withColumn("h", F.xxhash64("idx"))
     left = rows.where("anchor").withColumn("i", F.pmod("h", "I").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("J") - 1)))
     right = rows.withColumn("j", F.pmod("h", "J").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("I") - 1)))
     return left, right
@@ -119,9 +119,9 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table[name].combine_chunks().fill_null(_LAST).to_numpy()
 
 
-def _reduced(rows: DataFrame, groups: DataFrame, chunks: int, extra: str, reduce: Callable, schema: str) -> DataFrame:
-    """reduce(anchors, vectors, scores) of each tile of the grid over rows (g, idx, vec_id, label, tie, anchor, q, extra)."""
-    left, right = _dealt(rows, groups)
+def _reduced(rows: DataFrame, chunks: int, extra: str, reduce: Callable, schema: str) -> DataFrame:
+    """reduce(anchors, vectors, scores) of each tile of the grid over rows (g, I, J, idx, vec_id, label, tie, anchor, q, extra)."""
+    left, right = _dealt(rows)
     parts = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda c: F.struct(c.alias("c"), F.slice("q", c * CHUNK + 1, F.lit(CHUNK)).alias("v")))
     panels = [df.select("g", "i", "j", F.lit(k).alias("side"), "idx", F.inline(parts)) for k, df in enumerate((left, right))]
     panels = panels[0].unionByName(panels[1]).select("g", "i", "j", "c", "side", "idx", "v")
@@ -140,10 +140,16 @@ def _reduced(rows: DataFrame, groups: DataFrame, chunks: int, extra: str, reduce
     return both.mapInArrow(trimmed(run), schema)
 
 
-def _grid(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, I, J): into how many blocks the anchors and the rows of each group go; groups without an anchor have none."""
-    counts = rows.groupBy("g").agg(F.count_if("anchor").alias("a"), F.count("*").alias("n")).where("a > 0")
-    return scratch.materialize(counts.select("g", F.ceil(F.col("a") / ANCHORS).cast("int").alias("I"), F.ceil(F.col("n") / VECTORS).cast("int").alias("J")), "grid")
+def _blocks(anchors: Column, rows: Column) -> list[Column]:
+    """I and J: into how many blocks so many anchors and rows go."""
+    return [F.greatest(F.lit(1), F.ceil(n / each)).cast("int").alias(name) for n, each, name in ((anchors, ANCHORS, "I"), (rows, VECTORS, "J"))]
+
+
+def _by_label(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with their label as g and its I and J; labels without an anchor are left out."""
+    counts = rows.groupBy(F.col("label").alias("g")).agg(F.count_if("anchor").alias("a"), F.count("*").alias("n")).where("a > 0")
+    grid = scratch.materialize(counts.select("g", *_blocks(F.col("a"), F.col("n"))), "grid")
+    return rows.withColumn("g", F.col("label")).join(grid, "g")
 
 
 def _positives(most: int) -> Callable:
@@ -218,14 +224,14 @@ def hard_negatives(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     longest = rows.agg(F.max(F.size("q"))).first()[0] or 0
     chunks = max(1, -(-longest // CHUNK))
 
-    same = rows.withColumn("g", F.col("label"))
-    found = _reduced(same, _grid(same, scratch), chunks, "", _positives(positives), "anchor long, idx long, vec_id long, label long, tie long, score long")
+    found = _reduced(_by_label(rows, scratch), chunks, "", _positives(positives), "anchor long, idx long, vec_id long, label long, tie long, score long")
     found = _first(found, ["anchor"], "score", "vec_id", positives, "rank").groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("positives"))
     found = scratch.materialize(found.withColumnRenamed("anchor", "idx"), "positives")
 
-    every = rows.drop("anchor").join(found, "idx", "left").withColumn("anchor", F.col("positives").isNotNull()).withColumn("g", F.lit(0).cast("long"))
+    counts = [F.lit(found.count()), F.lit(rows.count())]
+    every = rows.drop("anchor").join(found, "idx", "left").withColumn("anchor", F.col("positives").isNotNull()).select("*", F.lit(0).cast("long").alias("g"), *_blocks(*counts))
     schema = "anchor long, anchor_id long, place int, positive_id long, positive_score long, negative_id long, label long, tie long, negative_score long"
-    out = _reduced(every, _grid(every, scratch), chunks, "positives", _negatives(negatives, low, high), schema)
+    out = _reduced(every, chunks, "positives", _negatives(negatives, low, high), schema)
     out = _first(out, ["anchor", "place"], "negative_score", "negative_id", negatives, "rank")
     out = materialize(out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives")
     scratch.drop()
