@@ -21,13 +21,15 @@ AHEAD = (("seeking|raising|targeting|considering", "sought"),)
 LOOSE = (("to date|in total|total", "raised_to_date"),)
 #: Words that say what time a revenue figure stands for.
 BASES = (
-    ("forecast|project|expected|on track|tracking|budget", "forecast"), ("annualised|annualized|run[- ]rate", "annualised"), (r"\barr\b", "arr"), (r"year to date|\bytd\b|\b[0-9]+\s?mo(?:nths?)?\s(?:of\s)?fy", "ytd"),
-    (r"cumulative|lifetime|since|to date|in total|(?:within|over|in)\s+[0-9]+\s+(?:months|years|yrs)|<\s?[0-9]+\s?(?:yrs|years)", "cumulative"), (r"annual|per year|p\.a\.|\bfy|prior|previous|last year", "annual"),
+    ("forecast|project|expected|on track|tracking|budget", "forecast"), ("annualised|annualized|run[- ]rate", "annualised"), (r"arr\b", "arr"), (r"year to date|ytd\b|[0-9]+\s?mo(?:nths?)?\s(?:of\s)?fy", "ytd"),
+    (r"cumulative|lifetime|since|to date|in total|(?:within|over|in)\s+[0-9]+\s+(?:months|years|yrs)|[0-9]+\s?(?:yrs|years)\b", "cumulative"), (r"annual|per year|p\.a\.|fy|prior|previous|last year", "annual"),
 )
 #: Bases of figures that stand for one year, so that a band of yearly revenue can be held against them.
 YEARLY = ("annual", "annualised", "arr")
 #: Marks of a lower bound, an upper bound, and of a figure that isn't exact.
 _OVER, _UNDER, _ABOUT = r"(?i)(?:>|\bover|\bmore than|\bat least|\babove)\s*~?\s*$", r"(?i)(?:<|\bup to|\bunder|\bless than|\bat most|\bbelow)\s*~?\s*$", r"(?i)(?:~|≈|\bc\.|\babout|\bapprox\.?|\baround|\bsome|\broughly)\s*$"
+#: What stands between an amount and the same one in another currency.
+_AGAIN = r"(?i)^\s*(?:/|\(|=|≈|or|i\.e\.)\s*(?:~|≈|about|approx\.?)?\s*$"
 #: Figures in words, and the digits that they have.
 FIGURES = {"five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9}
 
@@ -39,13 +41,14 @@ _AMOUNT = (
 
 
 def _any(names: tuple[tuple[str, str], ...]) -> str:
-    return "|".join(p for p, _ in names)
+    """A pattern for any of the phrases; they begin where a word does, so it is tried there only."""
+    return rf"(?i)\b(?:{'|'.join(p for p, _ in names)})"
 
 
 def _named(word: Column, names: tuple[tuple[str, str], ...]) -> Column:
     out = F.lit(None).cast("string")
     for pattern, name in reversed(names):
-        out = F.when(word.rlike(f"(?i){pattern}"), F.lit(name)).otherwise(out)
+        out = F.when(word.rlike(_any(((pattern, name),))), F.lit(name)).otherwise(out)
     return out
 
 
@@ -81,6 +84,11 @@ def _cut(gap: Column) -> Column:
     return F.regexp_replace(masked, _CUT, "$1$3$5\u0006$2$4$6")
 
 
+def _once(value: Column, of) -> Column:
+    """of(value), which evaluates value once however often it uses it; a projection with it is compiled in small parts, which large ones aren't."""
+    return F.transform(F.array(value), of)[0]
+
+
 def money_facts(df: DataFrame, cell: str, role: str = "raised", rates: dict[str, float] | None = None, tolerance: float = 0.1, fiscal: int = periods.FISCAL) -> DataFrame:
     """A row for each amount in the cells of a column, in their order: the columns of df and one more, fact, a struct.
 
@@ -102,21 +110,27 @@ def money_facts(df: DataFrame, cell: str, role: str = "raised", rates: dict[str,
     rows = df.select(F.struct("*").alias("_row"), F.split(F.regexp_replace(text, _AMOUNT, "\u0001$0\u0002"), "\u0001").alias("_pieces"))
     rows = rows.where(F.size("_pieces") > 1).select("_row", "_pieces", F.posexplode("_pieces").alias("_place", "_piece")).where("_place > 0")
     own, rest = F.substring_index("_piece", "\u0002", 1), F.substring_index("_piece", "\u0002", -1)
-    before = F.get("_pieces", F.col("_place") - 1)
     following = F.substring_index(F.get("_pieces", F.col("_place") + 1), "\u0002", -1)
-    rows = rows.select("_row", "_place", _groups(own).alias("_own"), rest.alias("_rest"), F.substring_index(before, "\u0002", -1).alias("_gap"), F.when(F.col("_place") > 1, _groups(F.substring_index(before, "\u0002", 1))).alias("_last"), following.alias("_next"))
+
+    def previous(text: Column) -> Column:
+        gap = F.substring_index(text, "\u0002", -1)
+        return F.struct(gap.alias("gap"), F.when((F.col("_place") > 1) & gap.rlike(_AGAIN), _groups(F.substring_index(text, "\u0002", 1))).alias("last"))
+
+    rows = rows.select("_row", "_place", _groups(own).alias("_own"), rest.alias("_rest"), _once(F.get("_pieces", F.col("_place") - 1), previous).alias("_p"), following.alias("_next"))
+    rows = rows.select("_row", "_place", "_own", "_rest", "_next", F.col("_p.gap").alias("_gap"), F.col("_p.last").alias("_last"))
     masked = F.regexp_replace("_rest", r"\(([^()]*)\)", "\u0003$1\u0004")
     after = F.when(F.col("_next").isNull(), F.regexp_extract(masked, r"(?s)^([^;]*)", 1)).otherwise(F.substring_index(_cut(F.col("_rest")), "\u0006", 1))
     first = F.regexp_extract("_gap", r"(?s)([^;(]*)$", 1)
     rows = rows.withColumns({"_after": after, "_before": F.when(F.col("_place") > 1, F.substring_index(_cut(F.col("_gap")), "\u0006", -1)).otherwise(first)})
 
-    # the phrases nearest to the amount: a word, a mark, and what stands between it and the amount
-    left, right = rf"(?is)^.*?({_any(every)})((?:(?!{_any(every)}).)*)$", rf"(?is)^(.*?)({_any(behind)}).*$"
+    # the phrases nearest to the amount: the last one before it, and the first one after it
     b, a = F.col("_before"), F.col("_after")
-    rows = rows.withColumns({"_left": F.when(b.rlike(f"(?i){_any(every)}"), F.regexp_replace(b, left, "$1\u0006$2")), "_right": F.when(a.rlike(f"(?i){_any(behind)}"), F.regexp_replace(a, right, "$2\u0006$1"))})
-    far = {side: F.length(F.substring_index(f"_{side}", "\u0006", -1)) for side in ("left", "right")}
-    phrase = F.substring_index(F.when(F.col("_right").isNull() | (far["left"] < far["right"]), F.col("_left")).otherwise(F.col("_right")), "\u0006", 1)
-    yearly = F.when(a.rlike(f"(?i){_any(BASES)}"), a).otherwise(b)
+    first = F.regexp_extract(a, _any(behind), 0)
+    rows = rows.withColumns({"_marked": F.regexp_replace(b, f"({_any(every)})", "\u0006$1\u0007"), "_right": F.when(first != "", F.struct(first.alias("phrase"), (F.instr(a, first) - 1).alias("far")))})
+    last = lambda t: F.when(t.contains("\u0006"), F.struct(F.substring_index(F.substring_index(t, "\u0006", -1), "\u0007", 1).alias("phrase"), F.length(F.substring_index(t, "\u0007", -1)).alias("far")))
+    nearer = lambda x: F.when(F.col("_right").isNull() | (x["far"] < F.col("_right.far")), x["phrase"]).otherwise(F.col("_right.phrase"))
+    phrase = _once(last(F.col("_marked")), nearer)
+    yearly = F.when(a.rlike(_any(BASES)), a).otherwise(b)
     own_period = F.coalesce(periods.words(a), periods.words(b))
     beside = F.coalesce(F.when(~F.col("_rest").contains(";"), periods.words(F.substring_index("_next", ";", 1))), F.when((F.col("_place") > 1) & ~F.col("_gap").contains(";"), periods.words(F.col("_gap"))))
     over, under = b.rlike(_OVER) | a.startswith("+"), b.rlike(_UNDER)
@@ -126,21 +140,22 @@ def money_facts(df: DataFrame, cell: str, role: str = "raised", rates: dict[str,
     rows = rows.withColumn("_period", F.coalesce("_named", F.when(F.col("_role") != "revenue", F.col("_beside"))))
     rows = rows.withColumn("_groups", periods.groups(F.col("_period")))
 
-    code, lo, hi = _value(F.col("_own"))
+    value = _once(F.col("_own"), lambda g: F.struct(*(c.alias(n) for c, n in zip(_value(g), ("code", "lo", "hi"), strict=True))))
     basis = F.when(F.col("_role") == "revenue", F.coalesce(_named(F.col("_yearly"), BASES), F.when(F.col("_period").isNotNull(), "annual").otherwise("unknown")))
-    rows = rows.withColumns({"_code": code, "_lo": lo, "_hi": hi, "_basis": basis, "_span": periods.from_groups(F.col("_groups"), fiscal)})
+    rows = rows.withColumns({"_value": value, "_basis": basis, "_span": _once(F.col("_groups"), lambda g: periods.from_groups(g, fiscal))})
+    rows = rows.withColumns({"_code": F.col("_value.code"), "_lo": F.col("_value.lo"), "_hi": F.col("_value.hi")})
     fact = F.struct(
         F.col("_place").alias("place"), F.col("_role").alias("role"), F.col("_basis").alias("basis"), F.col("_code").alias("currency"), F.when(~F.col("_under"), F.col("_lo")).alias("lo"), F.when(~F.col("_over"), F.col("_hi")).alias("hi"),
-        F.col("_about").alias("approximate"), F.col("_period").alias("period"), F.col("_span")["from"].alias("begins"), F.col("_span")["to"].alias("ends"), _restates(F.col("_last"), F.col("_gap"), rates or {}, tolerance).alias("restates"),
+        F.col("_about").alias("approximate"), F.col("_period").alias("period"), F.col("_span")["from"].alias("begins"), F.col("_span")["to"].alias("ends"), _once(F.col("_last"), lambda g: _restates(g, rates or {}, tolerance)).alias("restates"),
     )
     kept = [F.col("_row")[c].alias(c) for c in df.columns if c != "fact"]
     return rows.select(*kept, fact.alias("fact"))
 
 
-def _restates(last: Column, gap: Column, rates: dict[str, float], tolerance: float) -> Column:
-    """Whether the amount says the one before it again: nothing but a sign of that between them, another currency, and values that agree at the rates."""
+def _restates(last: Column, rates: dict[str, float], tolerance: float) -> Column:
+    """Whether the amount says the one before it (last, where nothing but a sign of that is between them) again: another currency, and values that agree at the rates."""
     code, lo, _ = _value(last)
-    between = F.coalesce(last.isNotNull() & gap.rlike(r"(?i)^\s*(?:/|\(|=|≈|or|i\.e\.)\s*(?:~|≈|about|approx\.?)?\s*$") & (code != F.col("_code")), F.lit(False))
+    between = F.coalesce(last.isNotNull() & (code != F.col("_code")), F.lit(False))
     if not rates:
         return F.when(~between, False)
     one, other = lo.cast("double") * _looked_up(rates, code), F.col("_lo").cast("double") * _looked_up(rates, F.col("_code"))

@@ -21,8 +21,8 @@ FISCAL = 7
 
 
 def words(text: Column) -> Column:
-    """The first period in a text, as written, or null."""
-    return F.nullif(F.trim(F.regexp_extract(text, PERIOD, 0)), F.lit(""))
+    """The first period in a text, as written, or null.  Most texts have no two digits together, and so none."""
+    return F.when(text.rlike("[0-9]{2}"), F.nullif(F.trim(F.regexp_extract(text, PERIOD, 0)), F.lit("")))
 
 
 def period(text: Column, fiscal: int = FISCAL) -> Column:
