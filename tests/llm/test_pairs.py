@@ -383,6 +383,22 @@ def test_blocks_and_sent_windows(spark, monkeypatch):
     assert len(found) >= 115 and set(range(1000, 1040)) <= found
 
 
+@pytest.mark.parametrize("columns", [16, 2048])
+def test_values_in_common(monkeypatch, columns):
+    """Counts of values in common, those of few windows pair by pair or all by products, are those of the sets."""
+    monkeypatch.setattr(passages, "COLUMNS", columns)
+    rng = np.random.default_rng(73)
+    values = rng.integers(0, 500, 60 * 30).astype(np.uint16)
+    owner = np.repeat(np.arange(60), 30)
+    sets = [set(values[owner == k].tolist()) for k in range(60)]
+    wide = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for left, right in ((np.arange(60), np.arange(60)), (np.arange(0, 60, 2), np.arange(1, 60, 2)), (np.array([3]), np.array([7, 9]))):
+        want = np.array([[len(sets[i] & sets[j]) for j in right] for i in left])
+        apart = left[:, None] != right[None]
+        for kind in (values, wide):
+            assert (passages._in_common(kind, owner, left, right) == want)[apart].all()
+
+
 def test_windows_are_searched_as_by_brute_force():
     """Which windows of a block have a passage in common, and none of it is the same run: the forest joins just these."""
     rng = np.random.default_rng(71)
