@@ -7,7 +7,7 @@ the shortest passage are few, about 2 / width of the positions.  Windows of diff
 joined; where the shared part of two windows is wide enough, and enough hash functions agree on the two texts,
 their tokens there are compared for passages with a Jaccard similarity of SIMILARITY or more.  Long groups of
 windows are not joined pair by pair.  There, runs of tokens that are the same are joined by their own hashes, and the
-different windows are searched in blocks: only tokens go into a block, and only a forest of what is alike comes out of it.
+different windows are searched in blocks: only tokens go into a block, and pairs come out of it that have all that is alike.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Scratch, _powers, binary_column, blocks, column_bytes, join_labels, materialize, mix, shingles, sorted_groups, trimmed, word_hashes
+from .common import Scratch, _powers, binary_column, blocks, column_bytes, materialize, mix, shingles, sorted_groups, trimmed, word_hashes
 
 _U = np.uint64
 WORDS, SHORTEST, SIMILARITY = 5, 50, 0.8
@@ -275,7 +275,7 @@ def _same(found: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _near(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, scratch: Scratch) -> DataFrame:
-    """(a, b, bit, ca, cb, ca_to, cb_to): texts whose windows in a long group are alike but have no run of width tokens in common.
+    """(a, b, bit, ca, cb, ca_to, cb_to): texts whose windows in a long group are alike, in more than runs of width tokens.
 
     Of windows with the same tokens the first stands for all (the others have its runs).  A group is dealt into
     blocks, and each pair of blocks searched by itself; a window takes 2 bytes a token there.
@@ -298,11 +298,8 @@ def _near(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: i
             if not len(left):
                 continue
             ids, places = table["id"].to_numpy(), table["place"].to_numpy() >> 32
-            swap = ids[left] > ids[right]
-            a, b = np.where(swap, right, left), np.where(swap, left, right)
-            keep = ids[a] != ids[b]
-            out.append((ids[a][keep], ids[b][keep], places[a][keep], places[b][keep]))
-            size += int(keep.sum())
+            out.append((ids[left], ids[right], places[left], places[right]))
+            size += len(left)
             if size > 10_000:
                 yield _four(out)
                 out, size = [], 0
@@ -373,11 +370,14 @@ def _in_common(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: n
 
 
 def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a pair of blocks (b, i, j, place, tokens) whose windows are alike: a forest of such pairs, surest first.
-
-    Windows with a run of width tokens in common count as joined.  Others are candidates if they have as many tokens in
-    common as alike passages have, and so many in place, a few tokens off at most; those that aren't joined yet
-    are compared along diagonals.
+    """Rows of a pair of blocks (b, i, j, place, tokens; id, else each row is a text) whose windows are alike: all such pairs that tell something new.
+
+    A pair is left out only if each place that it could cover in either window is known to be shared with the other text or with one of a
+    smaller id: by a run of width tokens, or by pairs before it, which come by their smaller and then by their larger id.
+    So what of each window other texts have, and the least id that has each place of it, are those of all pairs (but for
+    places that only widen a short passage).
+    Candidates have as many different tokens in common as alike passages have, and in one of them a stretch with
+    such a share of them, a few tokens off at most; they are compared along diagonals.
     """
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     mine, first, second = table["b"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
@@ -390,55 +390,167 @@ def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]
     offsets = (offsets - offsets[0]) // 2
     n, sizes = len(mine), np.diff(offsets)
     owner = np.repeat(np.arange(n), sizes)
+    ids = np.unique(table["id"].to_numpy(), return_inverse=True)[1] if "id" in table.column_names else np.arange(n)
     width = min(width, 2 * REACH)  # of longer passages, what lies around the windows' least tokens
-    least = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * width))
+    fewest, unlike = _fewest_values(tokens, owner, offsets, width)
     common = _in_common(tokens, owner, left, right)
     if first == second:
         common[np.tril_indices(len(left))] = 0
-    i, j = np.nonzero(common >= least)
-    if not len(i):
-        return none
-    size = min(width, 64)
-    runs = _run_hashes(tokens, size)
-    at = np.flatnonzero(owner[: len(runs)] == owner[size - 1 :])
-    shared = _in_common(runs[at], owner[at], left, right)[i, j] > 0 if len(at) else np.zeros(len(i), bool)
+    need = SIMILARITY / (1 + SIMILARITY)
+    i, j = np.nonzero((common > 0) & (common >= need * (fewest[left][:, None] + fewest[right]) - 1e-3))
+    runs = _run_hashes(tokens, min(width, 64))
+    at = np.flatnonzero(owner[: len(runs)] == owner[len(tokens) - len(runs) :]) if len(runs) else np.zeros(0, np.int64)
+    if len(at):  # all that some have in common is one run, with whose first text they are joined otherwise
+        shared = _in_common(runs[at], owner[at], left, right)[i, j]
+        told = (shared > 0) & (common[i, j] <= shared + min(width, 64) - 1)
+        i, j = i[~told], j[~told]
     a, b = left[i], right[j]
-    labels = join_labels(np.arange(n), a[shared], b[shared])
-    a, b, how = a[~shared], b[~shared], common[i, j][~shared]
-    order = np.argsort(-how, kind="stable")
-    a, b = a[order], b[order]
-    place = table["place"].to_numpy()
+    apart = ids[a] != ids[b]
+    i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+    if not len(a):
+        return none
+    swap = ids[a] > ids[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((ids[b], ids[a]))
+    i, j, a, b = i[order], j[order], a[order], b[order]
+    how = common[i, j]
+    begin = REACH - np.minimum(table["place"].to_numpy() >> 24 & 255, REACH)  # a window's first token, where its least one is at REACH
+    column = np.arange(len(tokens)) - np.repeat(offsets[:-1] - begin, sizes)
     lines = np.repeat(-1 - np.arange(n, dtype=np.int32)[:, None], 2 * REACH + 1, axis=1)  # no two windows agree where they have no token
-    lines[owner, np.arange(len(tokens)) - np.repeat(offsets[:-1] + np.minimum(place >> 24 & 255, REACH) - REACH, sizes)] = tokens
-    out, parent = [], labels.tolist()
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    lines[owner, column] = tokens
+    known = np.full(lines.shape, -1, np.int32)  # the least other text that has each place, as far as is known
+    known[owner, column] = n
+    _cover_runs(known, runs[at], owner[at], column[at], ids, min(width, 64))
+    out, todo, gaps, looked, most = [], np.ones(len(a), bool), _gaps(known, n), 0, 8192
     for s in range(0, len(a), 4096):
-        x, y = a[s : s + 4096], b[s : s + 4096]
-        apart = labels[x] != labels[y]
-        x, y = x[apart], y[apart]
-        sure = _in_place(lines[x], lines[y], width, 0) >= least  # so many in one line are alike
-        close = sure.copy()
-        close[~sure] = _in_place(lines[x[~sure]], lines[y[~sure]], width, 2 * WORDS) >= least
-        for u, v, known in zip(x[close].tolist(), y[close].tolist(), sure[close].tolist(), strict=True):
-            if root(u) != root(v) and (known or shared_passages(tokens[offsets[u] : offsets[u + 1]].astype(np.uint32), tokens[offsets[v] : offsets[v + 1]].astype(np.uint32), width)):
+        if looked >= most:  # what comes has nothing to tell if all that it has in common is known to be so by a smaller text yet
+            looked, most = 0, 2 * most
+            closed = known[owner, column] <= ids[a[s]]
+            both = _in_common(tokens[closed], owner[closed], left, right) if closed.any() else np.zeros_like(common)
+            gaps = _gaps(known, ids[a[s]] + 1)
+            todo[s:] = (both[i[s:], j[s:]] < how[s:]) | gaps[a[s:]] | gaps[b[s:]]
+        now = s + np.flatnonzero(todo[s : s + 4096])
+        x, y, h = a[now], b[now], how[now]
+        most_known = known.max(1)
+        new = (most_known[x] > ids[y]) | (most_known[y] > ids[x])
+        x, y, h = x[new], y[new], h[new]
+        if not len(x):
+            continue
+        looked += len(x)
+        hit = lines[x] == lines[y]
+        hits, straight = (hit, hit.copy()), hit.sum(1) + 2 >= h
+        more = np.flatnonzero((hit.sum(1) < h) | ~(unlike[x] & unlike[y]))  # else all that they have in common is in place
+        for side, found in zip(hits, _beside(lines[x[more]], lines[y[more]], 2 * WORDS), strict=True):
+            side[more] = found
+        rest = np.maximum(0, h - np.minimum(hits[0].sum(1), hits[1].sum(1)))  # what lies further off
+        new = (rest > WORDS) | gaps[x] | gaps[y] | (hits[0] & (known[x] > ids[y][:, None])).any(1) | (hits[1] & (known[y] > ids[x][:, None])).any(1)
+        x, y, rest, straight, hits = x[new], y[new], rest[new], straight[new], (hits[0][new], hits[1][new])
+        if not len(x):
+            continue
+        share = np.where(unlike[x] & unlike[y], 2 * need, LOOSE * 2 * need)
+        new = np.zeros(len(x), bool)
+        for side in hits:
+            new |= _best_stretch(side, share, width) + rest >= -1e-3
+        x, y, rest, share, straight, hits = x[new], y[new], rest[new], share[new], straight[new], (hits[0][new], hits[1][new])
+        if not len(x):
+            continue
+        share = np.where(straight, share, LOOSE * 2 * need)  # one of two stretches may be longer than the other
+        spans, new = [_reach(side, share, width, rest > WORDS) for side in hits], np.zeros(len(x), bool)
+        for (lo, hi), me, other in zip(spans, (x, y), (y, x), strict=True):
+            at = np.arange(known.shape[1])
+            new |= ((known[me] > ids[other][:, None]) & (at >= lo[:, None]) & (at < hi[:, None])).any(1)
+        for k in np.flatnonzero(new).tolist():
+            u, v = int(x[k]), int(y[k])
+            if not any((known[w, f[0][k] : f[1][k]] > ids[o]).any() for w, o, f in ((u, v, spans[0]), (v, u, spans[1]))):
+                continue
+            told = False
+            for u_from, u_to, v_from, v_to in shared_passages(tokens[offsets[u] : offsets[u + 1]].astype(np.uint32), tokens[offsets[v] : offsets[v + 1]].astype(np.uint32), width):
+                for w, o, lo, hi in ((u, v, u_from, u_to), (v, u, v_from, v_to)):
+                    place = known[w, begin[w] + lo : begin[w] + hi]
+                    told |= bool((place > ids[o]).any())
+                    np.minimum(place, ids[o], out=place)
+            if told:
                 out.append((u, v))
-                parent[root(u)] = root(v)
     return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else none
 
 
-def _in_place(x: np.ndarray, y: np.ndarray, width: int, off: int) -> np.ndarray:
-    """The most tokens of width in a row of x that y has in their place, or up to off beside it."""
-    wide = np.pad(y, ((0, 0), (off, off)), constant_values=-(1 << 30)) if off else y
-    hit = np.zeros(x.shape, bool)
-    for d in range(2 * off + 1):
-        hit |= x == wide[:, d : d + x.shape[1]]
-    total = np.pad(np.cumsum(hit, 1, dtype=np.int16), ((0, 0), (1, 0)))
-    return (total[:, width:] - total[:, :-width]).max(1)
+def _fewest_values(tokens: np.ndarray, owner: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many different values the run of width tokens with the fewest has, of each owner; whether all of the owner's are different."""
+    n, at = len(offsets) - 1, np.arange(len(tokens))
+    order = np.lexsort((at, tokens, owner))
+    again = (tokens[order[1:]] == tokens[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    unlike = np.ones(n, bool)
+    unlike[owner[order[1:][again]]] = False
+    before = offsets[:-1][owner] - 1
+    before[order[1:][again]] = order[:-1][again]
+    count = np.zeros(len(tokens) + 1, np.int64)  # by a run's first place: a token counts in runs from after its like before it
+    np.add.at(count, np.maximum(before + 1, at - width + 1), 1)
+    count[1:] -= 1
+    count = np.cumsum(count[:-1])
+    whole = at + width <= offsets[1:][owner]
+    fewest = np.full(n, width)
+    np.minimum.at(fewest, owner[whole], count[whole])
+    return fewest, unlike
+
+
+def _gaps(known: np.ndarray, most: int) -> np.ndarray:
+    """Which rows have places of most and more between some of less."""
+    closed = (known < most) & (known >= 0)
+    return (closed[:, 1:] & ~closed[:, :-1]).sum(1) + closed[:, 0] > 1
+
+
+def _cover_runs(known: np.ndarray, runs: np.ndarray, owner: np.ndarray, column: np.ndarray, ids: np.ndarray, size: int) -> None:
+    """Enters the least other text of those in the blocks that have each run of size tokens."""
+    if not len(runs):
+        return
+    run, me = np.unique(runs, return_inverse=True)[1], ids[owner]
+    far = int(ids.max()) + 1
+    least = np.full(int(run.max()) + 1, far)
+    np.minimum.at(least, run, me)
+    second = np.full(len(least), far)
+    later = me != least[run]
+    np.minimum.at(second, run[later], me[later])
+    other = np.where(later, least[run], second[run])
+    met = other < far
+    row, start, other = owner[met], column[met], other[met].astype(np.int32)
+    for k in range(size):
+        np.minimum.at(known, (row, start + k), other)
+
+
+def _beside(x: np.ndarray, y: np.ndarray, off: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of each row of x the row of y has in their place, or up to off beside it; and which of y that of x."""
+    m, n = x.shape
+    hit_x, hit_y = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    for d in range(-off, off + 1):
+        p, q = slice(max(0, -d), n - max(0, d)), slice(max(0, d), n - max(0, -d))
+        same = x[:, p] == y[:, q]
+        hit_x[:, p] |= same
+        hit_y[:, q] |= same
+    return hit_x, hit_y
+
+
+def _balance(hit: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """Hits before each place beyond share of the tokens there."""
+    total = np.pad(np.cumsum(hit, 1, dtype=np.float32), ((0, 0), (1, 0)))
+    return total - np.arange(hit.shape[1] + 1, dtype=np.float32) * np.reshape(np.asarray(share, np.float32), (-1, 1))
+
+
+def _best_stretch(hit: np.ndarray, share: np.ndarray, width: int) -> np.ndarray:
+    """The most hits beyond share that a stretch of width tokens and more has, of each row."""
+    p = _balance(hit, share)
+    return (p[:, width:] - np.minimum.accumulate(p, 1)[:, : p.shape[1] - width]).max(1)
+
+
+def _reach(hit: np.ndarray, share: np.ndarray, width: int, all_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where stretches with share of hits go, from a hit to a hit; the whole row where all_ says so."""
+    n = hit.shape[1]
+    size = int(np.ceil(float(share.min()) * width - 1e-3))
+    p = _balance(hit, share)
+    last = (p[:, size:] >= np.minimum.accumulate(p, 1)[:, : n + 1 - size] - 1e-3) & hit[:, size - 1 :]
+    first = (p[:, : n + 1 - size] <= np.maximum.accumulate(p[:, ::-1], 1)[:, ::-1][:, size:] + 1e-3) & hit[:, : n + 1 - size]
+    lo, hi = first.argmax(1), n - last[:, ::-1].argmax(1)
+    lo, hi = np.where(first.any(1), lo, 0), np.where(last.any(1), hi, 0)
+    return np.where(all_, 0, lo), np.where(all_, n, hi)
 
 
 def _shared(windows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -720,8 +832,8 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Of passages that are the same for shortest words none is missed.  Near ones are missed where fewer than ENOUGH of
     HASHES min-hashes agree (6 in 1000 at a similarity of just SIMILARITY).  Under signatures of more than SHORT
-    windows one of the first SEARCHED is enough (missed: 8 in 1000): all their different windows are compared, and
-    texts that are alike there are linked by a forest, not each with each.  Long groups of the other functions aren't
+    windows one of the first SEARCHED is enough (missed: 8 in 1000): all their different windows are compared, and pairs that
+    are alike there count unless others cover the same places with the same or smaller ids.  Long groups of the other functions aren't
     searched: a pair that meets in long groups of these alone needs ENOUGH short ones of the rest (missed, at the worst, 1 in 10 at
     a similarity of just SIMILARITY).
     """

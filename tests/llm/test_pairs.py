@@ -421,6 +421,51 @@ def test_windows_are_searched_as_by_brute_force():
     assert (found == parts([*same, *near])).all() and len(set(found.tolist())) > 5 and 5 < len(left) < 60 and all((max(p), min(p)) in near for p in zip(left.tolist(), right.tolist(), strict=True))
 
 
+def test_searched_windows_lose_no_link():
+    """Each place of a window is told to be shared, and with the least text that has it, as by comparing every pair: a chain's ends, and a gap of two words in the middle."""
+    rng = np.random.default_rng(73)
+    fresh = lambda k: rng.integers(0, 2**16, k).astype(np.uint16)
+    base, rows = fresh(97), []
+    for k in range(120):
+        t = base.copy()
+        for at in rng.choice(np.arange(3, 94), int(rng.integers(1, 5)), replace=False):
+            t[at : at + 5] = fresh(len(t[at : at + 5]))
+        if k % 5 == 0:
+            t = np.insert(t, 30, fresh(int(rng.integers(1, 4))))[:97]
+        if k % 3 == 0:  # a passage with ends of its own around it
+            a, b = int(rng.integers(0, 30)), int(rng.integers(70, 97))
+            t = np.concatenate([fresh(a), t[a:b], fresh(97 - b)])
+        rows.append(t)
+    passage = fresh(60)
+    for _ in range(2):  # 54 of 60 tokens in common, 40 of any 46 in a row
+        t = np.concatenate([fresh(18), passage, fresh(19)])
+        t[45:51] = fresh(6)
+        rows.append(t)
+    n, place = len(rows), (100 << 32) | (48 << 24) | (48 << 16)
+    ids = rng.permutation(n) * 10
+    column = lambda x, kind=None: pa.array(x, kind)
+    table = pa.table({"b": column([0] * n, pa.int32()), "i": column([0] * n, pa.int32()), "j": column([0] * n, pa.int32()), "id": column(ids), "place": column([place] * n), "tokens": column([r.tobytes() for r in rows], pa.binary())})
+
+    def told(pairs, widened):
+        least = np.full((n, 97), 10 * n)
+        for x in range(n):  # runs of 46 are found otherwise
+            for y in range(n):
+                if x != y and ids[y] < least[x].max():
+                    for s, e, _ in passages._same_stretches(rows[x].astype(np.uint32), rows[y].astype(np.uint32), 46):
+                        least[x, s:e] = np.minimum(least[x, s:e], ids[y])
+        for x, y in pairs:
+            x, y = (x, y) if ids[x] < ids[y] else (y, x)
+            for s, e, lo, hi in passages.shared_passages(rows[x].astype(np.uint32), rows[y].astype(np.uint32), 46):
+                for me, other, u, v in ((x, y, s, e), (y, x, lo, hi)):  # without the tokens that widen a short one
+                    own = (u, v - 1) if widened else u + np.flatnonzero(np.isin(rows[me][u:v], rows[other]))[[0, -1]]
+                    least[me, own[0] : own[1] + 1] = np.minimum(least[me, own[0] : own[1] + 1], ids[other])
+        return least
+
+    left, right = passages.search_windows(table, 46)
+    found, want = told(zip(left.tolist(), right.tolist(), strict=True), True), told(((x, y) for x in range(n) for y in range(x)), False)
+    assert (found <= want).all() and (found[-1] < 10 * n).sum() >= 60 and len(left) < 6 * n
+
+
 def test_cut_keeps_columns_of_any_name(spark, none):
     rng = random.Random(53)
     p = " ".join(words(rng, 60))
