@@ -875,10 +875,12 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars:
     cuts = _merged(spans.select(F.col("b").alias("id"), F.col("b_from").alias("s"), F.col("b_to").alias("e"), F.col("a").alias("other")))
     cuts = cuts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias("cuts"))
     plan = contents.where("words >= %d" % shortest).join(cuts, "id", "left").where("copies > 1 or cuts is not null")
-    plan = materialize(plan.select("c0", "c1", "first", F.lit(True).alias("touched"), "cuts"), "cuts")
+    plan = materialize(plan.select("c0", "c1", "first", F.lit(True).alias("touched"), "copies", "cuts"), "cuts")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_IDS else plan  # else Spark may shuffle all texts for a few cuts
     whole = df.select(F.struct("*").alias("r"), F.col(key).alias("key"), *_content(text)).join(plan, ["c0", "c1"], "left")
     alone = whole.where("touched is null").select("r.*")
-    kept = whole.where(F.col("touched") & F.col("key").eqNullSafe(F.col("first"))).dropDuplicates(["c0", "c1"])
+    kept = whole.where(F.col("touched") & F.col("key").eqNullSafe(F.col("first")))
+    kept = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["c0", "c1"]))  # what is there once isn't shuffled
     starts, ends = (F.coalesce(F.col(f"cuts.{f}"), F.array().cast("array<long>")).alias(f) for f in ("first_word", "end_word"))
     at = df.columns.index(text)
 

@@ -466,6 +466,22 @@ def test_searched_windows_lose_no_link():
     assert (found <= want).all() and (found[-1] < 10 * n).sum() >= 60 and len(left) < 6 * n
 
 
+def test_cut_shuffles_no_texts_for_few_cuts(spark):
+    rng = random.Random(59)
+    p = " ".join(words(rng, 60))
+    rows = [(k, f"{' '.join(words(rng, 20))} {p} {k}") for k in range(6)] + [(5, "one"), (6, p), (6, p)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        cut = passages.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r.doc_id, len(r.text.split())) for r in cut.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert found == [(0, 81), *((k, 21) for k in range(1, 6)), (5, 1)]
+
+
 def test_cut_keeps_columns_of_any_name(spark, none):
     rng = random.Random(53)
     p = " ".join(words(rng, 60))
