@@ -21,7 +21,7 @@ def qualify(df: DataFrame, key: str, revenue: str, funding: str, rates: dict[str
     than cap and its days lie within [since, until]; it is false if no round can, or the cell says that there was none.
     qualifies is either; preferred, a yearly figure under prefer, is no condition.  A missing rate makes an amount unknown.
 
-    Each key's cells are read row by row; rows of one key count together (repeated rows change nothing).  A null key is a
+    Each different cell is read once, and what it says joined to its rows; rows of one key count together (repeated rows change nothing).  A null key is a
     key like others; null, empty and missing cells are unknown; an empty table gives no rows; other columns are left out.
     """
     rows = df.select(F.col(key).alias("key"), F.col(revenue).alias("revenue"), F.col(funding).alias("funding"))
@@ -31,19 +31,23 @@ def qualify(df: DataFrame, key: str, revenue: str, funding: str, rates: dict[str
 
     def verdicts(cell: str, role: str) -> DataFrame:
         # facts that don't count stay as rows that say nothing: a filter on them would be evaluated beside each of its parts
+        # each different cell is read once, however many rows have it
         f = F.col("fact")
-        facts = money.money_facts(rows.select("key", cell), cell, role, rates)
+        different = rows.select(cell).where(F.col(cell).isNotNull()).distinct()
+        facts = money.money_facts(different, cell, role, rates)
         lo, hi = scaled(f, "lo"), scaled(f, "hi")
         if role == "revenue":
             counts = F.coalesce((f["role"] == role) & f["basis"].isin(*money.YEARLY), F.lit(False))
-            return facts.select("key", F.when(counts, intervals.inside(lo, hi, F.lit(band[0]), F.lit(band[1]))).alias("in_band"), F.when(counts, intervals.below(lo, hi, F.lit(prefer))).alias("small"), counts.alias("has_revenue"))
+            said = facts.select(cell, F.when(counts, intervals.inside(lo, hi, F.lit(band[0]), F.lit(band[1]))).alias("in_band"), F.when(counts, intervals.below(lo, hi, F.lit(prefer))).alias("small"), counts.alias("has_revenue"))
+            return rows.select("key", cell).join(said, cell).drop(cell)
         counts = (f["role"] == role) & ~F.coalesce(f["restates"], F.lit(False))
         closed = intervals.inside(f["begins"], f["ends"], F.lit(since).cast("date"), F.lit(until).cast("date"))
-        return facts.select("key", F.when(counts, intervals.below(lo, hi, F.lit(cap)) & closed).alias("in_window"), counts.alias("has_round"))
+        said = facts.select(cell, F.when(counts, intervals.below(lo, hi, F.lit(cap)) & closed).alias("in_window"), counts.alias("has_round"))
+        never = different.where(cells.status(F.col(cell)) == "none").select(cell, F.lit(False).alias("never"))
+        return rows.select("key", cell).join(said.unionByName(never, allowMissingColumns=True), cell).drop(cell)
 
-    # an entry's own row says whether it is there, and that it never raised; the facts' rows say the rest
-    never = F.when(cells.status(F.col("funding")) == "none", False)
-    own = rows.select("key", never.alias("never"), F.lit(True).alias("own"))
+    # an entry's own row says that it is there; the rows of what its cells say tell the rest
+    own = rows.select("key", F.lit(True).alias("own"))
     every = own.unionByName(verdicts("revenue", "revenue"), allowMissingColumns=True).unionByName(verdicts("funding", "raised"), allowMissingColumns=True)
 
     def among(column: str, has: str) -> Column:

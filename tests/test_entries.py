@@ -238,3 +238,17 @@ def test_conversion_and_clashing_names(spark):
 def test_repeated_headers(spark):
     df = spark.createDataFrame([("p", "| A | A | B |\n|---|---|---|\n| 1 | 2 | 3 |"), ("q", None)], "path string, text string")
     assert [r.cells for r in pipe_tables.parse_pipe_tables(df).collect()] == [{"A": "1", "A 2": "2", "B": "3"}]
+
+
+def test_the_rule_reads_each_different_cell_once(spark, monkeypatch):
+    read, facts = [], qualify.money.money_facts
+
+    def counted(df, *rest):
+        read.append(df.count())
+        return facts(df, *rest)
+
+    monkeypatch.setattr(qualify.money, "money_facts", counted)
+    rows = [(k, ("A$900k FY25", None, "")[k % 3], ("Bootstrapped", "A$2M seed, Jul 2025", None)[k % 3]) for k in range(60)]
+    found = qualify.qualify(spark.createDataFrame(rows, "k long, r string, f string"), "k", "r", "f", {"AUD": 1.0}, (5e5, 5e6), 5e6, "2025-01-01", "2026-12-31", 1e6).collect()
+    assert max(read) <= 2
+    assert {r.k: tuple(r)[1:] for r in found} == {k: ((True, False, True, True), (None, True, True, None), (None, None, None, None))[k % 3] for k in range(60)}
