@@ -12,7 +12,10 @@ different windows are searched in blocks: only tokens go into a block, and pairs
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ FILTER_BITS, FILTER_SHARE = 1 << 26, 8
 #: Tokens on either side of a window's least one that are searched, columns that one product of them takes, and in how many
 #: windows of a block a token is counted pair by pair.
 REACH, COLUMNS, FEW = 48, 2048, 6
+#: Small groups are searched together, about so many windows at once.
+TOGETHER = 128
 #: Tokens in a piece of a text as it is sent to be compared.
 PIECE = 128
 #: Ids up to this number are broadcast (about 150 bytes each, so 80 MB at most) to pick texts; beyond it, they are joined by a shuffle.
@@ -293,7 +298,7 @@ def _near(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
-        for table in sorted_groups(batches, 3):
+        for table in _together(sorted_groups(batches, 3)):
             left, right = search_windows(table, width)
             if not len(left):
                 continue
@@ -310,6 +315,22 @@ def _near(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: i
     return pairs.select("a", "b", F.lit((1 << HASHES) - 1).alias("bit"), "ca", "cb", F.col("ca").alias("ca_to"), F.col("cb").alias("cb_to"))
 
 
+def _together(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """Small groups as one table of about TOGETHER windows (group says whose each is): each search has costs of its own."""
+    held, sizes = [], []
+    for table in tables:
+        if table.num_rows > TOGETHER // 2 or table["j"][0].as_py() > 0:
+            yield table
+            continue
+        held.append(table)
+        sizes.append(table.num_rows)
+        if sum(sizes) >= TOGETHER:
+            yield pa.concat_tables(held).append_column("group", pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            held, sizes = [], []
+    if held:
+        yield pa.concat_tables(held).append_column("group", pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+
+
 def _four(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "ca", "cb"])
 
@@ -370,7 +391,7 @@ def _in_common(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: n
 
 
 def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a pair of blocks (b, i, j, place, tokens; id, else each row is a text) whose windows are alike: all such pairs that tell something new.
+    """Rows of a pair of blocks (b, i, j, place, tokens; id, else each row is a text; group, if they are of several) whose windows are alike: all such pairs that tell something new.
 
     A pair is left out only if each place that it could cover in either window is known to be shared with the other text or with one of a
     smaller id: by a run of width tokens, or by pairs before it, which come by their smaller and then by their larger id.
@@ -396,12 +417,17 @@ def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]
     common = _in_common(tokens, owner, left, right)
     if first == second:
         common[np.tril_indices(len(left))] = 0
+    group = table["group"].to_numpy() if "group" in table.column_names else np.zeros(n, np.int64)
+    if group.any():
+        common[group[left][:, None] != group[right]] = 0
     need = SIMILARITY / (1 + SIMILARITY)
-    i, j = np.nonzero((common > 0) & (common >= need * (fewest[left][:, None] + fewest[right]) - 1e-3))
+    least = max(2, width // 4)  # with fewer values in common they have no diagonal, and only runs that are known
+    i, j = np.nonzero((common >= least) & (common >= need * (fewest[left][:, None] + fewest[right]) - 1e-3))
     runs = _run_hashes(tokens, min(width, 64))
     at = np.flatnonzero(owner[: len(runs)] == owner[len(tokens) - len(runs) :]) if len(runs) else np.zeros(0, np.int64)
     if len(at):  # all that some have in common is one run, with whose first text they are joined otherwise
-        shared = _in_common(runs[at], owner[at], left, right)[i, j]
+        runs = runs[at] ^ mix(group[owner[at]].astype(_U))
+        shared = _in_common(runs, owner[at], left, right)[i, j]
         told = (shared > 0) & (common[i, j] <= shared + min(width, 64) - 1)
         i, j = i[~told], j[~told]
     a, b = left[i], right[j]
@@ -420,7 +446,8 @@ def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]
     lines[owner, column] = tokens
     known = np.full(lines.shape, -1, np.int32)  # the least other text that has each place, as far as is known
     known[owner, column] = n
-    _cover_runs(known, runs[at], owner[at], column[at], ids, min(width, 64))
+    _cover_runs(known, runs[: len(at)], owner[at], column[at], ids, min(width, 64))
+    rows: dict[int, tuple] = {}
     out, todo, gaps, looked, most = [], np.ones(len(a), bool), _gaps(known, n), 0, 8192
     for s in range(0, len(a), 4096):
         if looked >= most:  # what comes has nothing to tell if all that it has in common is known to be so by a smaller text yet
@@ -438,33 +465,44 @@ def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]
             continue
         looked += len(x)
         hit = lines[x] == lines[y]
-        hits, straight = (hit, hit.copy()), hit.sum(1) + 2 >= h
+        hits, straight, plain = (hit, hit.copy()), hit.sum(1) + 2 >= h, (hit.sum(1) >= h) & unlike[x] & unlike[y]
         more = np.flatnonzero((hit.sum(1) < h) | ~(unlike[x] & unlike[y]))  # else all that they have in common is in place
-        for side, found in zip(hits, _beside(lines[x[more]], lines[y[more]], 2 * WORDS), strict=True):
-            side[more] = found
+        off = np.zeros(len(x), np.int64)
+        *found, off[more] = _beside(lines[x[more]], lines[y[more]], 2 * WORDS)
+        for side, own in zip(hits, found, strict=True):
+            side[more] = own
         rest = np.maximum(0, h - np.minimum(hits[0].sum(1), hits[1].sum(1)))  # what lies further off
         new = (rest > WORDS) | gaps[x] | gaps[y] | (hits[0] & (known[x] > ids[y][:, None])).any(1) | (hits[1] & (known[y] > ids[x][:, None])).any(1)
-        x, y, rest, straight, hits = x[new], y[new], rest[new], straight[new], (hits[0][new], hits[1][new])
+        x, y, rest, straight, plain, off, hits = x[new], y[new], rest[new], straight[new], plain[new], off[new], (hits[0][new], hits[1][new])
         if not len(x):
             continue
         share = np.where(unlike[x] & unlike[y], 2 * need, LOOSE * 2 * need)
         new = np.zeros(len(x), bool)
         for side in hits:
             new |= _best_stretch(side, share, width) + rest >= -1e-3
-        x, y, rest, share, straight, hits = x[new], y[new], rest[new], share[new], straight[new], (hits[0][new], hits[1][new])
+        x, y, rest, share, straight, plain, off, hits = x[new], y[new], rest[new], share[new], straight[new], plain[new], off[new], (hits[0][new], hits[1][new])
         if not len(x):
             continue
         share = np.where(straight, share, LOOSE * 2 * need)  # one of two stretches may be longer than the other
-        spans, new = [_reach(side, share, width, rest > WORDS) for side in hits], np.zeros(len(x), bool)
-        for (lo, hi), me, other in zip(spans, (x, y), (y, x), strict=True):
-            at = np.arange(known.shape[1])
-            new |= ((known[me] > ids[other][:, None]) & (at >= lo[:, None]) & (at < hi[:, None])).any(1)
+        at = np.arange(known.shape[1])
+        bounds = [(at >= lo[:, None]) & (at < hi[:, None]) for lo, hi in (_reach(side, share, width, rest > WORDS) for side in hits)]
+        exact = np.flatnonzero((rest == 0) & unlike[x] & unlike[y])
+        if len(exact):
+            for bound, more in zip(bounds, _bounds([side[exact] for side in hits], width, off[exact]), strict=True):
+                bound[exact] &= more
+        new = ((known[x] > ids[y][:, None]) & bounds[0]).any(1) | ((known[y] > ids[x][:, None]) & bounds[1]).any(1)
         for k in np.flatnonzero(new).tolist():
             u, v = int(x[k]), int(y[k])
-            if not any((known[w, f[0][k] : f[1][k]] > ids[o]).any() for w, o, f in ((u, v, spans[0]), (v, u, spans[1]))):
+            if not ((known[u] > ids[v]) & bounds[0][k]).any() and not ((known[v] > ids[u]) & bounds[1][k]).any():
                 continue
             told = False
-            for u_from, u_to, v_from, v_to in shared_passages(tokens[offsets[u] : offsets[u + 1]].astype(np.uint32), tokens[offsets[v] : offsets[v + 1]].astype(np.uint32), width):
+            if plain[k]:
+                found = _straight_passages(hits[0][k], (begin[u], begin[v]), (begin[u] + sizes[u], begin[v] + sizes[v]), width)
+            else:
+                for w in {u, v} - rows.keys():
+                    rows[w] = _numbered(tokens[offsets[w] : offsets[w + 1]])
+                found = _shared_passages(rows[u], rows[v], width)
+            for u_from, u_to, v_from, v_to in found:
                 for w, o, lo, hi in ((u, v, u_from, u_to), (v, u, v_from, v_to)):
                     place = known[w, begin[w] + lo : begin[w] + hi]
                     told |= bool((place > ids[o]).any())
@@ -517,16 +555,17 @@ def _cover_runs(known: np.ndarray, runs: np.ndarray, owner: np.ndarray, column:
         np.minimum.at(known, (row, start + k), other)
 
 
-def _beside(x: np.ndarray, y: np.ndarray, off: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which tokens of each row of x the row of y has in their place, or up to off beside it; and which of y that of x."""
+def _beside(x: np.ndarray, y: np.ndarray, off: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which tokens of each row of x the row of y has in their place, or up to off beside it; which of y that of x; and how far beside it they are at most."""
     m, n = x.shape
-    hit_x, hit_y = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    hit_x, hit_y, most = np.zeros(x.shape, bool), np.zeros(x.shape, bool), np.zeros(m, np.int64)
     for d in range(-off, off + 1):
         p, q = slice(max(0, -d), n - max(0, d)), slice(max(0, d), n - max(0, -d))
         same = x[:, p] == y[:, q]
         hit_x[:, p] |= same
         hit_y[:, q] |= same
-    return hit_x, hit_y
+        most[same.any(1)] = np.maximum(most[same.any(1)], abs(d))
+    return hit_x, hit_y, most
 
 
 def _balance(hit: np.ndarray, share: np.ndarray | float) -> np.ndarray:
@@ -606,11 +645,46 @@ def _pieces(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(trimmed(run), "id long, piece long, tokens binary")
 
 
-def _spans(hit: np.ndarray, width: int, share: float) -> list[tuple[int, int]]:
-    """Stretches, from a hit to a hit, whose hits are share of them, and of width: runs, joined over gaps."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
+    """From where to where hits follow each other."""
+    edge = np.zeros(len(hit) + 2, bool)
+    edge[1:-1] = hit
+    edge = np.flatnonzero(edge[1:] != edge[:-1]).tolist()
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
+def _within(hit: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """Which places are in a stretch, from a hit to a hit, with share of hits."""
+    p = _balance(hit, share)
+    before = np.minimum.accumulate(np.where(hit, p[:, :-1], np.float32(np.inf)), 1)
+    after = np.maximum.accumulate(np.where(hit, p[:, 1:], np.float32(-np.inf))[:, ::-1], 1)[:, ::-1]
+    return after >= before - 1e-3
+
+
+def _bounds(hits: list[np.ndarray], width: int, off: np.ndarray) -> list[np.ndarray]:
+    """Which places of either row, without like tokens of its own, passages of a pair may take if all tokens in common are at most off apart.
+
+    In one of two passages of the SIMILARITY the tokens in common are 2 * SIMILARITY / (1 + SIMILARITY) at least, in the other fewer, as
+    it is up to 2 * off longer.
+    """
+    share, n = 2 * SIMILARITY / (1 + SIMILARITY), hits[0].shape[1]
+    at, dense = np.arange(n), []
+    for hit in hits:
+        lo, hi = _reach(hit, np.full(len(hit), share, np.float32), width, np.zeros(len(hit), bool))
+        dense.append(_within(hit, share) & (at >= lo[:, None]) & (at < hi[:, None]))
+    first, last = np.maximum(0, at - off[:, None]), np.minimum(n, at + off[:, None] + 1)
+    out = []
+    for side, hit in enumerate(hits):
+        total = np.pad(np.cumsum(dense[1 - side], 1, dtype=np.int32), ((0, 0), (1, 0)))
+        beside = np.take_along_axis(total, last, 1) > np.take_along_axis(total, first, 1)
+        out.append(dense[side] | (_within(hit, np.maximum(SIMILARITY, share * (1 - off / (SIMILARITY * width)))) & beside))
+    return out
+
+
+def _spans(runs: list[tuple[int, int]], width: int, share: float) -> list[tuple[int, int]]:
+    """Stretches, from a hit to a hit, whose hits are share of them, and of width: runs of hits, joined over gaps."""
     out: list[tuple[int, int, int]] = []
-    for s, e in edge.reshape(-1, 2).tolist():
+    for s, e in runs:
         n = e - s
         while out and out[-1][2] + n >= share * (e - out[-1][0]):  # a longer run may reach further back
             s, n = out[-1][0], n + out.pop()[2]
@@ -640,23 +714,26 @@ def _places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, order[at[hit]]
 
 
-def _diagonals(met: tuple, least: int, beside: int = 3) -> list[np.ndarray]:
+def _diagonals(places: tuple[list, list], least: int, beside: int = 3) -> list[list[int]]:
     """Shifts from a to b that at least least tokens of a (by their first place in b) or of b (in a) suggest, and those close to them that beside tokens do; close ones together.
 
-    met has the places of a's tokens in b, and of b's in a.
+    places has those first places, None where there is none.
     """
-    strong, some = [], []
-    for (hit, place), sign in zip(met, (1, -1), strict=True):
-        found, votes = np.unique(sign * (place - hit), return_counts=True)
-        strong.append(found[votes >= least])
-        some.append(found[votes >= beside])
-    strong, some = np.unique(np.concatenate(strong)), np.unique(np.concatenate(some))
-    if not len(strong):
-        return []
-    at = np.searchsorted(strong, some)
-    near = np.minimum(np.abs(strong[np.minimum(at, len(strong) - 1)] - some), np.abs(strong[np.maximum(at - 1, 0)] - some))
-    shifts = some[near <= 2 * WORDS]
-    return np.split(shifts, np.flatnonzero(np.diff(shifts) > 2 * WORDS) + 1)
+    votes = Counter([p - i for i, p in enumerate(places[0]) if p is not None])
+    for shift, n in Counter([i - p for i, p in enumerate(places[1]) if p is not None]).items():
+        if n > votes[shift]:
+            votes[shift] = n
+    strong, out = sorted(shift for shift, n in votes.items() if n >= least), []
+    if not strong:
+        return out
+    for shift in sorted(shift for shift, n in votes.items() if n >= min(beside, least)):
+        at = bisect_left(strong, shift)
+        if any(abs(near - shift) <= 2 * WORDS for near in strong[max(0, at - 1) : at + 1]):
+            if out and shift - out[-1][-1] <= 2 * WORDS:
+                out[-1].append(shift)
+            else:
+                out.append([shift])
+    return out
 
 
 def _run_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -679,64 +756,119 @@ def _same_stretches(x: np.ndarray, y: np.ndarray, width: int) -> list[tuple[int,
     return list(zip(hit[new].tolist(), (hit[last] + width).tolist(), place[new].tolist(), strict=True))
 
 
+def _stretches(lines: list[np.ndarray], shifts: list[int], n: int, m: int, width: int, alike: Callable[[int, int, int, int], bool]) -> list[tuple[int, int, int, int]]:
+    """(a_from, a_to, b_from, b_to) of what is alike along diagonals close together: lines says where a (of n tokens) has the token of b (of m) that is shift further."""
+    out, share = [], 2 * SIMILARITY / (1 + SIMILARITY)  # the hits of passages of that similarity
+    hit = np.any(lines, axis=0) if len(lines) > 1 else lines[0]
+    runs = _runs(hit)
+
+    def add(s: int, e: int) -> bool:
+        ends = [(int(at[k]) + s + shift) for line, shift in zip(lines, shifts, strict=True) for at in (np.flatnonzero(line[s:e]),) if len(at) for k in (0, -1)]
+        u, v, lo, hi = _widened(s, e, min(ends), max(ends) + 1, n, m, width)
+        if min(v - u, hi - lo) < width or not alike(u, v, lo, hi):
+            return False
+        out.append((u, v, lo, hi))
+        return True
+
+    for s, e in _spans(runs, width, LOOSE * share):  # hits on no diagonal are left to alike
+        if add(s, e):
+            continue
+        for u, v in _spans([run for run in runs if s <= run[0] < e], width, share):
+            if add(u, v):
+                continue
+            for line, shift in zip(lines, shifts, strict=True):  # not alike as a whole: what is the same
+                out += [(u + i, u + j, u + i + shift, u + j + shift) for i, j in _runs(line[u:v]) if j - i >= width]
+    inside = [sum(max(0, min(e, v) - max(s, u)) for s, e in runs) for u, v, _, _ in out]
+    if sum(e - s for s, e in runs) - max(inside, default=0) >= share * width:  # what is alike within a stretch that isn't, and meets nothing that is known
+        total = np.concatenate([[0], np.cumsum(hit)])
+        good = np.flatnonzero(total[width:] - total[:-width] >= share * width)
+        seen = np.zeros(n + 1, np.int64)
+        for u, v, _, _ in out:
+            seen[u + 1 : v + 1] = 1
+        seen = np.cumsum(seen)
+        good = good[seen[good + width] == seen[good]]
+        for some in np.split(good, np.flatnonzero(np.diff(good) > width) + 1) if len(good) else ():
+            at = int(some[np.argmax(total[some + width] - total[some])])
+            add(at, at + width)
+    return out
+
+
 def shared_passages(a: np.ndarray, b: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
     """(a_from, a_to, b_from, b_to) of the passages of a and b, in tokens, that are alike.
 
     Tokens are compared along diagonals; diagonals a few tokens apart, as insertions make them, are taken together.
     Stretches of either that the other has too, at whatever place, are added where no diagonal covers them.
+    Most pairs are a hundred tokens each, for which dicts and sets take less time than arrays.
     """
-    out = []
-    share = 2 * SIMILARITY / (1 + SIMILARITY)  # the hits of passages of that similarity
-    met = _places(a, b), _places(b, a)
-    for shifts in _diagonals(met, max(2, width // 4)):
-        shifts, before = shifts.tolist(), len(out)
+    return _shared_passages(_numbered(a), _numbered(b), width)
+
+
+def _numbered(tokens: np.ndarray) -> tuple[np.ndarray, list[int], dict[int, int]]:
+    """Tokens, as a list too, and the first place of each."""
+    x = tokens.tolist()
+    return tokens, x, dict(zip(reversed(x), range(len(x) - 1, -1, -1), strict=True))
+
+
+def _shared_passages(mine: tuple, other: tuple, width: int) -> list[tuple[int, int, int, int]]:
+    out: list[tuple[int, int, int, int]] = []
+    (a, x, first_x), (b, y, first_y) = mine, other
+    places = list(map(first_y.get, x)), list(map(first_x.get, y))
+
+    def alike(u: int, v: int, lo: int, hi: int) -> bool:
+        mine, other = set(x[u:v]), set(y[lo:hi])
+        both = len(mine & other)
+        return both >= SIMILARITY * (len(mine) + len(other) - both)
+
+    for shifts in _diagonals(places, max(2, width // 4)):
         lines = []
         for shift in shifts:
-            lo, hi = max(0, -shift), min(len(a), len(b) - shift)
-            line = np.zeros(len(a), bool)
+            lo, hi = max(0, -shift), min(len(x), len(y) - shift)
+            line = np.zeros(len(x), bool)
             line[lo:hi] = a[lo:hi] == b[lo + shift : hi + shift]
             lines.append(line)
-        hit = np.any(lines, axis=0)
-
-        def alike(s: int, e: int, lines: list[np.ndarray] = lines, shifts: list[int] = shifts) -> bool:
-            ends = [(int(np.flatnonzero(line[s:e])[[0, -1]][k]) + s + shift) for line, shift in zip(lines, shifts, strict=True) if line[s:e].any() for k in (0, 1)]
-            u, v, lo, hi = _widened(s, e, min(ends), max(ends) + 1, len(a), len(b), width)
-            x, y = np.unique(a[u:v]), np.unique(b[lo:hi])
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if min(v - u, hi - lo) < width or both < SIMILARITY * (len(x) + len(y) - both):
-                return False
-            out.append((u, v, lo, hi))
+        out += _stretches(lines, shifts, len(x), len(y), width, alike)
+    left = [_rows_left(places[side], [span[2 * side : 2 * side + 2] for span in out], width) for side in (0, 1)]
+    more = [_uncovered(_same_stretches(*pair, width), [span[2 * side : 2 * side + 2] for span in out], len(pair[0])) if left[side] else [] for side, pair in enumerate(((a, b), (b, a)))]
+    return out + [(s, e, at, at + width) for s, e, at in more[0]] + [(at, at + width, s, e) for s, e, at in more[1]]
+
+
+def _rows_left(places: list, spans: list[tuple[int, int]], width: int) -> bool:
+    """Whether width tokens in a row have a place in the other text, and one of such a row is in no span."""
+    has = bytearray([p is not None for p in places])
+    left, row, at = has[:], bytes([1]) * width, has.find(bytes([1]) * width)
+    if at < 0:
+        return False
+    for s, e in spans:
+        left[s:e] = bytes(e - s)
+    while at >= 0:
+        end = has.find(0, at)
+        end = end if end >= 0 else len(has)
+        if 1 in left[at:end]:
             return True
+        at = has.find(row, end)
+    return False
 
-        for s, e in _spans(hit, width, LOOSE * share):  # hits on no diagonal are left to alike
-            if alike(s, e):
-                continue
-            for u, v in _spans(hit[s:e], width, share):
-                if alike(s + u, s + v):
-                    continue
-                for line, shift in zip(lines, shifts, strict=True):  # not alike as a whole: what is the same
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], line[s + u : s + v].view(np.int8), [0]]))).reshape(-1, 2) + s + u
-                    out += [(x, y, x + shift, y + shift) for x, y in edge.tolist() if y - x >= width]
-        total = np.concatenate([[0], np.cumsum(hit)])
-        good = np.flatnonzero(total[width:] - total[:-width] >= share * width)
-        if len(good):  # what is alike within a stretch that isn't, and meets nothing that is known
-            seen = np.zeros(len(a) + 1, np.int64)
-            for u, v, _, _ in out[before:]:
-                seen[u + 1 : v + 1] = 1
-            seen = np.cumsum(seen)
-            good = good[seen[good + width] == seen[good]]
-            for some in np.split(good, np.flatnonzero(np.diff(good) > width) + 1) if len(good) else ():
-                at = int(some[np.argmax(total[some + width] - total[some])])
-                alike(at, at + width)
-    known = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    for s, e, lo, hi in out:
-        known[0][s:e] = True
-        known[1][lo:hi] = True
-    if not known[0][met[0][0]].all():  # else every token that b has is covered
-        out += [(s, e, at, at + width) for s, e, at in _same_stretches(a, b, width) if not known[0][s:e].all()]
-    if not known[1][met[1][0]].all():
-        out += [(at, at + width, s, e) for s, e, at in _same_stretches(b, a, width) if not known[1][s:e].all()]
-    return out
+
+def _uncovered(found: list[tuple[int, int, int]], spans: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
+    """Those of found that aren't within spans."""
+    known = np.zeros(n, bool)
+    for s, e in spans:
+        known[s:e] = True
+    return [x for x in found if not known[x[0] : x[1]].all()]
+
+
+def _straight_passages(hit: np.ndarray, begins: tuple[int, int], ends: tuple[int, int], width: int) -> list[tuple[int, int, int, int]]:
+    """As shared_passages, of two rows without like tokens of their own, begins to ends, that have all that is in both in one place: where hit says."""
+    total = [0, *accumulate(hit[begins[0] : ends[0]].tolist())]
+    shift = begins[0] - begins[1]
+
+    def alike(u: int, v: int, lo: int, hi: int) -> bool:
+        both = max(0, total[min(v, max(hi - shift, 0))] - total[max(u, min(lo - shift, v))])
+        return both >= SIMILARITY * (v - u + hi - lo - both)
+
+    if total[-1] < max(2, width // 4):
+        return []
+    return _stretches([hit[begins[0] : ends[0]]], [shift], ends[0] - begins[0], ends[1] - begins[1], width, alike)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:

@@ -466,6 +466,40 @@ def test_searched_windows_lose_no_link():
     assert (found <= want).all() and (found[-1] < 10 * n).sum() >= 60 and len(left) < 6 * n
 
 
+def test_straight_windows_are_not_compared_one_by_one(monkeypatch):
+    """Pairs with all like tokens in place are read off these; small groups searched at once give what each gives alone, and what comparing every pair tells."""
+    rng = np.random.default_rng(79)
+    compared, tables, values = [], [], iter(np.split(rng.permutation(2**16).astype(np.uint16)[:65000], 6500))
+    for name in ("shared_passages", "_shared_passages"):
+        if real := getattr(passages, name, None):
+            monkeypatch.setattr(passages, name, lambda *x, real=real: compared.append(1) or real(*x))
+    for sig in range(10):
+        base, rows = np.concatenate([next(values) for _ in range(10)])[:97], []
+        for _ in range(12):
+            t = base.copy()
+            for at in rng.choice(np.arange(3, 90), int(rng.integers(1, 4)), replace=False):
+                t[at : at + 4] = next(values)[:4]
+            rows.append(t.tobytes())
+        zeros, place = pa.array([0] * 12, pa.int32()), (100 << 32) | (48 << 24) | (48 << 16)
+        tables.append(pa.table({"sig": [sig] * 12, "i": zeros, "j": zeros, "b": zeros, "id": rng.permutation(12), "place": [place] * 12, "tokens": pa.array(rows, pa.binary())}))
+
+    def pairs(table):
+        left, right = passages.search_windows(table, 46)
+        return {(table["sig"][x].as_py(), *sorted((table["id"][x].as_py(), table["id"][y].as_py()))) for x, y in zip(left.tolist(), right.tolist(), strict=True)}
+
+    alone = set().union(*(pairs(t) for t in tables))
+    assert len(alone) > 60 and not compared
+    together = list(passages._together(iter(tables)))
+    assert len(together) < 4 and set().union(*(pairs(t) for t in together)) == alone and not compared
+    for t in tables:
+        sig, ids = t["sig"][0].as_py(), t["id"].to_pylist()
+        rows = dict(zip(ids, (np.frombuffer(x, np.uint16) for x in t["tokens"].to_pylist()), strict=True))
+        alike = {(x, y) for x in ids for y in ids if x < y and passages.shared_passages(rows[x], rows[y], 46)}
+        assert {(x, y) for s, x, y in alone if s == sig} <= alike
+        same = {(x, y) for x in ids for y in ids if x < y and passages._same_stretches(rows[x], rows[y], 46)}
+        assert {x for p in alike for x in p} == {x for p in same | {(x, y) for s, x, y in alone if s == sig} for x in p}
+
+
 def test_cut_shuffles_no_texts_for_few_cuts(spark):
     rng = random.Random(59)
     p = " ".join(words(rng, 60))
