@@ -11,6 +11,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that one kernel call takes at once (a longer text is taken alone).
 CHUNK_BYTES = 1 << 20
+#: Spark's setting for the bytes of a batch that goes to Python, and what texts are sent by: a task holds a batch
+#: several times, in the JVM (outside its heap) and in its worker.
+BATCHES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +41,25 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> bool:
+    """Rows go to Python in batches of about BATCH_BYTES from now on; False, and nothing changes, if the session has a limit of its own."""
+    if spark.conf.get(BATCHES, None) is not None:
+        return False
+    spark.conf.set(BATCHES, str(BATCH_BYTES))
+    return True
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """bound_batches for what is run within."""
+    bound = bound_batches(spark)
+    try:
+        yield
+    finally:
+        if bound:
+            spark.conf.unset(BATCHES)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and lost executors cost nothing."""
     return _written(df, new_path(df.sparkSession, tag))
@@ -234,12 +257,19 @@ def trimmed(run):
 
     def wrapped(batches):
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return wrapped
 
 
-def _give_back() -> None:
+def forget_tables() -> None:
+    """Frees the kernels' tables: for a worker that goes on to work without them (they are made anew where they are needed)."""
+    _POWERS.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives the process's freed memory back."""
     import ctypes
 
     import pyarrow as pa

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import materialize, trimmed
+from .common import forget_tables, give_back, materialize, small_batches, trimmed
 
 #: Pieces in a bin, on average; each bin is packed by one task, from lengths alone.
 BIN_PIECES = 16384
@@ -72,7 +72,9 @@ def word_ids(vocabulary: str, split_special: bool = False) -> WordIds:
     """One per worker process and vocabulary: a process runs many tasks.  split_special: the names of special tokens in a text count as its words."""
     from tokenizers import Tokenizer
 
+    forget_tables()  # what operators before left in this process
     tokenizer = Tokenizer.from_file(vocabulary)
+    give_back()
     if split_special:
         tokenizer.encode_special_tokens = True
     return WordIds(tokenizer)
@@ -161,14 +163,15 @@ def token_pieces(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int
 def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", split_special: bool = False) -> DataFrame:
     """Pieces with sequence_id, offset, sequence_tokens (the window's fill) and padded_length.
 
-    The pieces' figures are written first, so that texts are read and tokenised once.  Each bin of about BIN_PIECES of
+    The pieces' figures are written first, so that texts are read and tokenised once, in small batches.  Each bin of about BIN_PIECES of
     them is packed on its own, by best-fit decreasing over the lengths; they are dealt round robin, so one key or
     source can't fill a bin, nor can documents of many pieces.  Windows are padded to the full length unless their
     fill is a power of two.
 
     Texts, keys, repeated rows, empty tables and other columns: as for token_pieces.
     """
-    pieces = materialize(token_pieces(df, vocabulary, window, end_id, key, text, split_special), "pieces")
+    with small_batches(df.sparkSession):
+        pieces = materialize(token_pieces(df, vocabulary, window, end_id, key, text, split_special), "pieces")
     bins = max(1, -(-pieces.count() // BIN_PIECES))
     kind = df.schema[key].dataType.simpleString()
     names = ["start", "length", "ids_crc32", "doc_tokens"]

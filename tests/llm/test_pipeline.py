@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
-from tessella.llm import packing
+from tessella.llm import common, packing
 
 from .conftest import words
 from .test_native import brute_mix
@@ -83,3 +85,43 @@ def test_stages_of_odd_rows(spark, tmp_path):
             assert not ids if empty else {4, 5} <= ids <= {1, None, 2, 3, 4, 5}
             if not empty and name in ("toxicity", "ngram_jaccard", "substring_dedup"):
                 assert ids == {1, None, 2, 3, 4, 5} and docs.where("doc_id = 5").count() == (3 if name == "toxicity" else 1)
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """In every stage that sends texts, and in packing by itself, which leaves the session's setting as it was; a session's own limit stays."""
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 2000) AS text", "'s' AS source")
+    few = docs.limit(3)
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+
+    def largest():
+        return max(r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect())
+
+    seen, write = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, tag: seen.append(largest()) or write(df, tag))
+    bound = common.BATCH_BYTES * 1.25
+    try:
+        spark.conf.unset(common.BATCHES)
+        packing.pack(few, packing.default_vocabulary())
+        assert seen.pop() <= bound < largest() and spark.conf.get(common.BATCHES, None) is None
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "mixing":  # sends none
+                spark.conf.unset(common.BATCHES)
+                stage(spark, few, sf)
+                assert largest() <= bound
+        spark.conf.set(common.BATCHES, "1m")
+        corpus_pipeline.pack(spark, few, sf)
+        assert spark.conf.get(common.BATCHES) == "1m"
+    finally:
+        spark.conf.unset(common.BATCHES)
+
+
+def test_a_worker_that_packs_frees_the_tables_of_stages_before():
+    common._powers(10)
+    packing.word_ids.cache_clear()
+    words_of = packing.word_ids(packing.default_vocabulary())
+    assert not common._POWERS and words_of.text("one two")
+    assert len(common._powers(10)[0]) > 10
