@@ -39,8 +39,8 @@ FILTER_BITS, FILTER_SHARE = 1 << 26, 8
 #: Tokens on either side of a window's least one that are searched, columns that one product of them takes, and in how many
 #: windows of a block a token is counted pair by pair.
 REACH, COLUMNS, FEW = 48, 2048, 6
-#: Small groups are searched together, about so many windows at once.
-TOGETHER = 128
+#: Small groups are searched together, about so many windows at once.  So many pairs are looked at first, then as many again as before.
+TOGETHER, FIRST = 128, 64
 #: Tokens in a piece of a text as it is sent to be compared.
 PIECE = 128
 #: Ids up to this number are broadcast (about 150 bytes each, so 80 MB at most) to pick texts; beyond it, they are joined by a shuffle.
@@ -73,31 +73,29 @@ def compact_windows(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, width:
         return none, none, none
     low = _U((1 << n.bit_length()) - 1)
     h = (h & ~low) | np.arange(n, dtype=_U)  # the place as the last digits: unlike values, the left one less
-    least = window_minima(h, width)
+    tables, step = [h], 1
+    while 2 * step <= min(most, n):
+        t = tables[-1]
+        tables.append(np.minimum(t[:-step], t[step:]))
+        step *= 2
+    k = min(width.bit_length(), len(tables)) - 1
+    t, off = tables[k], width - (1 << k)  # two runs of a table's length cover one of width, if that isn't over twice as long
+    least = np.minimum(t[: n - width + 1], t[off : off + n - width + 1]) if off <= 1 << k else window_minima(h, width)
     mark = np.zeros(len(least) + 1, np.int64)
     mark[starts[wide]] = 1
     mark[ends[wide] - width + 1] -= 1
     new = np.cumsum(mark[:-1]) > 0
     new[1:] &= (least[1:] != least[:-1]) | (mark[1:-1] != 0)
-    c = np.unique((least[new] & low).astype(np.int64))
+    c = (least[new] & low).astype(np.int64)  # of runs further right, the least is further right too: each comes once
     text = np.searchsorted(starts, c, "right") - 1
-    first, last = starts[text], ends[text]
+    first, last, own = starts[text], ends[text], h[c]
     left, right = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
-    tables, step = [h], 1
-    while 2 * step <= min(most, n):
-        t = tables[-1]
-        tables.append(np.minimum(t[:-step], t[step:]))
-        step *= 2
     for k in range(len(tables) - 1, -1, -1):
         s, t = 1 << k, tables[k]
         lo = c - left - s
-        ok = (lo >= first) & (left + s <= most)
-        ok[ok] = t[lo[ok]] > h[c[ok]]
-        left[ok] += s
+        left += s * ((lo >= first) & (left + s <= most) & (t.take(lo, mode="clip") > own))  # what is clipped isn't in the text
         hi = c + right + 1
-        ok = (hi + s <= last) & (right + s <= most)
-        ok[ok] = t[hi[ok]] > h[c[ok]]
-        right[ok] += s
+        right += s * ((hi + s <= last) & (right + s <= most) & (t.take(hi, mode="clip") > own))
     return c, left, right
 
 
@@ -228,7 +226,7 @@ def _long_windows(texts: DataFrame, filter_: np.ndarray | None, width: int) -> D
                 np.add.at(mark, np.minimum(c + right - size + 1, c) + 1, -1)
                 pos = np.flatnonzero(np.cumsum(mark) > 0)
                 if len(pos):
-                    grams = shingles(tokens, np.append(starts, len(tokens)), size)[0][pos]
+                    grams = _sums(tokens, pos, pos + size)
                     owner = np.searchsorted(starts, pos, "right") - 1
                     order = np.lexsort((pos, grams, owner))
                     grams, owner, pos = grams[order], owner[order], pos[order]
@@ -448,15 +446,16 @@ def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]
     known[owner, column] = n
     _cover_runs(known, runs[: len(at)], owner[at], column[at], ids, min(width, 64))
     rows: dict[int, tuple] = {}
-    out, todo, gaps, looked, most = [], np.ones(len(a), bool), _gaps(known, n), 0, 8192
-    for s in range(0, len(a), 4096):
+    out, todo, looked, most, e = [], np.ones(len(a), bool), 0, 8192, 0
+    while e < len(a):
+        s, e = e, min(len(a), e + min(max(FIRST, e), 4096))  # few at first, as most of what comes is known by them
         if looked >= most:  # what comes has nothing to tell if all that it has in common is known to be so by a smaller text yet
             looked, most = 0, 2 * most
             closed = known[owner, column] <= ids[a[s]]
             both = _in_common(tokens[closed], owner[closed], left, right) if closed.any() else np.zeros_like(common)
-            gaps = _gaps(known, ids[a[s]] + 1)
+            gaps = _gaps(known, known <= ids[a[s]])
             todo[s:] = (both[i[s:], j[s:]] < how[s:]) | gaps[a[s:]] | gaps[b[s:]]
-        now = s + np.flatnonzero(todo[s : s + 4096])
+        now = s + np.flatnonzero(todo[s:e])
         x, y, h = a[now], b[now], how[now]
         most_known = known.max(1)
         new = (most_known[x] > ids[y]) | (most_known[y] > ids[x])
@@ -472,21 +471,29 @@ def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]
         for side, own in zip(hits, found, strict=True):
             side[more] = own
         rest = np.maximum(0, h - np.minimum(hits[0].sum(1), hits[1].sum(1)))  # what lies further off
-        new = (rest > WORDS) | gaps[x] | gaps[y] | (hits[0] & (known[x] > ids[y][:, None])).any(1) | (hits[1] & (known[y] > ids[x][:, None])).any(1)
+        new = rest > WORDS
+        for side, me, other in zip(hits, (x, y), (y, x), strict=True):
+            own = known[me]
+            open_ = own > ids[other][:, None]
+            new |= (side & open_).any(1) | _gaps(own, ~open_)
         x, y, rest, straight, plain, off, hits = x[new], y[new], rest[new], straight[new], plain[new], off[new], (hits[0][new], hits[1][new])
         if not len(x):
             continue
         share = np.where(unlike[x] & unlike[y], 2 * need, LOOSE * 2 * need)
-        new = np.zeros(len(x), bool)
-        for side in hits:
-            new |= _best_stretch(side, share, width) + rest >= -1e-3
+        new = _best_stretch(hits[0], share, width) + rest >= -1e-3
+        two = np.flatnonzero(~(plain | new))  # plain ones have the same hits on both sides
+        new[two] = _best_stretch(hits[1][two], share[two], width) + rest[two] >= -1e-3
         x, y, rest, share, straight, plain, off, hits = x[new], y[new], rest[new], share[new], straight[new], plain[new], off[new], (hits[0][new], hits[1][new])
         if not len(x):
             continue
         share = np.where(straight, share, LOOSE * 2 * need)  # one of two stretches may be longer than the other
-        at = np.arange(known.shape[1])
-        bounds = [(at >= lo[:, None]) & (at < hi[:, None]) for lo, hi in (_reach(side, share, width, rest > WORDS) for side in hits)]
-        exact = np.flatnonzero((rest == 0) & unlike[x] & unlike[y])
+        at, two, bounds = np.arange(known.shape[1]), np.flatnonzero(~plain), np.empty((2, len(x), known.shape[1]), bool)
+        bounds[:, plain] = _dense(hits[0][plain], width)
+        if len(two):
+            for bound, side in zip(bounds, hits, strict=True):
+                lo, hi = _reach(side[two], share[two], width, rest[two] > WORDS)
+                bound[two] = (at >= lo[:, None]) & (at < hi[:, None])
+        exact = two[(rest[two] == 0) & unlike[x[two]] & unlike[y[two]]]
         if len(exact):
             for bound, more in zip(bounds, _bounds([side[exact] for side in hits], width, off[exact]), strict=True):
                 bound[exact] &= more
@@ -531,10 +538,10 @@ def _fewest_values(tokens: np.ndarray, owner: np.ndarray, offsets: np.ndarray, w
     return fewest, unlike
 
 
-def _gaps(known: np.ndarray, most: int) -> np.ndarray:
-    """Which rows have places of most and more between some of less."""
-    closed = (known < most) & (known >= 0)
-    return (closed[:, 1:] & ~closed[:, :-1]).sum(1) + closed[:, 0] > 1
+def _gaps(known: np.ndarray, closed: np.ndarray) -> np.ndarray:
+    """Which rows have places between closed ones that aren't closed."""
+    closed = closed & (known >= 0)
+    return (closed[:, 1:] > closed[:, :-1]).sum(1) + closed[:, 0] > 1
 
 
 def _cover_runs(known: np.ndarray, runs: np.ndarray, owner: np.ndarray, column: np.ndarray, ids: np.ndarray, size: int) -> None:
@@ -570,7 +577,8 @@ def _beside(x: np.ndarray, y: np.ndarray, off: int) -> tuple[np.ndarray, np.ndar
 
 def _balance(hit: np.ndarray, share: np.ndarray | float) -> np.ndarray:
     """Hits before each place beyond share of the tokens there."""
-    total = np.pad(np.cumsum(hit, 1, dtype=np.float32), ((0, 0), (1, 0)))
+    total = np.zeros((len(hit), hit.shape[1] + 1), np.float32)
+    np.cumsum(hit, 1, dtype=np.float32, out=total[:, 1:])
     return total - np.arange(hit.shape[1] + 1, dtype=np.float32) * np.reshape(np.asarray(share, np.float32), (-1, 1))
 
 
@@ -661,6 +669,15 @@ def _within(hit: np.ndarray, share: np.ndarray | float) -> np.ndarray:
     return after >= before - 1e-3
 
 
+def _dense(hit: np.ndarray, width: int) -> np.ndarray:
+    """Which places passages may take, of rows that have all tokens in common in one place (with nothing off, _bounds has these on both sides)."""
+    share, at = 2 * SIMILARITY / (1 + SIMILARITY), np.arange(hit.shape[1])
+    if not len(hit):
+        return hit
+    lo, hi = _reach(hit, np.full(len(hit), share, np.float32), width, np.zeros(len(hit), bool))
+    return _within(hit, share) & (at >= lo[:, None]) & (at < hi[:, None])
+
+
 def _bounds(hits: list[np.ndarray], width: int, off: np.ndarray) -> list[np.ndarray]:
     """Which places of either row, without like tokens of its own, passages of a pair may take if all tokens in common are at most off apart.
 
@@ -668,10 +685,7 @@ def _bounds(hits: list[np.ndarray], width: int, off: np.ndarray) -> list[np.ndar
     it is up to 2 * off longer.
     """
     share, n = 2 * SIMILARITY / (1 + SIMILARITY), hits[0].shape[1]
-    at, dense = np.arange(n), []
-    for hit in hits:
-        lo, hi = _reach(hit, np.full(len(hit), share, np.float32), width, np.zeros(len(hit), bool))
-        dense.append(_within(hit, share) & (at >= lo[:, None]) & (at < hi[:, None]))
+    at, dense = np.arange(n), [_dense(hit, width) for hit in hits]
     first, last = np.maximum(0, at - off[:, None]), np.minimum(n, at + off[:, None] + 1)
     out = []
     for side, hit in enumerate(hits):
@@ -763,8 +777,12 @@ def _stretches(lines: list[np.ndarray], shifts: list[int], n: int, m: int, width
     runs = _runs(hit)
 
     def add(s: int, e: int) -> bool:
-        ends = [(int(at[k]) + s + shift) for line, shift in zip(lines, shifts, strict=True) for at in (np.flatnonzero(line[s:e]),) if len(at) for k in (0, -1)]
-        u, v, lo, hi = _widened(s, e, min(ends), max(ends) + 1, n, m, width)
+        if len(lines) == 1:  # from a hit to a hit
+            lo, hi = s + shifts[0], e + shifts[0]
+        else:
+            ends = [(int(at[k]) + s + shift) for line, shift in zip(lines, shifts, strict=True) for at in (np.flatnonzero(line[s:e]),) if len(at) for k in (0, -1)]
+            lo, hi = min(ends), max(ends) + 1
+        u, v, lo, hi = _widened(s, e, lo, hi, n, m, width)
         if min(v - u, hi - lo) < width or not alike(u, v, lo, hi):
             return False
         out.append((u, v, lo, hi))
@@ -778,9 +796,9 @@ def _stretches(lines: list[np.ndarray], shifts: list[int], n: int, m: int, width
                 continue
             for line, shift in zip(lines, shifts, strict=True):  # not alike as a whole: what is the same
                 out += [(u + i, u + j, u + i + shift, u + j + shift) for i, j in _runs(line[u:v]) if j - i >= width]
-    inside = [sum(max(0, min(e, v) - max(s, u)) for s, e in runs) for u, v, _, _ in out]
-    if sum(e - s for s, e in runs) - max(inside, default=0) >= share * width:  # what is alike within a stretch that isn't, and meets nothing that is known
-        total = np.concatenate([[0], np.cumsum(hit)])
+    total = np.zeros(n + 1, np.int64)
+    np.cumsum(hit, out=total[1:])
+    if total[-1] - max([total[v] - total[u] for u, v, _, _ in out], default=0) >= share * width:  # what is alike within a stretch that isn't, and meets nothing that is known
         good = np.flatnonzero(total[width:] - total[:-width] >= share * width)
         seen = np.zeros(n + 1, np.int64)
         for u, v, _, _ in out:
@@ -902,13 +920,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                         out.append((last[0], fa * PIECE + s, fa * PIECE + e + WORDS - 1, last[1], fb * PIECE + lo, fb * PIECE + hi + WORDS - 1))
 
         for batch in batches:
-            sides, numbers = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            firsts, seconds, *rest = (batch.column(c).to_pylist() for c in range(5))
+            for pair, side, number, data in zip(zip(firsts, seconds, strict=True), *rest, strict=True):
                 if pair != last:
                     if last is not None:
                         close()
                     last, pieces = pair, ([], [])
-                pieces[sides[i]].append((numbers[i], batch.column(4)[i].as_py()))
+                pieces[side].append((number, data))
             if len(out) > 10_000:
                 yield _span_batch(out)
                 out.clear()

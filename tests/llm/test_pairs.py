@@ -500,6 +500,43 @@ def test_straight_windows_are_not_compared_one_by_one(monkeypatch):
         assert {x for p in alike for x in p} == {x for p in same | {(x, y) for s, x, y in alone if s == sig} for x in p}
 
 
+def test_what_first_pairs_tell_leaves_few_to_bound(monkeypatch):
+    """Of a family of variants of one passage most pairs are known by the first ones, and get no bounds of their own; what is told is as much as by bounding all."""
+    rng, bounded = np.random.default_rng(83), []
+    for name in ("_best_stretch", "_within"):
+        monkeypatch.setattr(passages, name, lambda hit, *x, real=getattr(passages, name): bounded.append(len(hit)) or real(hit, *x))
+    base, rows = rng.permutation(2**16)[:97].astype(np.uint16), []
+    for _ in range(90):
+        t = base.copy()
+        for at in rng.choice(np.arange(3, 90), 2, replace=False):
+            t[at : at + 3] = rng.integers(0, 2**16, 3)
+        rows.append(t)
+    zeros, place = pa.array([0] * 90, pa.int32()), (100 << 32) | (48 << 24) | (48 << 16)
+    table = pa.table({"i": zeros, "j": zeros, "b": zeros, "id": rng.permutation(90), "place": [place] * 90, "tokens": pa.array([t.tobytes() for t in rows], pa.binary())})
+    told = passages.search_windows(table, 46)
+    assert sum(bounded) < 90 * 89 // 4
+    monkeypatch.setattr(passages, "FIRST", 1 << 20)
+    pairs = lambda found: {tuple(sorted(p)) for p in zip(*(x.tolist() for x in found), strict=True)}
+    assert pairs(passages.search_windows(table, 46)) == pairs(told) and len(told[0]) >= 30
+
+
+def test_windows_of_any_width_without_sorting(monkeypatch):
+    """The places of compact windows come in their order, whatever the width, and none twice."""
+    rng = np.random.default_rng(89)
+    monkeypatch.setattr(np, "unique", lambda *_: pytest.fail("places are sorted anew"))
+    for width in (1, 2, 31, 46, 64, 65, 90, 128, 129, 200):
+        lens = rng.integers(1, 300, 6)
+        ends = np.cumsum(lens)
+        starts, h = ends - lens, rng.integers(0, 2**63, ends[-1]).astype(np.uint64)
+        c, left, right = passages.compact_windows(h, starts, ends, width)
+        low = int((1 << len(h).bit_length()) - 1)
+        unlike = [(int(x) & ~low) | k for k, x in enumerate(h)]
+        want = sorted({min(range(p, p + width), key=unlike.__getitem__) for s, e in zip(starts, ends, strict=True) for p in range(s, e - width + 1)})
+        assert c.tolist() == want
+        for k, l_, r in zip(c.tolist(), left.tolist(), right.tolist(), strict=True):
+            assert min(unlike[k - l_ : k + r + 1]) == unlike[k]
+
+
 def test_cut_shuffles_no_texts_for_few_cuts(spark):
     rng = random.Random(59)
     p = " ".join(words(rng, 60))
