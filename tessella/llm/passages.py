@@ -777,7 +777,7 @@ def _stretches(lines: list[np.ndarray], shifts: list[int], n: int, m: int, width
     runs = _runs(hit)
 
     def add(s: int, e: int) -> bool:
-        if len(lines) == 1:  # from a hit to a hit
+        if len(lines) == 1 and hit[s] and hit[e - 1]:
             lo, hi = s + shifts[0], e + shifts[0]
         else:
             ends = [(int(at[k]) + s + shift) for line, shift in zip(lines, shifts, strict=True) for at in (np.flatnonzero(line[s:e]),) if len(at) for k in (0, -1)]
