@@ -32,7 +32,7 @@ WORDS, SHORTEST, SIMILARITY = 5, 50, 0.8
 HASHES, ENOUGH, LOW = 5, 2, 8
 #: Signatures of at most SHORT windows are joined pair by pair; of more, by each run of tokens with the first that has it
 #: and, under the first SEARCHED functions, by a search of their different windows in blocks of about WINDOWS.
-SHORT, SEARCHED, WINDOWS = 16, 3, 1024
+SHORT, SEARCHED, WINDOWS = 16, 3, 8192
 #: Bits of the filter by which windows of long groups are found again, at least FILTER_SHARE for each group; a false hit costs
 #: time only.  Where there are more groups, the windows are sent to their texts instead.
 FILTER_BITS, FILTER_SHARE = 1 << 26, 8
@@ -41,6 +41,10 @@ FILTER_BITS, FILTER_SHARE = 1 << 26, 8
 REACH, COLUMNS, FEW = 48, 2048, 6
 #: Small groups are searched together, about so many windows at once.  So many pairs are looked at first, then as many again as before.
 TOGETHER, FIRST = 128, 64
+#: The common values of up to so many windows are counted all against all; of more, each is held against those that it may tell something of.
+DENSE = 256
+#: Windows that a task of the search is dealt, and pairs that one of the last comparison is: their bytes, by which Spark joins small tasks, say little of the work.
+DEALT, COMPARED = 4096, 2048
 #: Tokens in a piece of a text as it is sent to be compared.
 PIECE = 128
 #: Ids up to this number are broadcast (about 150 bytes each, so 80 MB at most) to pick texts; beyond it, they are joined by a shuffle.
@@ -234,7 +238,7 @@ def _long_windows(texts: DataFrame, filter_: np.ndarray | None, width: int) -> D
                     last = np.append(new[1:], len(pos)) - 1
                     base = starts[owner[new]]
                     yield _rows(0, grams[new].view(np.int64), ids.take(pa.array(at[owner[new]] + i)), pos[new] - base, pos[last] - base)
-                some = (sig & (LOW - 1)) < SEARCHED
+                some = ((sig & (LOW - 1)) < SEARCHED) & (_changes(tokens, c - np.minimum(left, REACH), c + np.minimum(right, REACH)) >= _least_common(width) - 1)
                 c, left, right = c[some], np.minimum(left[some], REACH), np.minimum(right[some], REACH)
                 content = mix(_sums(tokens, c - left, c + right + 1) + left.astype(_U))
                 yield _rows(1, content.view(np.int64), ids.take(pa.array(at[text[some]] + i)), sig[some], place[some])
@@ -242,6 +246,13 @@ def _long_windows(texts: DataFrame, filter_: np.ndarray | None, width: int) -> D
     return texts.mapInArrow(trimmed(run), "kind int, hash long, id long, x long, y long")
 
 
+def _changes(tokens: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How often a token from start to last is another than the one before it: with one more, at least as many as there are different ones."""
+    total = np.zeros(len(tokens) + 1, np.int64)
+    np.cumsum(tokens[1:] != tokens[:-1], out=total[1:-1])
+    return total[last] - total[start]
+
+
 def _rows(kind: int, *columns) -> pa.RecordBatch:
     arrays = [pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c) if isinstance(c, np.ndarray) else c for c in columns)]
     return pa.RecordBatch.from_arrays(arrays, ["kind", "hash", "id", "x", "y"])
@@ -292,7 +303,8 @@ def _near(found: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: i
     g = F.ceil(F.col("n") / WINDOWS).cast("int")
     sent = sent.select("sig", g.alias("g"), F.pmod(F.xxhash64("id", "place"), g).cast("int").alias("b"), "id", "place", "tokens").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     sent = sent.select("sig", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "place", "tokens")
-    dealt = sent.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    windows_sent = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / WINDOWS))).first()[0] or 0
+    dealt = sent.repartition(-(-windows_sent // DEALT) or 1, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -388,81 +400,101 @@ def _in_common(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: n
     return out
 
 
-def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a pair of blocks (b, i, j, place, tokens; id, else each row is a text; group, if they are of several) whose windows are alike: all such pairs that tell something new.
+class _Search:
+    """Windows of a pair of blocks, what is known of each of their places, and the pairs that told it (out).
 
-    A pair is left out only if each place that it could cover in either window is known to be shared with the other text or with one of a
-    smaller id: by a run of width tokens, or by pairs before it, which come by their smaller and then by their larger id.
-    So what of each window other texts have, and the least id that has each place of it, are those of all pairs (but for
-    places that only widen a short passage).
-    Candidates have as many different tokens in common as alike passages have, and in one of them a stretch with
-    such a share of them, a few tokens off at most; they are compared along diagonals.
+    known has for each token the least other text that has it in an alike passage, as far as is known: n if none is, -1 where a window has no token.
     """
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    mine, first, second = table["b"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-    left = np.flatnonzero(mine == first)
-    right = left if first == second else np.flatnonzero(mine == second)
-    if not len(left) or not len(right):
-        return none
-    data, offsets = binary_column(table["tokens"])
-    tokens = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint16)
-    offsets = (offsets - offsets[0]) // 2
-    n, sizes = len(mine), np.diff(offsets)
-    owner = np.repeat(np.arange(n), sizes)
-    ids = np.unique(table["id"].to_numpy(), return_inverse=True)[1] if "id" in table.column_names else np.arange(n)
-    width = min(width, 2 * REACH)  # of longer passages, what lies around the windows' least tokens
-    fewest, unlike = _fewest_values(tokens, owner, offsets, width)
-    common = _in_common(tokens, owner, left, right)
-    if first == second:
-        common[np.tril_indices(len(left))] = 0
-    group = table["group"].to_numpy() if "group" in table.column_names else np.zeros(n, np.int64)
-    if group.any():
-        common[group[left][:, None] != group[right]] = 0
-    need = SIMILARITY / (1 + SIMILARITY)
-    least = max(2, width // 4)  # with fewer values in common they have no diagonal, and only runs that are known
-    i, j = np.nonzero((common >= least) & (common >= need * (fewest[left][:, None] + fewest[right]) - 1e-3))
-    runs = _run_hashes(tokens, min(width, 64))
-    at = np.flatnonzero(owner[: len(runs)] == owner[len(tokens) - len(runs) :]) if len(runs) else np.zeros(0, np.int64)
-    if len(at):  # all that some have in common is one run, with whose first text they are joined otherwise
-        runs = runs[at] ^ mix(group[owner[at]].astype(_U))
-        shared = _in_common(runs, owner[at], left, right)[i, j]
-        told = (shared > 0) & (common[i, j] <= shared + min(width, 64) - 1)
-        i, j = i[~told], j[~told]
-    a, b = left[i], right[j]
-    apart = ids[a] != ids[b]
-    i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-    if not len(a):
-        return none
-    swap = ids[a] > ids[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    order = np.lexsort((ids[b], ids[a]))
-    i, j, a, b = i[order], j[order], a[order], b[order]
-    how = common[i, j]
-    begin = REACH - np.minimum(table["place"].to_numpy() >> 24 & 255, REACH)  # a window's first token, where its least one is at REACH
-    column = np.arange(len(tokens)) - np.repeat(offsets[:-1] - begin, sizes)
-    lines = np.repeat(-1 - np.arange(n, dtype=np.int32)[:, None], 2 * REACH + 1, axis=1)  # no two windows agree where they have no token
-    lines[owner, column] = tokens
-    known = np.full(lines.shape, -1, np.int32)  # the least other text that has each place, as far as is known
-    known[owner, column] = n
-    _cover_runs(known, runs[: len(at)], owner[at], column[at], ids, min(width, 64))
-    rows: dict[int, tuple] = {}
-    out, todo, looked, most, e = [], np.ones(len(a), bool), 0, 8192, 0
-    while e < len(a):
-        s, e = e, min(len(a), e + min(max(FIRST, e), 4096))  # few at first, as most of what comes is known by them
-        if looked >= most:  # what comes has nothing to tell if all that it has in common is known to be so by a smaller text yet
-            looked, most = 0, 2 * most
-            closed = known[owner, column] <= ids[a[s]]
-            both = _in_common(tokens[closed], owner[closed], left, right) if closed.any() else np.zeros_like(common)
-            gaps = _gaps(known, known <= ids[a[s]])
-            todo[s:] = (both[i[s:], j[s:]] < how[s:]) | gaps[a[s:]] | gaps[b[s:]]
-        now = s + np.flatnonzero(todo[s:e])
-        x, y, h = a[now], b[now], how[now]
-        most_known = known.max(1)
-        new = (most_known[x] > ids[y]) | (most_known[y] > ids[x])
+
+    def __init__(self, table: pa.Table, width: int) -> None:
+        data, offsets = binary_column(table["tokens"])
+        self.tokens = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.uint16)
+        self.offsets = (offsets - offsets[0]) // 2
+        self.n, self.sizes = table.num_rows, np.diff(self.offsets)
+        self.owner = np.repeat(np.arange(self.n), self.sizes)
+        self.ids = np.unique(table["id"].to_numpy(), return_inverse=True)[1] if "id" in table.column_names else np.arange(self.n)
+        self.group = table["group"].to_numpy() if "group" in table.column_names else np.zeros(self.n, np.int64)
+        self.width = min(width, 2 * REACH)  # of longer passages, what lies around the windows' least tokens
+        self.fewest, self.unlike = _fewest_values(self.tokens, self.owner, self.offsets, self.width)
+        self.size = min(self.width, 64)
+        runs = _run_hashes(self.tokens, self.size)
+        self.run_at = np.flatnonzero(self.owner[: len(runs)] == self.owner[len(self.tokens) - len(runs) :]) if len(runs) else np.zeros(0, np.int64)
+        self.runs = runs[self.run_at] ^ mix(self.group[self.owner[self.run_at]].astype(_U))
+        self.begin = REACH - np.minimum(table["place"].to_numpy() >> 24 & 255, REACH)  # a window's first token, where its least one is at REACH
+        self.column = np.arange(len(self.tokens)) - np.repeat(self.offsets[:-1] - self.begin, self.sizes)
+        self.out: list[tuple[int, int]] = []
+        self.rows: dict[int, tuple] = {}
+
+    @property
+    def least(self) -> int:
+        """With fewer values in common two windows have no diagonal, and only runs that are known."""
+        return _least_common(self.width)
+
+    def open(self) -> None:
+        n = self.n
+        self.lines = np.repeat(-1 - np.arange(n, dtype=np.int32)[:, None], 2 * REACH + 1, axis=1)  # no two windows agree where they have no token
+        self.lines[self.owner, self.column] = self.tokens
+        self.known = np.full(self.lines.shape, -1, np.int32)
+        self.known[self.owner, self.column] = n
+        _cover_runs(self.known, self.runs, self.owner[self.run_at], self.column[self.run_at], self.ids, self.size)
+        self.again = self.sizes - np.bincount(np.unique(self.owner << 16 | self.tokens) >> 16, minlength=n)
+
+    def number(self, values: np.ndarray, count: int) -> None:
+        """For worth: values has the number of each token, count in all, or -1."""
+        self.cells = np.full(self.lines.shape, count, np.int32)
+        self.cells[self.owner, self.column] = np.where(values < 0, count, values)
+        self.places = np.full((2, count + 1), -1, np.int16)  # the first and the last place of a window's values; none has them between calls
+
+    def worth(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Those of others, of larger texts, in which or of which window a may tell something.
+
+        Alike passages have 2 * SIMILARITY / (1 + SIMILARITY) of half the places that both take together in common.  So from one
+        token that the other window has to another, the tokens in common between them say whether a passage may go that far.
+        """
+        known, ids, n, need = self.known, self.ids, self.lines.shape[1], SIMILARITY / (1 + SIMILARITY)
+        at = np.arange(n, dtype=np.int16)
+        columns = np.flatnonzero(self.cells[a] < self.places.shape[1] - 1)
+        own = self.cells[a][columns]
+        self.places[0, own[::-1]], self.places[1, own] = columns[::-1], columns
+        cells = self.cells[others]
+        there = self.places[0].take(cells)
+        last = there if not self.again[a] else self.places[1].take(cells)
+        self.places[:, own] = -1
+        hit = there >= 0
+        before = np.cumsum(hit, 1, dtype=np.int16)
+        again = self.again[a] + self.again[others]
+        loose = again > WORDS  # with many like tokens in one window this bounds nothing
+        lag = max(0, int(np.ceil(2 * need * self.width - 1e-3)) - 1 - min(WORDS, int(again.max())))  # of width tokens so many are in common at least
+        enough = before[:, -1] >= np.maximum(self.least, need * (self.fewest[a] + self.fewest[others]) - 1e-3)
+        before -= hit
+        before *= 9
+        before -= 4 * at
+        start = np.where(hit, before - 4 * last, np.int16(16000))
+        end = np.where(hit, before - 4 * there + (1 + 4 * np.minimum(again, WORDS)).astype(np.int16)[:, None], np.int16(-16000))
+        stop = end[:, lag:] >= np.minimum.accumulate(start, 1)[:, : n - lag]
+        some = (stop.any(1) | loose) & enough
+        if not some.all():
+            others, there, hit, start, end, stop, loose = others[some], there[some], hit[some], start[some], end[some], stop[some], loose[some]
+        begin = start[:, : n - lag] <= np.maximum.accumulate(end[:, ::-1], 1)[:, ::-1][:, lag:]
+        lo, hi = begin.argmax(1)[:, None], n - 1 - stop[:, ::-1].argmax(1)[:, None]
+        within = (at >= lo) & (at <= hi)
+        new = loose | ((known[others] > ids[a]) & within).any(1)
+        rest = np.flatnonzero(~new & (known[a].max() > ids[others]))
+        if len(rest):
+            within, there = within[rest] & hit[rest], there[rest]
+            lo, hi = np.where(within, there, n).min(1)[:, None], np.where(within, there, -1).max(1)[:, None]
+            new[rest] = ((known[a] > ids[others[rest]][:, None]) & (at >= lo) & (at <= hi)).any(1)
+        return others[new]
+
+    def look(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> int:
+        """Compares pairs, x being of the smaller text and h how many different values they have in common; those that tell something go to out.  Says how many there was something to ask of."""
+        lines, known, ids, unlike, width, need = self.lines, self.known, self.ids, self.unlike, self.width, SIMILARITY / (1 + SIMILARITY)
+        most_x, most_y = (known[w].max(1) for w in (x, y)) if len(x) < self.n else (known.max(1)[w] for w in (x, y))
+        new = (most_x > ids[y]) | (most_y > ids[x])
         x, y, h = x[new], y[new], h[new]
+        looked = len(x)
         if not len(x):
-            continue
-        looked += len(x)
+            return looked
         hit = lines[x] == lines[y]
         hits, straight, plain = (hit, hit.copy()), hit.sum(1) + 2 >= h, (hit.sum(1) >= h) & unlike[x] & unlike[y]
         more = np.flatnonzero((hit.sum(1) < h) | ~(unlike[x] & unlike[y]))  # else all that they have in common is in place
@@ -478,14 +510,14 @@ def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]
             new |= (side & open_).any(1) | _gaps(own, ~open_)
         x, y, rest, straight, plain, off, hits = x[new], y[new], rest[new], straight[new], plain[new], off[new], (hits[0][new], hits[1][new])
         if not len(x):
-            continue
+            return looked
         share = np.where(unlike[x] & unlike[y], 2 * need, LOOSE * 2 * need)
         new = _best_stretch(hits[0], share, width) + rest >= -1e-3
         two = np.flatnonzero(~(plain | new))  # plain ones have the same hits on both sides
         new[two] = _best_stretch(hits[1][two], share[two], width) + rest[two] >= -1e-3
         x, y, rest, share, straight, plain, off, hits = x[new], y[new], rest[new], share[new], straight[new], plain[new], off[new], (hits[0][new], hits[1][new])
         if not len(x):
-            continue
+            return looked
         share = np.where(straight, share, LOOSE * 2 * need)  # one of two stretches may be longer than the other
         at, two, bounds = np.arange(known.shape[1]), np.flatnonzero(~plain), np.empty((2, len(x), known.shape[1]), bool)
         bounds[:, plain] = _dense(hits[0][plain], width)
@@ -498,6 +530,7 @@ def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]
             for bound, more in zip(bounds, _bounds([side[exact] for side in hits], width, off[exact]), strict=True):
                 bound[exact] &= more
         new = ((known[x] > ids[y][:, None]) & bounds[0]).any(1) | ((known[y] > ids[x][:, None]) & bounds[1]).any(1)
+        begin, sizes = self.begin, self.sizes
         for k in np.flatnonzero(new).tolist():
             u, v = int(x[k]), int(y[k])
             if not ((known[u] > ids[v]) & bounds[0][k]).any() and not ((known[v] > ids[u]) & bounds[1][k]).any():
@@ -506,17 +539,228 @@ def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]
             if plain[k]:
                 found = _straight_passages(hits[0][k], (begin[u], begin[v]), (begin[u] + sizes[u], begin[v] + sizes[v]), width)
             else:
-                for w in {u, v} - rows.keys():
-                    rows[w] = _numbered(tokens[offsets[w] : offsets[w + 1]])
-                found = _shared_passages(rows[u], rows[v], width)
+                if len(self.rows) > 1024:
+                    self.rows.clear()
+                for w in {u, v} - self.rows.keys():
+                    self.rows[w] = _numbered(self.tokens[self.offsets[w] : self.offsets[w + 1]])
+                found = _shared_passages(self.rows[u], self.rows[v], width)
             for u_from, u_to, v_from, v_to in found:
                 for w, o, lo, hi in ((u, v, u_from, u_to), (v, u, v_from, v_to)):
                     place = known[w, begin[w] + lo : begin[w] + hi]
                     told |= bool((place > ids[o]).any())
                     np.minimum(place, ids[o], out=place)
             if told:
-                out.append((u, v))
-    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else none
+                self.out.append((u, v))
+        return looked
+
+
+def _least_common(width: int) -> int:
+    return max(2, min(width, 2 * REACH) // 4)
+
+
+def search_windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a pair of blocks (b, i, j, place, tokens; id, else each row is a text; group, if they are of several) whose windows are alike: all such pairs that tell something new.
+
+    A pair is left out only if each place that it could cover in either window is known to be shared with the other text or with one of a
+    smaller id: by a run of width tokens, or by pairs before it, which come by their smaller and then by their larger id.
+    So what of each window other texts have, and the least id that has each place of it, are those of all pairs (but for
+    places that only widen a short passage).
+    Candidates have as many different tokens in common as alike passages have, and in one of them a stretch with
+    such a share of them, a few tokens off at most; they are compared along diagonals.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, second = table["i"][0].as_py(), table["j"][0].as_py()
+    many = table.num_rows > DENSE and "group" not in table.column_names
+    order = np.argsort(table["id"].to_numpy(), kind="stable") if many and "id" in table.column_names else np.arange(table.num_rows)
+    table = table.take(pa.array(order)) if many else table
+    mine = table["b"].to_numpy()
+    left = np.flatnonzero(mine == first)
+    right = left if first == second else np.flatnonzero(mine == second)
+    if not len(left) or not len(right):
+        return none
+    search = _Search(table, width)
+    if many:
+        _search_lists(search, None if first == second else mine)
+    else:
+        _search_all(search, left, right)
+    return tuple(order[np.array(x, np.int64)] for x in zip(*search.out, strict=True)) if search.out else none
+
+
+def _search_all(search: _Search, left: np.ndarray, right: np.ndarray) -> None:
+    """Looks at the pairs of left and right, whose common values are counted by products of matrices."""
+    tokens, owner, column, ids, group, fewest = search.tokens, search.owner, search.column, search.ids, search.group, search.fewest
+    common = _in_common(tokens, owner, left, right)
+    if left is right:
+        common[np.tril_indices(len(left))] = 0
+    if group.any():
+        common[group[left][:, None] != group[right]] = 0
+    need = SIMILARITY / (1 + SIMILARITY)
+    i, j = np.nonzero((common >= search.least) & (common >= need * (fewest[left][:, None] + fewest[right]) - 1e-3))
+    if len(search.run_at):  # all that some have in common is one run, with whose first text they are joined otherwise
+        shared = _in_common(search.runs, owner[search.run_at], left, right)[i, j]
+        told = (shared > 0) & (common[i, j] <= shared + search.size - 1)
+        i, j = i[~told], j[~told]
+    a, b = left[i], right[j]
+    apart = ids[a] != ids[b]
+    i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+    if not len(a):
+        return
+    swap = ids[a] > ids[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((ids[b], ids[a]))
+    i, j, a, b = i[order], j[order], a[order], b[order]
+    how = common[i, j]
+    search.open()
+    known = search.known
+    todo, looked, most, e = np.ones(len(a), bool), 0, 8192, 0
+    while e < len(a):
+        s, e = e, min(len(a), e + min(max(FIRST, e), 4096))  # few at first, as most of what comes is known by them
+        if looked >= most:  # what comes has nothing to tell if all that it has in common is known to be so by a smaller text yet
+            looked, most = 0, 2 * most
+            closed = known[owner, column] <= ids[a[s]]
+            both = _in_common(tokens[closed], owner[closed], left, right) if closed.any() else np.zeros_like(common)
+            gaps = _gaps(known, known <= ids[a[s]])
+            todo[s:] = (both[i[s:], j[s:]] < how[s:]) | gaps[a[s:]] | gaps[b[s:]]
+        now = s + np.flatnonzero(todo[s:e])
+        if len(now):
+            looked += search.look(a[now], b[now], how[now])
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all of the ranges, and the number of the range of each."""
+    size = np.maximum(0, end - start)
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) + np.repeat(start - (np.cumsum(size) - size), size), which
+
+
+def _different(values: np.ndarray, owner: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, owner) of what values of others an owner has too, once each, values being numbered, the rarest first; and for each of values the place of its pair, or -1."""
+    number = np.unique(values, return_inverse=True)[1]
+    n = int(owner.max(initial=0)) + 1
+    pairs, back = np.unique(owner * (int(number.max(initial=0)) + 1) + number, return_inverse=True)
+    owners, numbers = np.divmod(pairs, int(number.max(initial=0)) + 1)
+    times = np.bincount(numbers)
+    shared = times > 1
+    if side is not None:  # what one side alone has joins nothing
+        first = np.bincount(numbers, side[owners] == side[0])
+        shared = (first > 0) & (first < times)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(np.where(shared, times, n + 1), kind="stable")] = np.arange(len(times))
+    keep = shared[numbers]
+    numbers, owners = rank[numbers[keep]], owners[keep]
+    order = np.lexsort((numbers, owners))
+    place = np.full(len(pairs), -1)
+    place[np.flatnonzero(keep)[order]] = np.arange(len(order))
+    return numbers[order], owners[order], place[back]
+
+
+def _in_common_with(a: np.ndarray, b: np.ndarray, values: np.ndarray, starts: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """How many values (those of window w begin at starts[w]) the windows of each pair have in common; pairs of one a follow each other, and mark is a false array to work on."""
+    out = np.zeros(len(a), np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)] if len(a) else [0]
+    for k, m in zip(cuts[:-1], cuts[1:], strict=True):
+        own = values[starts[a[k]] : starts[a[k] + 1]]
+        mark[own] = True
+        mine, which = _ranges(starts[b[k:m]], starts[b[k:m] + 1])
+        out[k:m] = np.bincount(which[mark[values[mine]]], minlength=m - k)
+        mark[own] = False
+    return out
+
+
+def _search_lists(search: _Search, side: np.ndarray | None) -> None:
+    """Looks at pairs of windows (which come by their texts' ids), of different sides if they have sides: each with those after it that it may tell something of.
+
+    A passage begins and ends with tokens in common and lies in a dense stretch of values that others have too.  So to tell something of
+    a window, another has such a value at a place of it that isn't known yet, or the window has a gap in what is known; and both have one of
+    the rarest values of either in common.  In a family of alike windows the first ones tell nearly all of the rest.
+    """
+    n, ids, need = search.n, search.ids, SIMILARITY / (1 + SIMILARITY)
+    values, owners, place = _different(search.tokens, search.owner, side)
+    count = int(values.max(initial=-1)) + 1
+    least = np.maximum(search.least, np.ceil(need * (search.fewest + search.fewest.min()) - 1e-3)).astype(np.int64)
+    have = np.bincount(owners, minlength=n)
+    fit = have >= least
+    if not fit.any():
+        return
+    starts = np.concatenate([[0], np.cumsum(have)])
+    rare = (np.arange(len(values)) - starts[owners] <= have[owners] - least[owners]) & fit[owners]
+
+    def lists(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows by their values, and where of each entry's list those after its own window begin and end."""
+        kept = np.flatnonzero(kept)
+        order = kept[np.lexsort((owners[kept], values[kept]))]
+        begin, end = np.zeros((2, len(values)), np.int64)
+        begin[order], end[order] = np.arange(1, len(order) + 1), np.searchsorted(values[order], values[order], "right")
+        return owners[order], begin, end
+
+    rare_windows, rare_begin, rare_end = lists(rare)
+    windows, begin, end = lists(fit[owners])
+    long_ = np.bincount(owners, (rare_end - rare_begin).clip(0), n)
+    run_values, run_owners, _ = _different(search.runs, search.owner[search.run_at], side) if len(search.run_at) else (np.zeros(0, np.int64), np.zeros(0, np.int64), None)
+    run_starts = np.concatenate([[0], np.cumsum(np.bincount(run_owners, minlength=n))])
+    mark, run_mark = np.zeros(count, bool), np.zeros(int(run_values.max(initial=-1)) + 1, bool)
+    search.open()
+    search.number(np.where(place < 0, -1, values[place]), count)
+    known, within, at = search.known, _coverable(search, place), np.arange(search.known.shape[1])
+    entries = np.full(known.shape, -1)
+    entries[search.owner, search.column] = place
+
+    def look(pairs: list[tuple[int, np.ndarray]]) -> None:
+        a, b = np.repeat([x for x, _ in pairs], [len(y) for _, y in pairs]), np.concatenate([y for _, y in pairs])
+        how = _in_common_with(a, b, values, starts, mark)
+        kept = (how >= search.least) & (how >= need * (search.fewest[a] + search.fewest[b]) - 1e-3)
+        if len(run_mark):  # all that some have in common is one run, with whose first text they are joined otherwise
+            shared = _in_common_with(a, b, run_values, run_starts, run_mark)
+            kept &= (shared == 0) | (how > shared + search.size - 1)
+        a, b, how = a[kept], b[kept], how[kept]
+        for k in range(0, len(a), 4096):
+            search.look(a[k : k + 4096], b[k : k + 4096], how[k : k + 4096])
+
+    held, size, most, since = [], 0, 1, n
+    for a in np.flatnonzero(fit).tolist():
+        if since >= max(64, n // 16):
+            since, open_ = 0, (known > ids[a]) & within & fit[:, None]
+            closed = within & (known >= 0) & ~open_
+            first, last = closed.argmax(1), known.shape[1] - 1 - closed[:, ::-1].argmax(1)
+            gaps = (open_ & (at > first[:, None]) & (at < last[:, None])).any(1) & closed.any(1)
+            new = np.zeros(len(values), bool)
+            new[entries[open_ & (entries >= 0)]] = True
+            new = np.flatnonzero(new)  # by window
+            new_values, new_windows = values[new], owners[new]
+            new_starts = np.searchsorted(new_windows, np.arange(n + 1))
+        some, later, found = slice(starts[a], starts[a + 1]), new_starts[a + 1], np.zeros(n, bool)
+        found[rare_windows[_ranges(rare_begin[some], rare_end[some])[0]]] = True
+        if long_[a] > (len(new) - later) // 8:  # else these are few enough
+            able = gaps | gaps[a]
+            mark[values[some]] = True
+            able[new_windows[later:][mark[new_values[later:]]]] = True
+            mark[values[some]] = False
+            mine = new[new_starts[a] : later]
+            able[windows[_ranges(begin[mine], end[mine])[0]]] = True
+            found &= able
+        after = np.flatnonzero(found)
+        after = after[ids[after] > ids[a]]
+        after = after if side is None else after[side[after] != side[a]]
+        after = search.worth(a, after) if len(after) > FEW else after
+        since += 1
+        if len(after):
+            held.append((a, after))
+            size += len(after)
+        if size >= most:  # few at first, as most of what comes is known by them
+            look(held)
+            held, size, most, since = [], 0, min(1024, 2 * most), since + max(16, n // 64)
+    if held:
+        look(held)
+
+
+def _coverable(search: _Search, place: np.ndarray) -> np.ndarray:
+    """Which places could be in a passage: in a window of unlike tokens, those in a stretch with SIMILARITY of values that others have too."""
+    hit = np.zeros(search.lines.shape, bool)
+    some = place >= 0
+    hit[search.owner[some], search.column[some]] = True
+    lo, hi = _reach(hit, np.full(search.n, SIMILARITY, np.float32), search.width, np.zeros(search.n, bool))
+    at = np.arange(hit.shape[1])
+    return (_within(hit, SIMILARITY) & (at >= lo[:, None]) & (at < hi[:, None])) | ~search.unlike[:, None]
 
 
 def _fewest_values(tokens: np.ndarray, owner: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -897,7 +1141,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         one = pairs.select("a", "b", F.lit(side).alias("side"), F.col(me).alias("id"), numbers.alias("piece"))
         asked = one if asked is None else asked.unionByName(one)
     sent = asked.join(_pieces(texts), ["id", "piece"]).select("a", "b", "side", "piece", "tokens")
-    sent = sent.repartition("a", "b").sortWithinPartitions("a", "b", "side", "piece")
+    sent = sent.repartition(-(-pairs.count() // COMPARED) or 1, "a", "b").sortWithinPartitions("a", "b", "side", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pieces = None, ([], [])

@@ -562,3 +562,62 @@ def test_cut_keeps_columns_of_any_name(spark, none):
     assert [tuple(r) for r in found] == [(1, p, "a", "x", 1), (2, "begin  end", "b", "y", 2), (3, None, "c", "z", 3), (4, "", "d", "w", 4)] or [r.text.split() for r in found if r.doc_id == 2] == [["begin", "end"]]
     assert [r.doc_id for r in found] == [1, 2, 3, 4]
     assert passages.cut_repeats(none).count() == 0
+
+
+def test_large_families_are_searched_by_lists(monkeypatch):
+    """Of a family of 700 variants few pairs are looked at, and each place is told to be shared, with the least text that has it, as by counting all against all."""
+    rng = np.random.default_rng(89)
+    base, rows = rng.permutation(2**16)[:97].astype(np.uint16), []
+    for k in range(700):
+        t = base.copy()
+        for at in rng.choice(np.arange(3, 90), int(rng.integers(1, 4)), replace=False):
+            t[at : at + 5] = rng.integers(0, 2**16, 5)
+        if k % 9 == 0:
+            t = np.insert(t, 30, rng.integers(0, 2**16, int(rng.integers(1, 4))).astype(np.uint16))[:97]
+        if k % 4 == 0:
+            t[int(rng.integers(60, 97)) :] = rng.integers(0, 2**16)
+        rows.append(t)
+    rows += [np.concatenate([np.repeat(rng.integers(0, 2**16, 4).astype(np.uint16), 24), t[:1]]) for t in rows[:100]]  # with few different tokens
+    n, place = len(rows), (100 << 32) | (48 << 24) | (48 << 16)
+    zeros, looked, real = pa.array([0] * n, pa.int32()), [], passages._best_stretch
+    table = pa.table({"i": zeros, "j": zeros, "b": zeros, "id": rng.permutation(n), "place": [place] * n, "tokens": pa.array([t.tobytes() for t in rows], pa.binary())})
+    halves = table.set_column(1, "j", pa.array([1] * n, pa.int32())).set_column(2, "b", pa.array(rng.integers(0, 2, n), pa.int32()))
+    monkeypatch.setattr(passages, "_best_stretch", lambda x, *rest: looked.append(len(x)) or real(x, *rest))
+
+    def told(some, pairs, widened):
+        search = passages._Search(some, 46)
+        search.open()
+        for x, y in pairs:
+            for s, e, lo, hi in passages.shared_passages(rows[x].astype(np.uint32), rows[y].astype(np.uint32), 46):
+                for me, other, u, v in ((x, y, s, e), (y, x, lo, hi)):  # without the tokens that widen a short one
+                    own = (u, v - 1) if widened else u + np.flatnonzero(np.isin(rows[me][u:v], rows[other]))[[0, -1]]
+                    part = search.known[me, own[0] : own[1] + 1]
+                    np.minimum(part, search.ids[other], out=part)
+        return search.known
+
+    for some in (table, halves):
+        monkeypatch.setattr(passages, "DENSE", 256)
+        looked.clear()
+        found = list(zip(*(x.tolist() for x in passages.search_windows(some, 46)), strict=True))
+        few = sum(looked)
+        monkeypatch.setattr(passages, "DENSE", 1 << 20)
+        looked.clear()
+        every = list(zip(*(x.tolist() for x in passages.search_windows(some, 46)), strict=True))
+        assert few < 0.7 * sum(looked) and few < n * n // 6 and len(found) >= 300
+        assert (told(some, found, True) <= told(some, every, False)).all()
+
+
+def test_windows_of_few_different_tokens_are_not_sent(spark):
+    """Windows that have too few different tokens for any near passage are told by their runs only; what is found stays."""
+    rng = random.Random(97)
+    junk, rows = words(rng, 3), []
+    for i in range(40):
+        other = words(rng, 1)
+        rows.append((i, " ".join([junk[0]] * 60 + other * 120 + [junk[1]] * 60)))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    windows = passages._windows(texts, 46)
+    shared = passages._shared(windows, passages.Scratch(spark))
+    found = passages._found_again(shared.where("n > 16").select("sig", "id", "place"), lambda ids: texts.join(ids, "id", "left_semi"), 46, passages.Scratch(spark))
+    assert found.where("kind = 0").count() and not found.where("kind = 1").count()
+    spans = {r.doc_id: r.n_words for r in passages.repeated_passages(texts.withColumnRenamed("id", "doc_id")).collect()}
+    assert len(spans) == 40 and min(spans.values()) >= 56
